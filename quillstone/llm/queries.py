@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstone.llm import licences, rules, simhash
+from quillstone.llm import licences, linededup, rules, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,15 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clustered(_table(spark, sf_dir, "documents"))
 
 
+def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assigned(_table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.deduplicated(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.filtered(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -27,10 +37,13 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licence_scan": op4_licence_scan,
+    "op6_external_shuffle": op6_external_shuffle,
     "op7_quality_rules": op7_quality_rules,
+    "op9_line_dedup": op9_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_quality_rules": rules.SQL,
+    "op9_line_dedup": linededup.SQL,
 }
