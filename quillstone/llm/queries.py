@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontamination, licences, linededup, rules, sharding, simhash
+from quillstone.llm import decontamination, licences, linededup, phrases, rules, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assigned(_table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = phrases.without_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.deduplicated(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -44,11 +49,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licence_scan": op4_licence_scan,
     "op6_external_shuffle": op6_external_shuffle,
     "op7_quality_rules": op7_quality_rules,
+    "op8_repeated_phrases": op8_repeated_phrases,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_quality_rules": rules.SQL,
+    "op8_repeated_phrases": phrases.SQL,
     "op9_line_dedup": linededup.SQL,
 }
