@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontamination, licences, linededup, phrases, rules, sharding, simhash
+from quillstone.llm import decontamination, licences, linededup, phrases, pieces, rules, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(_table(spark, sf_dir, "documents"))
+
+
 def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assigned(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_licence_scan": op4_licence_scan,
+    "op5_merge_dropout": op5_merge_dropout,
     "op6_external_shuffle": op6_external_shuffle,
     "op7_quality_rules": op7_quality_rules,
     "op8_repeated_phrases": op8_repeated_phrases,
