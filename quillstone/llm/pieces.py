@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -284,10 +285,10 @@ def encoded(documents: DataFrame, model: str = MODEL, dropout: float = DROPOUT,
     equal; a null doc_id draws as 0.  Other columns are ignored.  The model file
     is read by the driver only.
     """
-    vocabulary = documents.sparkSession.sparkContext.broadcast(_vocabulary(model))
+    vocabulary = documents.sparkSession.sparkContext.broadcast(vars(_vocabulary(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
+        v = SimpleNamespace(**vocabulary.value)
         agenda, powers = Agenda(v, dropout, seed), Powers()
         for batch, buf, off in slices(batches, limit=SLICE_BYTES):
             keys = np.asarray(batch.column(0).fill_null(0))
@@ -304,13 +305,14 @@ def encoded(documents: DataFrame, model: str = MODEL, dropout: float = DROPOUT,
 
 def decoded(encodings: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, text) of (doc_id, ids); null ids give an empty text."""
-    vocabulary = encodings.sparkSession.sparkContext.broadcast(_vocabulary(model))
+    vocabulary = encodings.sparkSession.sparkContext.broadcast(vars(_vocabulary(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = SimpleNamespace(**vocabulary.value)
         for batch in batches:
             lists = batch.column(1).to_pylist()
             off = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-            buf, edge = decode(vocabulary.value, np.array([i for x in lists for i in x], np.int64), off)
+            buf, edge = decode(v, np.array([i for x in lists for i in x], np.int64), off)
             texts = [buf[a:b].tobytes().decode() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

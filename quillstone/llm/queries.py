@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontamination, licences, linededup, phrases, pieces, rules, sharding, simhash
+from quillstone.llm import decontamination, licences, linededup, phrases, pieces, quality, rules, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clustered(_table(spark, sf_dir, "documents"))
 
 
+def op1_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +57,8 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_discriminant": op1_quality_discriminant,
+    "op2_weak_toxicity": op2_weak_toxicity,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_licence_scan": op4_licence_scan,
     "op5_merge_dropout": op5_merge_dropout,

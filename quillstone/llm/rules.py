@@ -125,8 +125,8 @@ class Texts:
         return Texts(self.buf[at], off, self.powers)
 
 
-def _most_frequent(t: Texts) -> np.ndarray:
-    """Occurrences of the commonest word of each row."""
+def most_frequent(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of the commonest word of each row, and the number of different words."""
     row = np.repeat(np.arange(len(t.n_words)), t.n_words)
     order = np.lexsort((t.hashes, row))
     new = np.ones(len(row), bool)
@@ -134,7 +134,7 @@ def _most_frequent(t: Texts) -> np.ndarray:
     at = np.flatnonzero(new)
     most = np.zeros(len(t.n_words), np.int64)
     np.maximum.at(most, row[order][at], np.diff(np.append(at, len(row))))
-    return most
+    return most, np.bincount(row[order][at], minlength=len(most))
 
 
 def _capitals(t: Texts) -> np.ndarray:
@@ -158,7 +158,7 @@ RULES: dict[str, Callable[[Texts], np.ndarray]] = {
     "capitals": _capitals,
     "exclamations": lambda t: 10 * t.words(t.buf[t.ends - 1] == 33) > 3 * t.n_words,
     "few_letters": _few_letters,
-    "one_word": lambda t: 10 * _most_frequent(t) > 3 * t.n_words,
+    "one_word": lambda t: 10 * most_frequent(t)[0] > 3 * t.n_words,
 }
 
 
