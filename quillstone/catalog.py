@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.plans import finance
+from quillstone.plans import finance, text
 
-QUERIES = {**finance.QUERIES}
-ORACLE_SQL = {**finance.ORACLE_SQL}
+QUERIES = {**finance.QUERIES, **text.QUERIES}
+ORACLE_SQL = {**finance.ORACLE_SQL, **text.ORACLE_SQL}
