@@ -39,7 +39,7 @@ VARIANTS = 4
 #: Words up to this many characters are rows of the matrix.
 LONG = 64
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 _NONE = np.int32(2**31 - 1)
 _SPACE = 0x2581
