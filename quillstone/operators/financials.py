@@ -58,49 +58,47 @@ def with_previous(wide: DataFrame, columns: list[str] | None = None) -> DataFram
     return wide.select("*", *[F.first(c).over(by).alias(f"prev_{c}") for c in columns or METRICS])
 
 
-def _of(a: str, b: str) -> tuple[Column, tuple[str, ...], str]:
-    return ratio(F.col(a), F.col(b)), (a, b), "x"
-
-
-def _share(a: str, b: str) -> tuple[Column, tuple[str, ...], str]:
-    return percent(F.col(a), F.col(b)), (a, b), "%"
-
-
-def _growth(a: str) -> tuple[Column, tuple[str, ...], str]:
-    return change(F.col(a), F.col(f"prev_{a}")), (a, f"prev_{a}"), "%"
-
-
-def ratios() -> dict[str, tuple[Column, tuple[str, ...], str]]:
-    """The eighteen ratios: expression, inputs, unit."""
-    return {
-        "current_ratio": _of("current_assets", "current_liabilities"),
-        "quick_ratio": (ratio(F.col("current_assets") - F.col("inventory"), F.col("current_liabilities")), ("current_assets", "inventory", "current_liabilities"), "x"),
-        "cash_ratio": _of("cash", "current_liabilities"),
-        "debt_to_equity": _of("total_debt", "equity"),
-        "debt_ratio": _of("total_debt", "total_assets"),
-        "interest_coverage": _of("ebit", "finance_costs"),
-        "gross_margin": _share("gross_profit", "revenue"),
-        "operating_margin": _share("ebit", "revenue"),
-        "net_margin": _share("net_income", "revenue"),
-        "ebitda_margin": _share("ebitda", "revenue"),
-        "roa": _share("net_income", "total_assets"),
-        "roe": _share("net_income", "equity"),
-        "asset_turnover": _of("revenue", "total_assets"),
-        "inventory_turnover": _of("cogs", "inventory"),
-        "receivables_turnover": _of("revenue", "receivables"),
-        "revenue_growth": _growth("revenue"),
-        "profit_growth": _growth("net_income"),
-        "eps_growth": _growth("eps"),
-    }
+#: The eighteen ratios: inputs, unit.
+RATIOS = {
+    "current_ratio": (("current_assets", "current_liabilities"), "x"),
+    "quick_ratio": (("current_assets", "inventory", "current_liabilities"), "x"),
+    "cash_ratio": (("cash", "current_liabilities"), "x"),
+    "debt_to_equity": (("total_debt", "equity"), "x"),
+    "debt_ratio": (("total_debt", "total_assets"), "x"),
+    "interest_coverage": (("ebit", "finance_costs"), "x"),
+    "gross_margin": (("gross_profit", "revenue"), "%"),
+    "operating_margin": (("ebit", "revenue"), "%"),
+    "net_margin": (("net_income", "revenue"), "%"),
+    "ebitda_margin": (("ebitda", "revenue"), "%"),
+    "roa": (("net_income", "total_assets"), "%"),
+    "roe": (("net_income", "equity"), "%"),
+    "asset_turnover": (("revenue", "total_assets"), "x"),
+    "inventory_turnover": (("cogs", "inventory"), "x"),
+    "receivables_turnover": (("revenue", "receivables"), "x"),
+    "revenue_growth": (("revenue", "prev_revenue"), "%"),
+    "profit_growth": (("net_income", "prev_net_income"), "%"),
+    "eps_growth": (("eps", "prev_eps"), "%"),
+}
+
+
+def ratio_column(key: str) -> Column:
+    """The ratio over a panel that has the inputs as columns."""
+    inputs, unit = RATIOS[key]
+    values = [F.col(i) for i in inputs]
+    if inputs[1] == f"prev_{inputs[0]}":
+        return change(*values)
+    if len(inputs) == 3:  # what is left of the first without the second
+        return ratio(values[0] - values[1], values[2])
+    return percent(*values) if unit == "%" else ratio(*values)
 
 
 def with_ratios(wide: DataFrame) -> DataFrame:
-    return with_previous(wide).select("*", *[expression.alias(key) for key, (expression, _, _) in ratios().items()])
+    return with_previous(wide).select("*", *[ratio_column(key).alias(key) for key in RATIOS])
 
 
 def missing_inputs(wide: DataFrame) -> DataFrame:
     """(company_id, fiscal_year, ratio, missing): ratios that can't be computed, with the inputs that lack."""
-    rows = [F.struct(F.lit(key).alias("ratio"), F.array_join(F.array_compact(F.array(*[F.when(F.col(i).isNull(), i) for i in inputs])), ",").alias("missing")) for key, (_, inputs, _) in ratios().items()]
+    rows = [F.struct(F.lit(key).alias("ratio"), F.array_join(F.array_compact(F.array(*[F.when(F.col(i).isNull(), i) for i in inputs])), ",").alias("missing")) for key, (inputs, _) in RATIOS.items()]
     return with_previous(wide).select("company_id", "fiscal_year", F.explode(F.array(*rows)).alias("r")).select("company_id", "fiscal_year", "r.*").where("missing <> ''")
 
 
@@ -203,8 +201,7 @@ def compared_companies(with_all: DataFrame, companies: list[int]) -> DataFrame:
 
 def compared_periods(with_all: DataFrame, first: int, last: int) -> DataFrame:
     """(company_id, key, first_value, last_value, change): percent keys by difference, others by percent change, whatever the gap."""
-    units = {key: unit for key, (_, _, unit) in ratios().items()}
-    percents = [k for k in COMPARED if units.get(k) == "%"]
+    percents = [k for k in COMPARED if k in RATIOS and RATIOS[k][1] == "%"]
     long = series(with_all.where(F.col("fiscal_year").isin(first, last)), COMPARED)
     pairs = long.groupBy("company_id", "key").agg(F.max(F.when(F.col("fiscal_year") == first, F.col("value"))).alias("first_value"), F.max(F.when(F.col("fiscal_year") == last, F.col("value"))).alias("last_value"))
     step = F.when(F.col("key").isin(percents), F.col("last_value") - F.col("first_value")).otherwise(change(F.col("last_value"), F.col("first_value")))

@@ -44,7 +44,7 @@ def derived_metrics_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratio_panel_all18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ratios(spark, sf_dir).select("company_id", "fiscal_year", *f.ratios())
+    return _ratios(spark, sf_dir).select("company_id", "fiscal_year", *f.RATIOS)
 
 
 def ratio_missing_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def statement_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ratio_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratios by year of every company."""
-    long = f.series(_ratios(spark, sf_dir), list(f.ratios()))
+    long = f.series(_ratios(spark, sf_dir), list(f.RATIOS))
     years = list(range(1995, 2002))
     return long.groupBy("company_id", "key").pivot("fiscal_year", years).agg(F.first("value")).select("company_id", "key", *[F.col(str(y)).alias(f"fy{y}") for y in years])
 
@@ -211,8 +211,8 @@ _POINTS_SQL = f"""{_AMOUNTS_SQL}, {_series_sql("shares_of", ["operating_margin",
   SELECT a.*, CASE WHEN a.unit = '%' THEN a.value - b.value ELSE (a.value - b.value) / nullif(abs(b.value), 0) * 100 END AS change
   FROM points a LEFT JOIN points b ON a.company_id = b.company_id AND a.key = b.key AND a.fiscal_year = b.fiscal_year + 1
 )"""
-_RATIO_KEYS = list(f.ratios())
-_RATIO_INPUTS = {key: inputs for key, (_, inputs, _) in f.ratios().items()}
+_RATIO_KEYS = list(f.RATIOS)
+_RATIO_INPUTS = {key: inputs for key, (inputs, _) in f.RATIOS.items()}
 _FY = list(range(1995, 2002))
 
 
