@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.lineage import written
+
 WINDOW = 8
 
 #: Different words that a window must have besides placeholders.
@@ -28,6 +30,9 @@ SHARE = 0.5
 #: Window hashes (8 bytes each) up to which the benchmark side is broadcast.
 BROADCAST_HASHES = 2_000_000
 
+#: The same for the windows with their words, about 250 bytes each.
+BROADCAST_WINDOWS = 100_000
+
 #: A unit is one of these after a number.
 UNITS = (
     "percent kg g mg km m cm mm mi ft feet inch inches miles meters metres kilometers litres liters l ml hours hour minutes minute seconds second s h min "
@@ -37,42 +42,42 @@ UNITS = (
 _MARK = "\x01"
 
 
-def _tokens(text: Column) -> Column:
-    """Words without punctuation, in their case; the first of a sentence or line bears a mark."""
-    marked = F.regexp_replace(F.concat(F.lit(_MARK), F.coalesce(text, F.lit(""))), r"[.!?:]\s+|\n+", f" {_MARK}")
-    bare = F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}}\s{_MARK}]+", "")
-    return F.filter(F.split(bare, r"\s+"), lambda t: (t != "") & (t != _MARK))
+def _marked(text: Column) -> Column:
+    """The text without punctuation; the first word of a sentence or line bears a mark."""
+    marked = F.concat(F.lit(_MARK), F.coalesce(text, F.lit("")))
+    for end in (". ", "! ", "? ", ": ", "\n"):
+        marked = F.replace(marked, F.lit(end), F.lit(f" {_MARK}"))
+    for blank in "\t\r\f\v":
+        marked = F.replace(marked, F.lit(blank), F.lit(" "))
+    return F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}} {_MARK}]+", "")
 
 
-def _is_number(token: Column) -> Column:
-    return F.ascii(F.ltrim(token, F.lit(_MARK))).between(48, 57)
+def _template(marked: Column) -> Column:
+    """Names, numbers and units after numbers become <p>, <n> and <u>, all else lower case; a placeholder stands for one word."""
+    named = F.regexp_replace(marked, r"(?<= )\p{Lu}\S*", "<p>")
+    counted = F.regexp_replace(named, rf"(?<=[ {_MARK}])\d\S*", "<n>")
+    measured = F.regexp_replace(counted, rf"(?i)(?<=<n> )(?:{'|'.join(UNITS)})(?= |$)", "<u>")
+    return F.lower(F.when(marked.rlike("[0-9]"), measured).otherwise(named))
 
 
-def _kind(token: Column, before: Column) -> Column:
-    """<n>, <u>, <p> or the word itself in lower case."""
-    head = F.substring(token, 1, 1)
-    return (
-        F.when(_is_number(token), "<n>")
-        .when(F.lower(head) != head, "<p>")
-        .when(before.isNotNull() & _is_number(before) & F.lower(token).isin(UNITS), "<u>")
-        .otherwise(F.ltrim(F.lower(token), F.lit(_MARK)))
-    )
+def _words(marked: Column) -> Column:
+    return F.filter(F.split(F.replace(marked, F.lit(_MARK), F.lit("")), " "), lambda t: t != "")
 
 
 def _templates(texts: DataFrame, id_column: str, name: str) -> DataFrame:
-    """(name, tokens, hashes): hashes has the hash of each template token."""
-    tokens = texts.select(F.col(id_column).cast("long").alias(name), _tokens(F.col("text")).alias("tokens"))
-    return tokens.withColumn("hashes", F.transform("tokens", lambda t, i: F.xxhash64(_kind(t, F.when(i > 0, F.get(F.col("tokens"), i - 1))))))
+    """(name, marked, hashes): hashes has the hash of each template token."""
+    marked = texts.select(F.col(id_column).cast("long").alias(name), _marked(F.col("text")).alias("marked"))
+    return marked.withColumn("hashes", F.transform(_words(_template(F.col("marked"))), lambda t: F.xxhash64(t)))
 
 
-def _windows(templates: DataFrame, name: str) -> DataFrame:
-    """(name, tokens, at, window) for every window; tokens is the whole text's."""
+def _windows(templates: DataFrame, *kept: str) -> DataFrame:
+    """(kept columns, at, window) for every window."""
     starts = F.when(F.size("hashes") >= WINDOW, F.sequence(F.lit(1), F.size("hashes") - (WINDOW - 1)))
-    return templates.select(name, "tokens", F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))).alias("at", "window"))
+    return templates.select(*kept, F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))).alias("at", "window"))
 
 
-def _slice(at: Column) -> Column:
-    return F.slice("tokens", at + 1, WINDOW)
+def _slice(words: Column) -> Column:
+    return F.slice(words, F.col("at") + 1, WINDOW)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -85,20 +90,25 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows with a null id take part under the null id.  Repeated rows count once.
     Other columns are ignored; an empty table on either side gives no rows.
     """
-    items = _windows(_templates(benchmark, "item_id", "item_id"), "item_id").select("item_id", F.col("at").alias("item_at"), "window", _slice(F.col("at")).alias("item_tokens"))
-    words = F.array_distinct(F.filter(F.transform("item_tokens", lambda t: F.when(~_is_number(t) & (F.lower(F.substring(t, 1, 1)) == F.substring(t, 1, 1)), F.ltrim(F.lower(t), F.lit(_MARK)))), lambda t: t.isNotNull()))
-    items = items.where(F.size(words) >= LITERALS).distinct()
+    items = _windows(_templates(benchmark, "item_id", "item_id"), "item_id", "marked")
+    items = items.select("item_id", F.col("at").alias("item_at"), "window", _slice(_words(F.col("marked"))).alias("item_words"), _slice(_words(_template(F.col("marked")))).alias("template"))
+    literals = F.size(F.array_distinct(F.filter("template", lambda t: ~t.startswith("<"))))
+    items = items.where(literals >= LITERALS).distinct().withColumn("has_slots", F.exists("template", lambda t: t.startswith("<")))
     known = items.select("window").distinct()
-    small = known.count() <= BROADCAST_HASHES
+    n_known = known.count()
+    small = n_known <= BROADCAST_HASHES
+    # Only ids, places and hashes go through the joins; texts follow for the documents whose matches have slots.
     found = _windows(_templates(documents, "doc_id", "doc_id"), "doc_id").join(F.broadcast(known) if small else known, "window", "left_semi")
-    met = found.select("doc_id", "window", "at", _slice(F.col("at")).alias("doc_tokens")).join(items, "window")
-    # Placeholders stand at the same places of both; equal words in lower case are no slots.
-    bare = lambda t: F.ltrim(t, F.lit(_MARK))
-    slots = F.filter(
-        F.zip_with("item_tokens", "doc_tokens", lambda i, d: F.when(_is_number(i) | (F.lower(bare(i)) != F.lower(bare(d))) | (F.lower(F.substring(i, 1, 1)) != F.substring(i, 1, 1)), F.struct(bare(i).alias("item"), bare(d).alias("doc")))),
-        lambda s: s.isNotNull(),
-    )
-    aligned = met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", slots.alias("slots"))
+    met = written(found.join(F.broadcast(items) if n_known <= BROADCAST_WINDOWS else items, "window").withColumn("shift", F.col("at") - F.col("item_at")), "matches")
+    empty = F.array().cast("array<struct<item:string,doc:string>>")
+    plain = met.where("not has_slots").select("doc_id", "item_id", "shift", "item_at", empty.alias("slots"))
+    slotted = met.where("has_slots")
+    ids = slotted.select(F.col("doc_id").alias("hit")).distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("hit"), "text")
+    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_HASHES else ids, "hit", "left_semi").select("hit", _marked(F.col("text")).alias("marked"))
+    kinds = F.zip_with("template", "item_words", lambda t, i: F.when(t.startswith("<"), i))
+    slots = F.filter(F.zip_with(kinds, _slice(_words(F.col("marked"))), lambda i, d: F.when(i.isNotNull(), F.struct(i.alias("item"), d.alias("doc")))), lambda s: s.isNotNull())
+    aligned = plain.unionByName(slotted.join(texts, slotted["doc_id"] == texts["hit"]).select("doc_id", "item_id", "shift", "item_at", slots.alias("slots")))
     gathered = aligned.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))
     totals = items.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_item"))
