@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.plans import finance, text
+from quillstone.plans import finance, layout, streams, text
 
-QUERIES = {**finance.QUERIES, **text.QUERIES}
-ORACLE_SQL = {**finance.ORACLE_SQL, **text.ORACLE_SQL}
+QUERIES = {**finance.QUERIES, **text.QUERIES, **streams.QUERIES, **layout.QUERIES}
+ORACLE_SQL = {**finance.ORACLE_SQL, **text.ORACLE_SQL, **streams.ORACLE_SQL, **layout.ORACLE_SQL}

@@ -4,7 +4,7 @@ from quillstone import catalog
 from tests.compare import same
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_against_sql(spark, sf_dir, name):
     same(catalog.QUERIES[name](spark, sf_dir), catalog.ORACLE_SQL[name], sf_dir)
 
@@ -14,3 +14,16 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_passages():
+    from quillstone.operators.chunking import packed
+
+    text = " ".join(f"Sentence number {i} has exactly nine tokens here." for i in range(40))
+    found = packed(text, 120, 30)
+    assert all(n <= 120 for _, n in found) and all(p.endswith("here.") and p.startswith("Sentence") for p, _ in found)
+    for (a, _), (b, _) in zip(found, found[1:], strict=False):
+        first = b.split(" has")[0]
+        assert first in a  # each passage starts with a whole sentence of the one before
+    assert packed("Too short.") == []
+    assert "".join(text.split()) in "".join("".join(p.split()) for p, _ in packed(text, 10_000, 0))
