@@ -49,12 +49,13 @@ def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if len(some):
             ones = np.add.reduceat(np.unpackbits(h.view(np.uint8)).reshape(-1, 64), (np.cumsum(count) - count)[some], axis=0, dtype=np.int32)
             prints[some] = np.packbits(2 * ones > count[some][:, None], axis=1).view(">i8")[:, 0]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "print"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], names=["doc_id", "text_hash", "print"])
 
 
 def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, print): the SimHash of every whole text as a signed long; no words (or null): 0."""
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(_fingerprinted, "doc_id long, print long")
+    """(doc_id, text_hash, print): the SimHash of every whole text as a signed long; no words (or null): 0."""
+    text = F.coalesce(text, F.lit(""))
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(_fingerprinted, "doc_id long, text_hash long, print long")
 
 
 def _counts(half: Column) -> Column:
@@ -87,6 +88,18 @@ def links(prints: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _members(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, print, root, component_id): root is the smallest fingerprint that a row's reaches."""
+    prints = written(fingerprints(documents, doc_id, text), "prints")
+    classes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
+    roots = written(components(links(classes.select("print"))), "roots")
+    # Only linked fingerprints have a root; the least id of each root's members names it.
+    linked = roots.join(classes, roots["node"] == classes["print"]).select("print", "root", "least")
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "root", "component_id")
+    ids = classes.join(named, "print", "left").select("print", F.coalesce("root", "print").alias("root"), F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return prints.join(ids, "print")
+
+
 def clustered(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document.
 
@@ -95,27 +108,19 @@ def clustered(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
     fingerprint and links others, but is never the smallest id; a component of
     such rows alone has a null id.  Other columns are ignored.
     """
-    prints = written(fingerprints(documents, doc_id, text), "prints")
-    classes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
-    roots = written(components(links(classes.select("print"))), "roots")
-    # Only linked fingerprints have a root; the least id of each root's members names it.
-    members = roots.join(classes, roots["node"] == classes["print"]).select("node", "root", "least")
-    named = members.join(members.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("node").alias("print"), "component_id")
-    ids = classes.join(named, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(ids, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return _members(documents, doc_id, text).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(documents: DataFrame) -> DataFrame:
-    """The documents with one row of each near-duplicate component: the row of its smallest doc_id.
+    """The documents with one row of each near-duplicate component, all columns kept.
 
-    Of several rows with that doc_id the one with the smallest fingerprint and
-    text hash stays.  Components without any doc_id keep one row too.
+    The row of the smallest doc_id stays; of several rows with that id the one
+    with the smallest text hash.  A row without doc_id stays only if its
+    component has no row with one.
     """
-    spark, columns = documents.sparkSession, documents.columns
-    _ = spark
-    ids = clustered(documents)
-    first = ids.groupBy("component_id").agg(F.min("doc_id").alias("keep")).select("keep").distinct()
-    named = documents.select(F.struct(*[documents[c] for c in columns]).alias("row"), F.col("doc_id").cast("long").alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("order"))
-    best = named.select("key", "order").join(first, F.col("key").eqNullSafe(F.col("keep")), "left_semi").groupBy("key").agg(F.min("order").alias("order"))
-    once = named.join(best, named["key"].eqNullSafe(best["key"]) & (named["order"] == best["order"]), "left_semi")
-    return once.dropDuplicates(["key", "order"]).select("row.*")
+    key = lambda c: (c.isNull().alias("no_id"), F.coalesce(c, F.lit(0)).alias("key"))
+    rows = _members(documents).select("root", *key(F.col("doc_id")), "text_hash")
+    best = rows.groupBy("root").agg(F.min(F.struct("no_id", "key", "text_hash")).alias("best")).select("best.*")
+    row = F.struct(*[documents[c] for c in documents.columns])
+    named = documents.select(row.alias("row"), *key(F.col("doc_id").cast("long")), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return named.join(best, ["no_id", "key", "text_hash"], "left_semi").dropDuplicates(["no_id", "key", "text_hash"]).select("row.*")

@@ -94,6 +94,12 @@ def test_simhash_components(spark, sf_dir, texts):
     assert got == {d: (format(prints[d], "016x"), root[d]) for d in prints}
 
 
+def test_representatives(spark):
+    rows = [(None, "a b c d e"), (None, "f g h i j k"), (None, "f g h i j k"), (3, "l m n o p"), (3, "l m n o p"), (9, "l m n o p"), (None, "l m n o p"), (4, "q r s t u v w"), (4, "x y z a b c d")]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(None, "a b c d e"), (None, "f g h i j k"), (3, "l m n o p"), (4, "q r s t u v w"), (4, "x y z a b c d")], key=repr)
+
+
 def test_simhash_links(spark):
     import random
 
