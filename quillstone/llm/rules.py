@@ -153,7 +153,7 @@ def _few_letters(t: Texts) -> np.ndarray:
 #: Each gives the rows that it rejects.
 RULES: dict[str, Callable[[Texts], np.ndarray]] = {
     "symbols": lambda t: 10 * t.n_symbols > t.word_chars,
-    "duplicate_lines": lambda t: 10 * t.lines[1] > 3 * t.lines[0],
+    "duplicate_lines": lambda t: 2 * t.lines[1] > t.lines[0],
     "word_length": lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 20 * t.n_words),
     "capitals": _capitals,
     "exclamations": lambda t: 10 * t.words(t.buf[t.ends - 1] == 33) > 3 * t.n_words,
@@ -257,7 +257,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT (10 * n_symbols > word_chars OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+  NOT base_failed AND NOT (10 * n_symbols > word_chars OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words
     OR (up + lo >= 20 AND up > lo) OR 10 * bang > 3 * n_words OR 10 * lettered < 6 * n_words OR 10 * most > 3 * n_words) AS kept
 FROM f
 """
