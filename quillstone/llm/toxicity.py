@@ -51,6 +51,9 @@ SIGNIFICANT = 4.0
 #: At least this share of the training rows that have an entry is toxic.
 PURE = 0.8
 VOTERS = 4
+
+#: Features of more than this share of the training rows don't tell copies apart.
+COMMON = 0.004
 ROUNDS = 40
 
 
@@ -159,8 +162,31 @@ def _logistic(at: np.ndarray, row: np.ndarray, q: np.ndarray, size: int) -> tupl
     return w, b
 
 
+def _once(lists: list[np.ndarray]) -> np.ndarray:
+    """One row of each group of copies: rows that agree in two min-hashes of their uncommon features, or else have none."""
+    size = np.array([len(x) for x in lists])
+    names, which, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    common = (times > max(5, COMMON * len(lists))) | (times < 2)
+    signs = []
+    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        drawn = mixed(names ^ np.uint64(salt))
+        drawn[common] = np.uint64(2**64 - 1)
+        least = np.full(len(lists), np.uint64(2**64 - 1))
+        np.minimum.at(least, np.repeat(np.arange(len(lists)), size), drawn[which])
+        signs.append(least)
+    alone = signs[0] == np.uint64(2**64 - 1)
+    signs[0][alone] = np.flatnonzero(alone)
+    return np.sort(np.unique(np.stack(signs, axis=1), axis=0, return_index=True)[1])
+
+
 def fitted(lists: list[np.ndarray], patterns: np.ndarray, y: np.ndarray) -> Classifier:
-    """The classifier of training rows: distinct feature hashes, patterns, labels."""
+    """The classifier of training rows: distinct feature hashes, patterns, labels.
+
+    Of copies one row is used, as their shared words would all look telling.
+    """
+    if lists:
+        kept = _once(lists)
+        lists, patterns, y = [lists[i] for i in kept], patterns[kept], y[kept]
     n = len(lists)
     seeds = _seed_hashes()
     if not n:
