@@ -25,7 +25,7 @@ from quillstone.llm.arrowtext import LOWER, Powers, mixed, slices, span_hashes,
 from quillstone.llm.quality import held_out
 
 #: Labelled rows that the fit reads at most, about; taken by a hash of doc_id.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 10_000
 
 #: Insults that the seed voters know.
 SEEDS = (
