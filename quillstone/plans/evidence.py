@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as t
 from quillstone.operators import financials as f
+from quillstone.operators.tables import facts_of
 from quillstone.plans.finance import SQL_WITH
 from quillstone.plans.text import _tokens_sql
 from quillstone.sources.tables import facts, table
@@ -85,6 +86,26 @@ def company_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("company_id").agg(F.concat(F.lit("| year | revenue | profit | debt to equity |\n"), F.array_join(lines, "\n")).alias("report"))
 
 
+_ROWS = {"revenue": "Revenue from operations", "net_income": "Profit for the year", "equity": "Total equity", "cash": "(a) Cash and cash equivalents"}
+_YEARS = (1997, 1998, 1999)
+
+
+def table_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each company's figures printed as a statement table and read back."""
+    rows = f.best_facts(facts(spark, sf_dir)).where(F.col("metric").isin(list(_ROWS)) & F.col("fiscal_year").isin(list(_YEARS)))
+    shown = F.format_number(F.abs(F.col("value")) * 10000, 2)
+    wide = rows.select("company_id", "metric", "fiscal_year", F.when(F.col("value") < 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown).alias("cell"))
+    wide = wide.groupBy("company_id", "metric").pivot("fiscal_year", list(_YEARS)).agg(F.first("cell"))
+    label = F.element_at(F.create_map(*[F.lit(x) for kv in _ROWS.items() for x in kv]), F.col("metric"))
+    place = F.element_at(F.create_map(*[x for i, m in enumerate(_ROWS) for x in (F.lit(m), F.lit(i + 2))]), F.col("metric"))
+    cells = F.array(label, F.lit("7"), *[F.coalesce(F.col(str(y)), F.lit("-")) for y in _YEARS])
+    body = wide.select(F.col("company_id").alias("grid_id"), place.alias("row_idx"), cells.alias("cells"))
+    fixed = [(0, ["Statement for FY1999"]), (1, ["Particulars", "Note", "FY1997", "FY1998", "FY1999"]), (9, ["Net profit", "8", "1.5%", "2.5%", "3.5%"])]
+    given = F.explode(F.array(*[F.struct(F.lit(i).alias("row_idx"), F.array(*[F.lit(c) for c in row]).alias("cells")) for i, row in fixed])).alias("g")
+    extra = body.select("grid_id").distinct().select("grid_id", given).select("grid_id", "g.row_idx", "g.cells")
+    return facts_of(body.unionByName(extra)).select(F.col("grid_id").alias("company_id"), "metric", "period", "value", "confidence")
+
+
 def _public(name: str, value: object) -> bool:
     return callable(value) and getattr(value, "__module__", "") == __name__ and not name.startswith("_")
 
@@ -108,6 +129,8 @@ ORACLE_SQL = {
     "carried_question": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS question_turn FROM conversations",
     "event_runs": """WITH m AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS run FROM m) SELECT user_id, run, event_type, count(*) AS n, min(event_id) AS least_event FROM r GROUP BY ALL HAVING n > 1""",
+    "table_facts": f"""{SQL_WITH}, b AS (SELECT company_id, metric, fiscal_year, value, count(*) OVER (PARTITION BY company_id, metric) AS n FROM best WHERE metric IN {tuple(_ROWS)} AND fiscal_year IN {_YEARS})
+      SELECT company_id, metric, 'FY' || fiscal_year AS period, sign(value) * replace(format('{{:,.2f}}', abs(value) * 10000), ',', '')::DOUBLE AS value, 1.0::DOUBLE AS confidence FROM b WHERE n = 3""",
     "company_aliases": "SELECT c_name[-1] AS key, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS aliases, count(*) AS n FROM customer GROUP BY 1",
     "company_report": f"""{SQL_WITH} SELECT company_id, '| year | revenue | profit | debt to equity |' || chr(10) || string_agg('| ' || fiscal_year || ' | ' || coalesce(format('{{:,.2f}}', revenue), 'Not available') || ' | '
       || coalesce(format('{{:,.2f}}', net_income), 'Not available') || ' | ' || coalesce(format('{{:,.2f}}', debt_to_equity), 'Not available') || ' |', chr(10) ORDER BY fiscal_year) AS report FROM rated GROUP BY 1""",
