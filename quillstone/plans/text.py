@@ -108,6 +108,14 @@ def guard_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", guards.input_check(text).alias("verdict"), guards.suspicious(text).alias("suspicious"))
 
 
+def output_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as answers, some of which leak or advise."""
+    said = F.when(F.col("turn") % 3 == 1, " The System Prompt says so.").when(F.col("turn") % 3 == 2, " You should buy now.").otherwise("")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", said).alias("answer"))
+    checked = guards.output_checked(F.col("answer"))
+    return rows.select("conv_id", "turn", (checked != F.col("answer")).alias("changed"), F.md5(checked).alias("digest"))
+
+
 def citation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", F.array_join(guards.citations(F.col("text")), ",").alias("cited"))
 
@@ -290,6 +298,9 @@ ORACLE_SQL = {
       SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS place FROM s), m AS (SELECT doc_id, place::INT AS place, len(list_intersect(q, {_tokens_sql("sentence")}))::INT AS shared, md5(sentence) AS digest FROM e, q)
       FROM m WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, place) <= 2""",
     "guard_flags": _guard_sql(),
+    "output_guard": f"""WITH a AS (SELECT conv_id, turn, text || CASE turn % 3 WHEN 1 THEN ' The System Prompt says so.' WHEN 2 THEN ' You should buy now.' ELSE '' END AS answer FROM conversations),
+      m AS (SELECT *, regexp_replace(answer, '{guards.LEAKED}', '[removed]', 'g') AS m FROM a), c AS (SELECT *, CASE WHEN regexp_matches(m, '{guards.ADVICE}') THEN m || ' {guards.NOTE}' ELSE m END AS c FROM m)
+      SELECT conv_id, turn, c <> answer AS changed, md5(c) AS digest FROM c""",
     "citation_ids": rf"""WITH {_TURNS_SQL}, c AS (SELECT conv_id, turn, flatten(list_transform(regexp_extract_all(text, '\[([SCT]\d+(?:\s*,\s*[SCT]\d+)*)\]', 1), lambda m: regexp_split_to_array(m, '\s*,\s*'))) AS x FROM turns)
       SELECT conv_id, turn, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), ',') AS cited FROM c""",
     "grounding_numbers": rf"""WITH {_TURNS_SQL}, f AS (SELECT conv_id, turn, list_transform(list_filter({_FIG}, lambda v: NOT regexp_full_match(v, '(?:19|20)\d\d') AND (regexp_matches(v, '[.,%]') OR TRY_CAST(v AS DOUBLE) > 12)), lambda v: regexp_replace(v, '[,%]', '', 'g')) AS f FROM turns)
