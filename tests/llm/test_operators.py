@@ -172,6 +172,24 @@ def test_shards(spark, sf_dir, texts):
     assert sorted(r.id for r in small) == list(range(1000)) and [r.id for r in sorted(small, key=lambda r: (r.slot, r.shard))] != list(range(1000))
 
 
+def test_shards_hold_whole_documents(spark, odd, tmp_path):
+    path = str(tmp_path / "shards")
+    digests = sharding.assigned(odd, path=path).collect()
+    back = spark.read.parquet(path)
+    assert sorted(((r.doc_id, r.text, r.row, r.print) for r in back.collect()), key=repr) == sorted(((d, t, n, p) for d, t, _, n, p in ODD), key=repr)
+    assert sorted((r.doc_id or 0, r.size, r.text_crc32) for r in digests) == sorted((d or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in ODD)
+
+
+def test_buckets_follow_bytes_and_long_texts_go_beside(spark, odd, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(sharding, "written", lambda df, name, own=sharding.written: kept.setdefault(name, own(df, name)))
+    got = sharding.shuffled(odd, F.col("doc_id"), bucket_bytes=100, long_bytes=1000).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(((d, t) for d, t, *_ in ODD), key=repr)
+    assert sorted((r.shard, r.slot) for r in got) == sorted((i % 8, i // 8) for i in range(len(ODD)))
+    assert kept["long-texts"].count() == 2 and kept["buckets"].count() > 2
+    assert max(len(x.text or "") for r in kept["buckets"].collect() for x in r.records) <= 1000
+
+
 def test_reparameterised_questions(spark):
     item = "If Mary buys 5 kg of apples at 2 dollars each then how much money must Mary pay in total today?"
     docs = [
