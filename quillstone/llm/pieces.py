@@ -2,15 +2,16 @@
 
 The agenda of a text holds the merges of adjacent symbols that the vocabulary
 knows; the best score goes first, the leftmost of equal ones.  Each candidate is
-skipped if its keyed hash falls below ``dropout``.  The key is the seed, the word,
-the place and the merged piece, and one of ``VARIANTS`` numbers drawn from the
-seed, the document and the word's place, so equal words are cut in several ways
-while a retried task repeats itself.
+skipped if its keyed hash falls below ``dropout``.  The key is the seed, the
+document and the word's place in it, the place in the word and the merged piece,
+so every occurrence of a word is drawn for itself while a retried task repeats
+itself.
 
 No piece joins letters to a following space or crosses a line end, so the agenda
-runs word by word.  A slice of texts is encoded at once: each different
-(word, variant) is one row of a matrix, and all rows take their next merge
-together.  Very long words take a heap instead.
+runs word by word.  A slice of texts is encoded at once: all candidates that a
+word can ever have are drawn for each occurrence, occurrences with equal words
+and equal sets of skipped candidates are one row of a matrix, and all rows take
+their next merge together.  Very long words take a heap instead, one by one.
 
 Encoding is the library's (a leading dummy space, spaces as U+2581, byte pieces
 for unknown characters), but U+2581 itself is written as bytes, so that decoding
@@ -34,13 +35,15 @@ from quillstone.llm.arrowtext import Powers, mixed, slices, span_hashes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 20240229
-VARIANTS = 4
 
 #: Words up to this many characters are rows of the matrix.
 LONG = 64
 
 SLICE_BYTES = 1 << 20
 
+#: Words whose candidates are drawn at once.
+DRAWN_WORDS = 100_000
+
 _NONE = np.int32(2**31 - 1)
 _SPACE = 0x2581
 
@@ -57,6 +60,7 @@ class Vocabulary:
         self.byte_ids = np.array([own.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         #: The smaller, the earlier a piece is merged; equal scores share one.
         self.order = np.unique([-own.get_score(i) for i in range(self.size)], return_inverse=True)[1].astype(np.int32)
+        self.longest = max(len(name) for name in ids)
         self.letters = {ord(name): i for name, i in ids.items() if len(name) == 1}
         found = {}
         for name, i in ids.items():
@@ -112,9 +116,66 @@ class Agenda:
         return out
 
     def skipped(self, words: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """Whether the keyed hash drops a candidate; words: hashes of word and variant."""
-        h = mixed(words ^ self.seed ^ (place.astype(np.uint64) << np.uint64(32)) ^ (piece.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
-        return (h >> np.uint64(32)) < self.limit
+        """Whether the keyed hash drops a candidate; words: keys of document and place."""
+        return self._below(words ^ self._salt(place, piece))
+
+    def _salt(self, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        return self.seed ^ (place.astype(np.uint64) << np.uint64(32)) ^ (piece.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def _below(self, x: np.ndarray) -> np.ndarray:
+        return (mixed(x) >> np.uint64(32)) < self.limit
+
+    def reachable(self, points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word, place and piece of every candidate that the words can have, whatever is skipped; ordered by word."""
+        word = np.repeat(np.arange(len(size)), size)
+        start = np.cumsum(size) - size
+        place = np.arange(len(word)) - start[word]
+        symbol = self.letter[points[begin[word] + place]]
+        left = size[word] - place
+        pieces = [symbol, np.where(symbol < self.v.size, symbol, np.int32(-1))]  # by length; 0 is not used
+        there = [np.zeros(0, np.int64), np.flatnonzero(pieces[1] >= 0)]
+        for length in range(2, min(self.v.longest, int(size.max(initial=0))) + 1):
+            found = np.full(len(word), -1, np.int32)
+            for cut in range(1, length):
+                at = there[cut]
+                at = at[left[at] >= length]
+                at = at[(pieces[length - cut][at + cut] >= 0) & (found[at] < 0)]
+                if len(at):
+                    found[at] = self.merge(pieces[cut][at], pieces[length - cut][at + cut])
+            pieces.append(found)
+            there.append(np.flatnonzero(found >= 0))
+        at = np.concatenate(there[2:]) if len(there) > 2 else there[0]
+        piece = np.concatenate([p[t] for p, t in zip(pieces[2:], there[2:], strict=True)]) if len(there) > 2 else np.zeros(0, np.int32)
+        order = np.argsort(word[at], kind="stable")
+        return word[at][order], place[at][order], piece[order]
+
+    def groups(self, names: np.ndarray, keys: np.ndarray, points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A number for each word occurrence; equal ones have one word and one set of skipped candidates."""
+        if not self.limit:
+            return names
+        _, sample, which, times = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+        again = (times > 1) & (size[sample] <= LONG)
+        alone = ~again[which]
+        out = names + mixed(keys)
+        some = np.flatnonzero(~alone)
+        names, keys, which, sample = names[some], keys[some], (np.cumsum(again) - 1)[which[some]], sample[again]
+        word, place, piece = self.reachable(points, begin[sample], size[sample])
+        salt = self._salt(place, piece)
+        sign = mixed(salt + np.uint64(1))
+        count = np.bincount(word, minlength=len(sample))
+        first = np.cumsum(count) - count
+        for lo in range(0, len(names), DRAWN_WORDS):
+            own = which[lo : lo + DRAWN_WORDS]
+            many = count[own]
+            of = np.repeat(np.arange(len(own)), many)
+            at = np.arange(len(of)) + np.repeat(first[own] - (np.cumsum(many) - many), many)
+            hit = np.flatnonzero(self._below(np.repeat(keys[lo : lo + DRAWN_WORDS], many) ^ salt[at]))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sign[at[hit]])])
+            skipped = np.bincount(of[hit], minlength=len(own))
+            to = np.cumsum(skipped)
+            names[lo : lo + DRAWN_WORDS] += total[to] - total[to - skipped]
+        out[some] = names
+        return mixed(out)
 
     def candidates(self, words: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order and piece of each merge, _NONE if there is none or it is skipped."""
@@ -230,7 +291,7 @@ class Agenda:
         out[at] = self.v.byte_ids[np.frombuffer(b"".join(coded), np.uint8)]
         return out, np.bincount(word, weights=more, minlength=len(count)).astype(np.int64)
 
-    def encode(self, buf: np.ndarray, off: np.ndarray, keys: np.ndarray, powers: Powers, variants: int = VARIANTS) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, buf: np.ndarray, off: np.ndarray, keys: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and the offsets of the rows; keys: a number of each row."""
         filled = np.flatnonzero(np.diff(off) > 0)
         buf = np.insert(buf, off[filled], 0x20)  # the dummy space
@@ -249,12 +310,12 @@ class Agenda:
         names = span_hashes(buf, starts, ends, powers)
         row = np.repeat(np.arange(len(off) - 1), np.diff(first))
         place = np.arange(len(starts)) - first[:-1][row]
-        variant = mixed(keys.astype(np.uint64)[row] ^ mixed(place.astype(np.uint64) ^ self.seed)) % np.uint64(variants)
-        names = mixed(names + variant)
+        drawn = mixed(keys.astype(np.uint64)[row] ^ mixed(place.astype(np.uint64) ^ self.seed))
         points = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
         index = np.cumsum(np.concatenate([[0], (buf & 0xC0) != 0x80]))
-        unique, sample, which = np.unique(names, return_index=True, return_inverse=True)
-        symbols, count = self.words(unique, points, index[starts[sample]], index[ends[sample]] - index[starts[sample]])
+        at, long = index[starts], index[ends] - index[starts]
+        _, sample, which = np.unique(self.groups(names, drawn, points, at, long), return_index=True, return_inverse=True)
+        symbols, count = self.words(drawn[sample], points, at[sample], long[sample])
         begin = np.cumsum(count) - count
         size = count[which]
         total = np.cumsum(size)
@@ -277,7 +338,7 @@ def _vocabulary(model: str) -> Vocabulary:
         return Vocabulary(file.read())
 
 
-def encoded(documents: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encoded(documents: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, ids, n_pieces, lossless) of every whole text.
 
     lossless: decoding ids gave back the text's bytes.  Null and empty texts
@@ -292,7 +353,7 @@ def encoded(documents: DataFrame, model: str = MODEL, dropout: float = DROPOUT,
         agenda, powers = Agenda(v, dropout, seed), Powers()
         for batch, buf, off in slices(batches, limit=SLICE_BYTES):
             keys = np.asarray(batch.column(0).fill_null(0))
-            ids, edge = agenda.encode(buf, off, keys, powers, variants)
+            ids, edge = agenda.encode(buf, off, keys, powers)
             back, back_off = decode(v, ids, edge)
             same = np.array_equal(back, buf) and np.array_equal(back_off, off)
             good = [True] * batch.num_rows if same else [np.array_equal(back[back_off[i] : back_off[i + 1]], buf[off[i] : off[i + 1]]) for i in range(batch.num_rows)]

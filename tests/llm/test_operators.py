@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -221,6 +222,28 @@ def test_pieces_equal_the_library_without_dropout(spark, sf_dir, texts):
     assert {r.doc_id: r.text for r in pieces.decoded(varied).collect()} == dict(texts)
 
 
+def test_every_occurrence_is_drawn_for_itself(spark):
+    docs = spark.createDataFrame([(d, " ".join(["international"] * 500)) for d in range(20)], "doc_id long, text string").repartition(1)
+    v = pieces._vocabulary(pieces.MODEL)
+    cuts = Counter()
+    for r in pieces.encoded(docs).collect():
+        assert r.lossless
+        cuts.update("|".join(v.spelling[v.spelling_off[i] : v.spelling_off[i + 1]].tobytes().decode() for i in r.ids).split("| "))
+    assert len(cuts) > 20
+
+
+def test_shared_work_does_not_change_the_pieces(monkeypatch):
+    agenda = pieces.Agenda(pieces._vocabulary(pieces.MODEL), 0.1, 7)
+    monkeypatch.setattr(pieces, "DRAWN_WORDS", 1000)
+    texts = [t.encode() for _, t, *_ in ODD if t] + [("x" * 90 + " internationalisation of  tokens\n日本 ").encode() * 300]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    buf, keys = np.frombuffer(b"".join(texts), np.uint8), np.arange(len(texts))
+    shared = agenda.encode(buf, off, keys, pieces.Powers())
+    monkeypatch.setattr(agenda, "groups", lambda names, own, *_: own)  # every occurrence by itself
+    alone = agenda.encode(buf, off, keys, pieces.Powers())
+    assert all(np.array_equal(a, b) for a, b in zip(shared, alone, strict=True))
+
+
 def test_classifiers_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     for name, label, least in (("op1_quality_discriminant", "quality", 0.97), ("op2_weak_toxicity", "toxic", 0.95)):
