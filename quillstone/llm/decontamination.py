@@ -65,8 +65,8 @@ def _words(marked: Column) -> Column:
 
 
 def _templates(texts: DataFrame, id_column: str, name: str) -> DataFrame:
-    """(name, marked, hashes): hashes has the hash of each template token."""
-    marked = texts.select(F.col(id_column).cast("long").alias(name), _marked(F.col("text")).alias("marked"))
+    """(name, text_key, marked, hashes): hashes has the hash of each template token."""
+    marked = texts.select(F.col(id_column).cast("long").alias(name), F.xxhash64("text").alias("text_key"), _marked(F.col("text")).alias("marked"))
     return marked.withColumn("hashes", F.transform(_words(_template(F.col("marked"))), lambda t: F.xxhash64(t)))
 
 
@@ -87,7 +87,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     item's windows stand in the document at one offset (the best one), share of
     all it has; n_slots different values were replaced there.  Null and short
     texts have no windows, so an item of fewer than eight words is never found;
-    rows with a null id take part under the null id.  Repeated rows count once.
+    rows with a null id take part under the null id.  Repeated rows count once, and
+    different texts of one id are matched each by itself.
     Other columns are ignored; an empty table on either side gives no rows.
     """
     items = _windows(_templates(benchmark, "item_id", "item_id"), "item_id", "marked")
@@ -97,19 +98,21 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = items.select("window").distinct()
     n_known = known.count()
     small = n_known <= BROADCAST_HASHES
-    # Only ids, places and hashes go through the joins; texts follow for the documents whose matches have slots.
-    found = _windows(_templates(documents, "doc_id", "doc_id"), "doc_id").join(F.broadcast(known) if small else known, "window", "left_semi")
+    # Only row keys, places and hashes go through the joins; texts follow for the rows whose matches have slots.
+    found = _windows(_templates(documents, "doc_id", "doc_id"), "doc_id", "text_key").join(F.broadcast(known) if small else known, "window", "left_semi")
     met = written(found.join(F.broadcast(items) if n_known <= BROADCAST_WINDOWS else items, "window").withColumn("shift", F.col("at") - F.col("item_at")), "matches")
     empty = F.array().cast("array<struct<item:string,doc:string>>")
-    plain = met.where("not has_slots").select("doc_id", "item_id", "shift", "item_at", empty.alias("slots"))
-    slotted = met.where("has_slots")
-    ids = slotted.select(F.col("doc_id").alias("hit")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("hit"), "text")
-    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_HASHES else ids, "hit", "left_semi").select("hit", _marked(F.col("text")).alias("marked"))
+    plain = met.where("not has_slots").select("doc_id", "text_key", "item_id", "shift", "item_at", empty.alias("slots"))
+    slotted = met.where("has_slots").distinct()
+    rows = slotted.select(F.col("doc_id").alias("row_id"), F.col("text_key").alias("row_key")).distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("hit"), F.xxhash64("text").alias("hit_key"), "text")
+    own = F.col("hit").eqNullSafe(F.col("row_id")) & (F.col("hit_key") == F.col("row_key"))
+    texts = texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_HASHES else rows, own, "left_semi").dropDuplicates(["hit", "hit_key"]).select("hit", "hit_key", _marked(F.col("text")).alias("marked"))
     kinds = F.zip_with("template", "item_words", lambda t, i: F.when(t.startswith("<"), i))
     slots = F.filter(F.zip_with(kinds, _slice(_words(F.col("marked"))), lambda i, d: F.when(i.isNotNull(), F.struct(i.alias("item"), d.alias("doc")))), lambda s: s.isNotNull())
-    aligned = plain.unionByName(slotted.join(texts, slotted["doc_id"] == texts["hit"]).select("doc_id", "item_id", "shift", "item_at", slots.alias("slots")))
-    gathered = aligned.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    met_by = slotted["doc_id"].eqNullSafe(texts["hit"]) & (slotted["text_key"] == texts["hit_key"])
+    aligned = plain.unionByName(slotted.join(texts, met_by).select("doc_id", "text_key", "item_id", "shift", "item_at", slots.alias("slots")))
+    gathered = aligned.groupBy("doc_id", "text_key", "item_id", "shift").agg(F.countDistinct("item_at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))
     totals = items.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_item"))
     judged = gathered.where(consistent).join(totals, gathered["item_id"].eqNullSafe(totals["item_id"])).select("doc_id", gathered["item_id"], "n_windows", (F.col("n_windows") / F.col("n_item")).alias("share"), F.size("slots").cast("long").alias("n_slots"))

@@ -203,6 +203,13 @@ def test_reparameterised_questions(spark):
     assert got == {(1, 7), (4, 7)}
 
 
+def test_slots_follow_the_row_and_not_its_id(spark):
+    item = "If Mary buys 5 kg of apples at 2 dollars each then how much money must Mary pay in total today?"
+    docs = [(None, item.replace("Mary", "Anna")), (1, item), (1, item.replace("Mary", "Bob")), (1, "Other words of this id. " * 9)]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted((r.doc_id or 0, r.item_id) for r in found.collect()) == [(0, 7), (1, 7)]
+
+
 def test_leaks_are_found(spark, sf_dir, texts):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op3_benchmark_decontamination"](spark, sf_dir).collect()}
