@@ -7,6 +7,10 @@ names were changed still matches.  Matches of one document and item at one
 offset are gathered, and the replaced values must be consistent: one value of
 the item stands for one value of the document all along.
 
+Windows with few literal words would match anything as templates.  They, all
+other windows and whole items of fewer than eight words are also matched by
+their exact lower-case words, so a copy is found whatever it is made of.
+
 DataFrame functions only.  Document windows are filtered by the benchmark's
 window hashes before anything is shuffled.
 """
@@ -20,7 +24,7 @@ from quillstone.llm.lineage import written
 
 WINDOW = 8
 
-#: Different words that a window must have besides placeholders.
+#: Different words that a window must have besides placeholders to match as a template; others match exactly.
 LITERALS = 4
 
 #: An item is in a document if this many of its windows in a row of places match (13 tokens), or this share of them.
@@ -65,15 +69,21 @@ def _words(marked: Column) -> Column:
 
 
 def _templates(texts: DataFrame, id_column: str, name: str) -> DataFrame:
-    """(name, text_key, marked, hashes): hashes has the hash of each template token."""
+    """(name, text_key, marked, hashes, exact): the hash of each template token and of each lower-case word."""
     marked = texts.select(F.col(id_column).cast("long").alias(name), F.xxhash64("text").alias("text_key"), _marked(F.col("text")).alias("marked"))
-    return marked.withColumn("hashes", F.transform(_words(_template(F.col("marked"))), lambda t: F.xxhash64(t)))
+    exact = F.transform(_words(F.lower("marked")), lambda t: F.xxhash64(t))
+    return marked.select("*", F.transform(_words(_template(F.col("marked"))), lambda t: F.xxhash64(t)).alias("hashes"), exact.alias("exact"))
+
 
+def _windows(templates: DataFrame, lengths: list[int], *kept: str) -> DataFrame:
+    """(kept columns, at, length, window) for every window: of template tokens (length 0), and of so many exact words for each of the lengths."""
 
-def _windows(templates: DataFrame, *kept: str) -> DataFrame:
-    """(kept columns, at, window) for every window."""
-    starts = F.when(F.size("hashes") >= WINDOW, F.sequence(F.lit(1), F.size("hashes") - (WINDOW - 1)))
-    return templates.select(*kept, F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))).alias("at", "window"))
+    def of(hashes: str, n: int, length: int) -> Column:
+        starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.lit(length).alias("length"), F.xxhash64(F.slice(hashes, i, n), F.lit(length)).alias("window")))
+
+    parts = of("hashes", WINDOW, 0), *(of("exact", n, n) for n in lengths)
+    return templates.select(*kept, F.explode(F.concat(*parts)).alias("w")).select(*kept, "w.*")
 
 
 def _slice(words: Column) -> Column:
@@ -85,24 +95,29 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     documents: doc_id and text.  benchmark: item_id and text.  n_windows of the
     item's windows stand in the document at one offset (the best one), share of
-    all it has; n_slots different values were replaced there.  Null and short
-    texts have no windows, so an item of fewer than eight words is never found;
-    rows with a null id take part under the null id.  Repeated rows count once, and
+    all it has, or of those that can match as templates if that is more; n_slots
+    different values were replaced there.  A window matches as a template or by its
+    exact lower-case words; inconsistent slots are overruled only if all windows
+    match exactly.  An item of one to seven words is one window, which must stand in
+    the document exactly, so an item of one common word is in many documents.  Null
+    and empty texts have no windows; rows with a null id take part under the null id.  Repeated rows count once, and
     different texts of one id are matched each by itself.
     Other columns are ignored; an empty table on either side gives no rows.
     """
-    items = _windows(_templates(benchmark, "item_id", "item_id"), "item_id", "marked")
-    items = items.select("item_id", F.col("at").alias("item_at"), "window", _slice(_words(F.col("marked"))).alias("item_words"), _slice(_words(_template(F.col("marked")))).alias("template"))
+    asked = _templates(benchmark, "item_id", "item_id").where(F.size("exact") > 0)
+    lengths = sorted({r.n for r in asked.select(F.least(F.size("exact"), F.lit(WINDOW)).alias("n")).distinct().collect()})
+    asked = _windows(asked.withColumn("words", F.size("exact")), lengths, "item_id", "marked", "words").where((F.col("length") == 0) | (F.col("length") == F.least("words", F.lit(WINDOW))))
+    items = asked.select("item_id", F.col("at").alias("item_at"), "window", (F.col("length") > 0).alias("exact"), _slice(_words(F.col("marked"))).alias("item_words"), _slice(_words(_template(F.col("marked")))).alias("template"))
     literals = F.size(F.array_distinct(F.filter("template", lambda t: ~t.startswith("<"))))
-    items = items.where(literals >= LITERALS).distinct().withColumn("has_slots", F.exists("template", lambda t: t.startswith("<")))
+    items = items.where(F.col("exact") | (literals >= LITERALS)).distinct().withColumn("has_slots", F.exists("template", lambda t: t.startswith("<")))
     known = items.select("window").distinct()
     n_known = known.count()
     small = n_known <= BROADCAST_HASHES
     # Only row keys, places and hashes go through the joins; texts follow for the rows whose matches have slots.
-    found = _windows(_templates(documents, "doc_id", "doc_id"), "doc_id", "text_key").join(F.broadcast(known) if small else known, "window", "left_semi")
+    found = _windows(_templates(documents, "doc_id", "doc_id"), lengths, "doc_id", "text_key").join(F.broadcast(known) if small else known, "window", "left_semi")
     met = written(found.join(F.broadcast(items) if n_known <= BROADCAST_WINDOWS else items, "window").withColumn("shift", F.col("at") - F.col("item_at")), "matches")
     empty = F.array().cast("array<struct<item:string,doc:string>>")
-    plain = met.where("not has_slots").select("doc_id", "text_key", "item_id", "shift", "item_at", empty.alias("slots"))
+    plain = met.where("not has_slots").select("doc_id", "text_key", "item_id", "shift", "item_at", "exact", empty.alias("slots"))
     slotted = met.where("has_slots").distinct()
     rows = slotted.select(F.col("doc_id").alias("row_id"), F.col("text_key").alias("row_key")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("hit"), F.xxhash64("text").alias("hit_key"), "text")
@@ -111,11 +126,17 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     kinds = F.zip_with("template", "item_words", lambda t, i: F.when(t.startswith("<"), i))
     slots = F.filter(F.zip_with(kinds, _slice(_words(F.col("marked"))), lambda i, d: F.when(i.isNotNull(), F.struct(i.alias("item"), d.alias("doc")))), lambda s: s.isNotNull())
     met_by = slotted["doc_id"].eqNullSafe(texts["hit"]) & (slotted["text_key"] == texts["hit_key"])
-    aligned = plain.unionByName(slotted.join(texts, met_by).select("doc_id", "text_key", "item_id", "shift", "item_at", slots.alias("slots")))
-    gathered = aligned.groupBy("doc_id", "text_key", "item_id", "shift").agg(F.countDistinct("item_at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    aligned = plain.unionByName(slotted.join(texts, met_by).select("doc_id", "text_key", "item_id", "shift", "item_at", "exact", slots.alias("slots")))
+    def places(kind: Column) -> Column:
+        return F.size(F.collect_set(F.when(kind, F.col("item_at"))))
+
+    counts = places(F.lit(True)).alias("n_all"), places(F.col("exact")).alias("n_exact"), places(~F.col("exact")).alias("n_template")
+    gathered = aligned.groupBy("doc_id", "text_key", "item_id", "shift").agg(*counts, F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))
-    totals = items.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_item"))
-    judged = gathered.where(consistent).join(totals, gathered["item_id"].eqNullSafe(totals["item_id"])).select("doc_id", gathered["item_id"], "n_windows", (F.col("n_windows") / F.col("n_item")).alias("share"), F.size("slots").cast("long").alias("n_slots"))
+    totals = items.groupBy("item_id").agg(places(F.col("exact")).alias("n_item"), places(~F.col("exact")).alias("n_item_template"))
+    share = F.greatest(F.col("n_all") / F.col("n_item"), F.try_divide("n_template", "n_item_template"))
+    whole = gathered.join(totals, gathered["item_id"].eqNullSafe(totals["item_id"])).where(consistent | (F.col("n_exact") == F.col("n_item")))
+    judged = whole.select("doc_id", gathered["item_id"], F.col("n_all").cast("long").alias("n_windows"), share.alias("share"), F.when(consistent, F.size("slots")).otherwise(0).cast("long").alias("n_slots"))
     held = judged.where((F.col("n_windows") >= RUN) | (F.col("share") >= SHARE))
     best = held.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "share", "n_slots")).alias("best"))
     return best.select("doc_id", "item_id", "best.n_windows", "best.share", "best.n_slots")

@@ -210,6 +210,14 @@ def test_slots_follow_the_row_and_not_its_id(spark):
     assert sorted((r.doc_id or 0, r.item_id) for r in found.collect()) == [(0, 7), (1, 7)]
 
 
+def test_items_without_template_windows_are_found_exactly(spark):
+    items = [(0, "What is 12 + 7 * 3 - 44 / 5 + 9 * 8?"), (1, "Anna Bob Carl Dora Emil Fritz Gerd Hans Ida"), (2, "how tall is the tower"), (3, "What do the seven small dwarfs eat tonight"), (4, "THE CAPITAL OF FRANCE IS THE CITY OF PARIS"), (5, None), (6, " ?")]
+    docs = [(i, f"Some words before {x} and after it.") for i, x in items if x] + [(10, "What is 13 + 7 * 3 - 44 / 5 + 9 * 8?"), (11, "How tall is a tower"), (12, "the Capital of france is the city of Paris")]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} >= {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (12, 4)}
+    assert {(r.doc_id, r.item_id) for r in found.collect() if r.doc_id in (6, 11)} == set()
+
+
 def test_leaks_are_found(spark, sf_dir, texts):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op3_benchmark_decontamination"](spark, sf_dir).collect()}
