@@ -66,7 +66,52 @@ def test_odd_rows(spark, odd, labels):
     assert removed == {(1, 14): 0, (2, 14): 14, (3, 0): 0, (4, 0): 0, (None, 14): 0, (5, 40000): removed[5, 40000], (6, 40001): 40000, (7, 9): 0, (8, 5): 0}
     assert {r.doc_id for r in found["simhash"] if r.component_id == 3} == {3, 4}
     assert sorted(zip((r.shard for r in found["shards"]), (r.slot for r in found["shards"]), strict=True)) == sorted((i % 8, i // 8) for i in range(n))
-    assert set(found["lines"][0].asDict()) == {"doc_id", "text", "shard", "row", "print", "n_lines", "n_removed", "n_runs", "longest_run"}
+    assert set(found["lines"][0].asDict()) == {"doc_id", "text", "shard", "row", "print", "n_lines", "n_removed", "n_runs", "longest_run", "longest_repeat"}
+
+
+LINED = [
+    (1, "a\nb\n\nc\nonly one\nd\ne\nf", "mine", 7), (2, "x\na\nb\nc\ny", None, 7), (2, "x\na\nb\nc\ny", None, 7), (3, "d\ne\nz\n\n\nb\n\nc\n\nend", "", 7), (None, "q\nd\ne", "n", 7),
+    (4, None, "n", 7), (5, "", "n", 7), (6, "a\na\na\na\nb\nc", "n", 7), (7, "c\n \n" + "b\nc\n" * 300, "n", 7), (8, "\n".join(["b", "c"] * 40), "n", 7), (9, "f\n" + "w " * 25 + "\ng\n" + "w " * 25, "n", 7),
+]
+
+
+def _lined(rows, min_lines=2, min_words=20):
+    """Brute force of line dedup: {(doc, text): (text left, longest run that occurs elsewhere)}."""
+    docs = sorted({(d, t or "") for d, t, *_ in rows}, key=lambda x: (x[0] is not None, x[0] or 0))
+    lines = {x: [(i, s) for i, s in enumerate(x[1].split("\n")) if WORD.search(s)] for x in docs}
+    gone, longest = {x: set() for x in docs}, dict.fromkeys(docs, 0)
+    for size in range(1, max(map(len, lines.values())) + 1):
+        seen, first = Counter(), {}
+        windows = [(x, i, tuple(s for _, s in held[i : i + size])) for x, held in lines.items() for i in range(len(held) - size + 1)]
+        for x, i, w in windows:
+            seen[w] += 1
+            if first.setdefault(w, (x, i)) != (x, i) and (size >= min_lines or len(WORD.findall(w[0])) >= min_words):
+                gone[x].update(range(lines[x][i][0], lines[x][i + size - 1][0] + 1))
+        if not any(n > 1 for n in seen.values()):
+            break
+        for x, _, w in windows:
+            longest[x] = size if seen[w] > 1 else longest[x]
+    return {x: ("\n".join(s for i, s in enumerate(x[1].split("\n")) if i not in gone[x]), longest[x]) for x in docs}
+
+
+@pytest.mark.parametrize("depth", [2, 4])
+def test_line_runs(spark, depth):
+    docs = spark.createDataFrame(LINED, "doc_id long, text string, n_runs string, `a.b` int")
+    want = _lined(LINED, depth)
+    held = {d: t or "" for d, t, *_ in LINED}
+    got = linededup.deduplicated(docs, depth).collect()
+    assert sorted(((r.doc_id or 0, r.text or "", r.longest_repeat) for r in got)) == sorted((d or 0, *want[d, held[d]]) for d, *_ in LINED)
+    kept = linededup.without_repeated_lines(docs, depth)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.n_runs or "", r["a.b"]) for r in kept.collect()) == sorted((d or 0, n or "", k) for d, _, n, k in LINED)
+
+
+def test_lines_are_kept_when_the_array_says_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"only {i}\na\nb\nother {i}") for i in range(3)], "doc_id long, text string")
+    assert {r.n_removed for r in linededup.deduplicated(docs).collect()} == {0, 2}
+    monkeypatch.setattr(linededup, "common_prefixes", lambda ranks, rounds, own=linededup.common_prefixes: own(ranks, rounds).withColumn("lcp", F.lit(0)))
+    monkeypatch.setattr(linededup, "_ranked", lambda classes, own=linededup._ranked: own(classes).withColumn("rank", -F.col("rank")))
+    docs = spark.createDataFrame([(i, "a\nb\n" * (i + 1)) for i in range(3)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in linededup.deduplicated(docs).collect()} != {0: 0, 1: 4, 2: 6}
 
 
 def test_empty_tables(spark, odd, labels):
