@@ -1,153 +1,243 @@
 """Removal of passages that earlier documents hold, with sharded phrase automata.
 
-A window is ``WINDOW`` consecutive words of one document.  Documents are dealt
-into shards of about ``SHARD_BYTES`` by ranges of doc_id, so an earlier shard
-holds smaller ids only.
-
-1. Confirm.  Each shard sends the distinct hashes of its windows to groups of
-   the hash range, sorted and delta-coded (six bytes each).  A group answers
-   every shard with one bit for each of its hashes: does an earlier shard hold
-   it too?  A passage common to many documents is one hash for each shard.
-2. Compile.  Runs of confirmed windows are recurring passages; each is cut into
-   consecutive phrases of ``WINDOW`` words, the last aligned to its end.  The
-   phrases of a shard become one Aho-Corasick automaton over word numbers.
-   Phrases have one length, so at most one ends at any word.
-3. Stream.  All documents of the shard pass through its automaton; every
-   occurrence of a phrase that a smaller doc_id holds (in an earlier shard or in
-   this one) marks its words, which are removed.
-
-An automaton never exceeds its shard, and no task sees more than one shard's
-texts or one hash range.  Windows are compared by 64-bit hashes.
+A window is ``WINDOW`` consecutive words of one document.  Documents are sorted
+by doc_id into ranges, and each range is cut into shards of about
+``SHARD_BYTES``, so an earlier shard holds no larger id.
+
+1. Confirm.  Each shard sends shortened hashes of its different windows, sorted
+   and delta-coded, to groups of the hash range.  A group tells the first shard
+   that holds a hash which later shards hold it too.  Shortened hashes can name
+   too many windows, never too few.
+2. Compile.  The first holder cuts the confirmed windows of each later shard into
+   passages (runs of windows, as words, with the smallest doc_id that holds them)
+   and sends them there.  A shard's Aho-Corasick automaton is made of the phrases,
+   ``WINDOW`` words each, of the passages that it was sent and of those that recur
+   inside it; a passage is sent only where it can occur.
+3. Stream.  Every document passes through its shard's automaton.  Each occurrence
+   of a phrase whose holder has a smaller doc_id marks its words, which are
+   removed.  What is removed follows from these matches alone.
+
+An automaton is bounded by its shard.  No task sees more than one shard's texts,
+one hash range or one range of the sort.  Words are compared by 64-bit hashes.
+Step 1 sends a row for each shard and hash range, so both grow together: for
+inputs of many terabytes give ``shard_bytes`` and ``range_bytes`` that executors
+of that cluster can hold (a task needs about 60 bytes for each byte of a shard).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.arrowtext import Powers, flat, joined, span_hashes, windows, word_spans
 
 WINDOW = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 RANGE_BYTES = 16 << 20
 
+#: Bytes of one range of the sort, and the most ranges.
+SORT_BYTES = 16 << 20
+SORTS = 20_000
+
+#: Bits of a window hash beyond those that number all windows; so few different windows share a shortened hash.
+SPARE_BITS = 10
+
+#: Shards that one row with a passage names at most; longer lists take several rows, so that they spread.
+TAKERS = 256
+
+#: Characters that stand for words; surrogates are no characters.
+LETTERS = 0x110000 - 0x800 - 1
+
+
+def _words(column: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    buf, off = flat(column)
+    starts, ends, first = word_spans(buf, off)
+    return buf, starts, ends, first, span_hashes(buf, starts, ends, powers)
+
 
 class _Shard:
     """The documents of one shard by doc_id, their words and windows."""
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, table: pa.Table, bits: int) -> None:
         self.table = table.combine_chunks().sort_by("doc_id")
         column = self.table["text"].combine_chunks() if self.table.num_rows else pa.array([], pa.string())
-        self.buf, off = flat(column)
-        self.starts, self.ends, self.first = word_spans(self.buf, off)
-        powers = Powers()
-        self.words = span_hashes(self.buf, self.starts, self.ends, powers)
+        self.powers = Powers()
+        self.buf, self.starts, self.ends, self.first, self.words = _words(column, self.powers)
         self.begin, self.row = windows(self.first, WINDOW)
-        self.hashes, self.sample, self.which = np.unique(span_hashes(self.words, self.begin, self.begin + WINDOW, powers), return_index=True, return_inverse=True)
-        ids = self.table["doc_id"].to_numpy()
-        self.rank = np.concatenate([[0], np.cumsum(ids[1:] != ids[:-1])]) if len(ids) else ids
+        self.ids = self.table["doc_id"].to_numpy()
+        # Different windows; sample is the first place of each, which has its smallest doc_id.
+        self.hashes, self.sample, self.which = np.unique(span_hashes(self.words, self.begin, self.begin + WINDOW, self.powers), return_index=True, return_inverse=True)
+        short = self.hashes >> np.uint64(64 - bits)
+        new = np.ones(len(short), bool)
+        new[1:] = short[1:] != short[:-1]
+        self.short, self.group = short[new], np.append(np.flatnonzero(new), len(short))
 
 
-def _ranges(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Where each of the 2**bits hash ranges begins among the sorted hashes, and the end."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
-    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+def _ranges(short: np.ndarray, bits: int, range_bits: int) -> np.ndarray:
+    """Where each of the 2**range_bits hash ranges begins among the sorted hashes, and the end."""
+    edges = np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(bits - range_bits)
+    return np.concatenate([[0], np.searchsorted(short, edges), [len(short)]]).astype(np.int64)
 
 
 def _packed(hashes: np.ndarray) -> bytes:
-    """Differences of the sorted hashes in six bytes, or in eight if one is too large; the first byte tells."""
-    steps = np.diff(hashes, prepend=np.uint64(0))
-    wide = 6 if len(steps) < 2 or int(steps[1:].max()) < 1 << 48 else 8
-    head = int(steps[0]).to_bytes(8, "little") if len(steps) else b""
-    return bytes([wide]) + head + steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+    """The first of the sorted hashes in eight bytes, and the differences in as few as hold the largest; the first byte tells how many."""
+    steps = np.diff(hashes)
+    wide = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 1
+    return bytes([wide]) + int(hashes[0]).to_bytes(8, "little") + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    wide, raw = blob[0], np.frombuffer(blob, np.uint8)[1:]
-    rest = raw[8:].reshape(-1, wide)
+    raw = np.frombuffer(blob, np.uint8)
+    rest = raw[9:].reshape(-1, raw[0])
     steps = np.zeros((len(rest) + 1, 8), np.uint8)
-    steps[0], steps[1:, :wide] = raw[:8], rest
+    steps[0], steps[1:, : raw[0]] = raw[1:9], rest
     return np.cumsum(steps.view("<u8")[:, 0].astype(np.uint64), dtype=np.uint64)
 
 
-def _asked(bits: int):
+def _asked(bits: int, range_bits: int):
     def ask(table: pa.Table) -> pa.Table:
-        shard = _Shard(table)
-        cut = _ranges(shard.hashes, bits)
-        sent = [r for r in range(1 << bits) if cut[r] < cut[r + 1]]
+        shard = _Shard(table, bits)
+        cut = _ranges(shard.short, bits, range_bits)
+        sent = np.flatnonzero(cut[1:] > cut[:-1])
         name = table["shard"][0].as_py()
-        return pa.table({"range": pa.array(sent, pa.int32()), "shard": pa.array([name] * len(sent), pa.int32()), "hashes": pa.array([_packed(shard.hashes[cut[r] : cut[r + 1]]) for r in sent], pa.binary())})
+        blobs = [_packed(shard.short[cut[r] : cut[r + 1]]) for r in sent]
+        return pa.table({"range": pa.array(sent, pa.int32()), "shard": pa.array([name] * len(sent), pa.int64()), "hashes": pa.array(blobs, pa.binary())})
 
     return ask
 
 
 def _answered(table: pa.Table) -> pa.Table:
-    """For each shard's hashes of one range, which of them an earlier shard holds."""
+    """For the first shard that holds a hash of this range: the hash's number among its own, and each later shard that holds it."""
     table = table.sort_by("shard")
     parts = [_unpacked(b) for b in table["hashes"].to_pylist()]
-    every = np.concatenate(parts)
+    every, names = np.concatenate(parts), table["shard"].to_numpy()
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    begins = np.cumsum([0, *[len(p) for p in parts]])
     order = np.argsort(every, kind="stable")  # shards stay in order
-    again = np.zeros(len(every), bool)
-    again[order[1:]] = every[order[1:]] == every[order[:-1]]
-    edges = np.cumsum([len(p) for p in parts])[:-1]
-    return pa.table({"range": table["range"].cast(pa.int32()), "shard": table["shard"].cast(pa.int32()), "seen": pa.array([np.packbits(x).tobytes() for x in np.split(again, edges)], pa.binary())})
-
-
-def _letters(numbers: np.ndarray) -> str:
-    """One character for each number below a million, surrogates left out."""
-    points = np.where(numbers < 0xD7FF, numbers + 1, numbers + 0x801).astype("<u4")
-    return points.tobytes().decode("utf-32-le")
+    new = np.ones(len(every), bool)
+    new[1:] = every[order[1:]] != every[order[:-1]]
+    giver = order[np.flatnonzero(new)][np.cumsum(new) - 1][~new]
+    taker = owner[order[~new]]
+    by = np.argsort(owner[giver], kind="stable")
+    giver, taker = giver[by], taker[by]
+    cut = np.flatnonzero(np.diff(owner[giver], prepend=-1))
+    rows = []
+    for a, b in zip(cut, np.append(cut, len(giver))[1:], strict=True):
+        first = owner[giver[a]]
+        rows.append((names[first], (giver[a:b] - begins[first]).astype("<i4").tobytes(), names[taker[a:b]].astype("<i8").tobytes()))
+    shard, at, takers = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [])
+    ranges = pa.array([table["range"][0].as_py()] * len(rows), pa.int32())
+    return pa.table({"range": ranges, "shard": pa.array(shard, pa.int64()), "at": pa.array(at, pa.binary()), "takers": pa.array(takers, pa.binary())})
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of every span, one span after the other."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def _given(bits: int, range_bits: int):
+    def give(table: pa.Table, orders: pa.Table) -> pa.Table:
+        nothing = pa.table({"holder": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "takers": pa.array([], pa.list_(pa.int64()))})
+        if not orders.num_rows or not table.num_rows:
+            return nothing
+        shard = _Shard(table, bits)
+        edges = _ranges(shard.short, bits, range_bits)
+        at = np.concatenate([edges[r] + np.frombuffer(b, "<i4") for r, b in zip(orders["range"].to_pylist(), orders["at"].to_pylist(), strict=True)])
+        taker = np.concatenate([np.frombuffer(b, "<i8") for b in orders["takers"].to_pylist()])
+        many = shard.group[at + 1] - shard.group[at]
+        place, taker = shard.sample[_spans(shard.group[at], many)], np.repeat(taker, many)
+        order = np.lexsort((place, taker))
+        place, taker = place[order], taker[order]
+        # Passages: windows of one document that follow each other.
+        head = np.ones(len(place), bool)
+        head[1:] = (taker[1:] != taker[:-1]) | (place[1:] != place[:-1] + 1) | (shard.row[place[1:]] != shard.row[place[:-1]])
+        at = np.flatnonzero(head)
+        begin, size, taker = place[at], np.diff(np.append(at, len(place))), taker[at]
+        order = np.lexsort((taker, size, begin))
+        begin, size, taker = begin[order], size[order], taker[order]
+        new = np.ones(len(begin), bool)
+        new[1:] = (begin[1:] != begin[:-1]) | (size[1:] != size[:-1])
+        since = np.arange(len(begin)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        cut = np.flatnonzero(since % TAKERS == 0)
+        begin, size = begin[cut], size[cut] + WINDOW - 1
+        words = _spans(shard.begin[begin], size)
+        out, starts, ends = joined(shard.buf, shard.starts[words], shard.ends[words])
+        last = np.cumsum(size)
+        data, lead, stop = out.tobytes(), starts[last - size].tolist(), ends[last - 1].tolist()
+        texts = pa.array([data[a:b] for a, b in zip(lead, stop, strict=True)], pa.binary()).cast(pa.string())
+        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(taker)), pa.int32()), pa.array(taker, pa.int64()))
+        return pa.table({"holder": pa.array(shard.ids[shard.row[begin]], pa.int64()), "text": texts, "takers": lists})
+
+    return give
+
+
+class _Letters:
+    """Words as characters; two characters for each if there are too many words."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        names, numbers = np.unique(words, return_inverse=True)
+        self.wide = 1 if len(names) <= LETTERS else 2
+        digits = numbers if self.wide == 1 else np.stack([numbers // LETTERS, numbers % LETTERS], axis=1).ravel()
+        self.text = np.where(digits < 0xD7FF, digits + 1, digits + 0x801).astype("<u4").tobytes().decode("utf-32-le")
+
+    def of(self, begin: int, end: int) -> str:
+        return self.text[self.wide * begin : self.wide * end]
+
+    def met(self, automaton: ahocorasick.Automaton, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words and values of the phrases that stand in the first ``end`` words."""
+        found = np.array([x for pair in automaton.iter(self.of(0, end)) for x in pair], np.int64).reshape(-1, 2)
+        found = found[(found[:, 0] + 1) % self.wide == 0]
+        return (found[:, 0] + 1) // self.wide - WINDOW, found[:, 1]
+
+
+def _automaton(letters: _Letters, begins: np.ndarray) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for i, begin in enumerate(begins.tolist()):
+        automaton.add_word(letters.of(begin, begin + WINDOW), i)
+    automaton.make_automaton()
+    return automaton
 
 
-def _removed(shard: _Shard, earlier: np.ndarray) -> np.ndarray:
-    """For each word of the shard, whether a confirmed phrase of a smaller doc_id covers it."""
+def _removed(shard: _Shard, passages: pa.Table) -> np.ndarray:
+    """For each word of the shard, whether an occurrence of a phrase of a smaller doc_id covers it."""
     gone = np.zeros(len(shard.words), bool)
-    # The smallest rank that holds each window; -1: an earlier shard does.
-    least = np.where(earlier, -1, shard.rank[shard.row[shard.sample]]) if len(shard.sample) else shard.sample
-    late = least[shard.which] < shard.rank[shard.row] if len(shard.row) else np.zeros(0, bool)
-    if not late.any():
+    _, _, _, first, words = _words(passages["text"].combine_chunks() if passages.num_rows else pa.array([], pa.string()), shard.powers)
+    begin, row = windows(first, WINDOW)
+    sent = span_hashes(words, begin, begin + WINDOW, shard.powers)
+    # Phrases that recur inside the shard: some place of theirs has a larger doc_id than the first.
+    least = shard.ids[shard.row[shard.sample]]
+    again = np.zeros(len(shard.hashes), bool)
+    again[shard.which[shard.ids[shard.row] > least[shard.which]]] = True
+    own = np.flatnonzero(again)
+    names = np.concatenate([sent, shard.hashes[own]])
+    holders = np.concatenate([passages["holder"].to_numpy()[row] if len(row) else np.zeros(0, np.int64), least[own]])
+    begins = np.concatenate([begin + len(shard.words), shard.begin[shard.sample[own]]])
+    if not len(names):
         return gone
-    head = late.copy()
-    head[1:] &= ~(late[:-1] & (shard.row[1:] == shard.row[:-1]))
-    run = np.cumsum(head)[late] - 1
-    at = np.flatnonzero(late)
-    offset = at - at[np.flatnonzero(head[late])][run]
-    final = np.append(run[1:] != run[:-1], True)
-    phrases = at[(offset % WINDOW == 0) | final]
-    _, numbers = np.unique(shard.words, return_inverse=True)
-    text = _letters(numbers % 1_000_000)
-    automaton = ahocorasick.Automaton()
-    for window in phrases[np.unique(shard.which[phrases], return_index=True)[1]].tolist():
-        begin = int(shard.begin[window])
-        automaton.add_word(text[begin : begin + WINDOW], int(shard.which[window]))
-    automaton.make_automaton()
-    met = np.array([x for pair in automaton.iter(text) for x in pair], np.int64).reshape(-1, 2)
-    begin = met[:, 0] - WINDOW + 1
-    window = np.searchsorted(shard.begin, begin)
+    order = np.lexsort((holders, names))
+    new = np.ones(len(order), bool)
+    new[1:] = names[order[1:]] != names[order[:-1]]
+    holders, begins = holders[order][new], begins[order][new]
+    letters = _Letters(np.concatenate([shard.words, words]))
+    at, phrase = letters.met(_automaton(letters, begins), len(shard.words))
+    window = np.searchsorted(shard.begin, at)
     window[window == len(shard.begin)] = 0
-    # Phrases don't cross documents, and a phrase is the same words, not only the same letters.
-    real = (shard.begin[window] == begin) & (shard.which[window] == met[:, 1])
-    window = window[real]
-    window = window[least[shard.which[window]] < shard.rank[shard.row[window]]]
-    edge = np.zeros(len(gone) + 1, np.int64)
-    np.add.at(edge, shard.begin[window], 1)
-    np.add.at(edge, shard.begin[window] + WINDOW, -1)
+    whole = shard.begin[window] == at  # phrases don't cross documents
+    at = at[whole & (holders[phrase] < shard.ids[shard.row[window]])]
+    edge = np.bincount(at, minlength=len(gone) + 1) - np.bincount(at + WINDOW, minlength=len(gone) + 1)
     return np.cumsum(edge)[:-1] > 0
 
 
 def _cut(bits: int):
-    def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
-        shard = _Shard(table)
-        earlier = np.zeros(len(shard.hashes), bool)
-        edges = _ranges(shard.hashes, bits)
-        for r, seen in zip(answers["range"].to_pylist(), answers["seen"].to_pylist(), strict=True):
-            a, b = edges[r], edges[r + 1]
-            earlier[a:b] = np.unpackbits(np.frombuffer(seen, np.uint8), count=b - a)
-        gone = _removed(shard, earlier)
+    def cut(table: pa.Table, passages: pa.Table) -> pa.Table:
+        shard = _Shard(table, bits)
+        gone = _removed(shard, passages)
         kept = ~gone
         out, starts, ends = joined(shard.buf, shard.starts[kept], shard.ends[kept])
         sums = np.concatenate([[0], np.cumsum(kept)])[shard.first]
@@ -159,30 +249,41 @@ def _cut(bits: int):
     return cut
 
 
-def without_repeats(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _dealt(known: DataFrame, total: int, shard_bytes: int) -> DataFrame:
+    """(doc_id, text, shard): shards of about shard_bytes, numbered in the order of doc_id; one document is never cut."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, passed = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            _, off = flat(batch.column(1))
+            shard = name + (passed + off[:-1]) // shard_bytes
+            passed += int(off[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard, pa.int64())], names=["doc_id", "text", "shard"])
+
+    ranges = max(1, min(SORTS, -(-total // SORT_BYTES)))
+    by = "doc_id", F.xxhash64("text")  # so that one doc_id with very many texts is split
+    return known.repartitionByRange(ranges, *by).sortWithinPartitions(*by).mapInArrow(deal, "doc_id long, text string, shard long")
+
+
+def without_repeats(documents: DataFrame, shard_bytes: int = SHARD_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, text): the kept words of every document, one space between them.
 
-    Null and empty texts have no words.  Rows with a null doc_id have no order:
-    nothing is removed from them or because of them.  Rows of one doc_id don't
-    remove from each other.  Other columns are ignored; an empty table gives an
+    Null and empty texts have no words; a very long text is a shard of its own.
+    Rows with a null doc_id have no order: nothing is removed from them or
+    because of them.  Rows of one doc_id don't remove from each other, and
+    repeated rows stay.  Other columns are ignored; an empty table gives an
     empty result.
     """
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total, rows = narrow.where("doc_id is not null").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    shards = max(1, min(-(-total // shard_bytes), rows))
-    bits = max(0, (-(-total // RANGE_BYTES) - 1).bit_length())
-    steps = [i / shards for i in range(1, shards)]
-    edges = narrow.agg(F.percentile_approx("doc_id", steps, max(10_000, 20 * shards))).first()[0] if steps else []
-    splits = [-float("inf"), *sorted({float(x) + 0.5 for x in edges}), float("inf")]
     known = narrow.where("doc_id is not null")
-    if len(splits) > 2:
-        dealt = Bucketizer(splits=splits, inputCol="as_double", outputCol="as_shard").transform(known.withColumn("as_double", F.col("doc_id").cast("double")))
-    else:
-        dealt = known.withColumn("as_shard", F.lit(0))
-    placed = dealt.select("doc_id", "text", F.col("as_shard").cast("int").alias("shard"))
-    asked = placed.groupBy("shard").applyInArrow(_asked(bits), "range int, shard int, hashes binary")
-    answers = asked.groupBy("range").applyInArrow(_answered, "range int, shard int, seen binary")
-    cut = placed.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_cut(bits), "doc_id long, n_words long, n_removed long, text string")
+    total = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(64, max(32, int(total).bit_length() + SPARE_BITS))
+    range_bits = max(0, (-(-total // range_bytes) - 1).bit_length())
+    placed = _dealt(known, total, shard_bytes)
+    asked = placed.groupBy("shard").applyInArrow(_asked(bits, range_bits), "range int, shard long, hashes binary")
+    orders = asked.groupBy("range").applyInArrow(_answered, "range int, shard long, at binary, takers binary")
+    passages = placed.groupBy("shard").cogroup(orders.groupBy("shard")).applyInArrow(_given(bits, range_bits), "holder long, text string, takers array<long>")
+    sent = passages.repartition("text", "takers").select("holder", "text", F.explode("takers").alias("shard"))
+    cut = placed.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(_cut(bits), "doc_id long, n_words long, n_removed long, text string")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     free = narrow.where("doc_id is null").select("doc_id", F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(words, " ").alias("text"))
     return cut.unionByName(free)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ def test_odd_rows(spark, odd, labels):
 
 LINED = [
     (1, "a\nb\n\nc\nonly one\nd\ne\nf", "mine", 7), (2, "x\na\nb\nc\ny", None, 7), (2, "x\na\nb\nc\ny", None, 7), (3, "d\ne\nz\n\n\nb\n\nc\n\nend", "", 7), (None, "q\nd\ne", "n", 7),
-    (4, None, "n", 7), (5, "", "n", 7), (6, "a\na\na\na\nb\nc", "n", 7), (7, "c\n \n" + "b\nc\n" * 300, "n", 7), (8, "\n".join(["b", "c"] * 40), "n", 7), (9, "f\n" + "w " * 25 + "\ng\n" + "w " * 25, "n", 7),
+    (4, None, "n", 7), (5, "", "n", 7), (6, "a\na\na\na\nb\nc", "n", 7), (7, "c\n \n" + "b\nc\n" * 9, "n", 7), (8, "\n".join(["b", "c"] * 40), "n", 7), (9, "f\n" + "w " * 25 + "\ng\n" + "w " * 25, "n", 7),
 ]
 
 
@@ -167,19 +168,48 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100, 102: 100}
 
 
-def test_phrases_in_small_shards(spark, sf_dir, texts):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = {d: WORD.findall(t or "") for d, t in texts}
+def _phrased(rows):
+    """Brute force of phrase removal: (doc_id, words, removed, text left) of every row."""
+    words = [(d, WORD.findall(t or "")) for d, t in rows]
     first = {}
-    for d in sorted(words):
-        for i in range(len(words[d]) - 12):
-            first.setdefault(tuple(words[d][i : i + 13]), d)
-    kept = {}
-    for d, w in words.items():
-        gone = {i + k for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for k in range(13)}
-        kept[d] = (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
-    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in phrases.without_repeats(docs, 20_000).collect()}
-    assert got == kept
+    for d, w in words:
+        for i in range(len(w) - 12 if d is not None else 0):
+            first[tuple(w[i : i + 13])] = min(d, first.get(tuple(w[i : i + 13]), d))
+    kept = []
+    for d, w in words:
+        gone = {i + k for i in range(len(w) - 12) if d is not None and first[tuple(w[i : i + 13])] < d for k in range(13)}
+        kept.append((d or 0, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return sorted(kept)
+
+
+def test_phrases_in_small_shards(spark, sf_dir, texts, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    monkeypatch.setattr(phrases, "SORT_BYTES", 100_000)
+    monkeypatch.setattr(phrases, "TAKERS", 2)
+    got = sorted(tuple(r) for r in phrases.without_repeats(docs, 20_000, 50_000).select("doc_id", "n_words", "n_removed", "text").collect())
+    assert got == _phrased(texts)
+
+
+def test_phrases_of_one_id_and_of_many_words(spark, monkeypatch):
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(7, " ".join([f"x{i}", *passage[i % 9 : 30], f"y{i}"])) for i in range(12)] + [(9, " ".join(passage)), (3, " ".join(passage[20:34])), (9, "a " * 30), (11, "a " * 20), (7, None), (None, " ".join(passage))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _phrased(rows)
+    for letters, shard in ((phrases.LETTERS, 200), (7, 200), (7, 1 << 20)):  # few letters: two for each word
+        monkeypatch.setattr(phrases, "LETTERS", letters)
+        assert sorted((r.doc_id or 0, *r[1:]) for r in phrases.without_repeats(docs, shard).collect()) == want
+    assert any(n for _, _, n, _ in want)
+
+
+def test_only_automata_remove_words():
+    table = pa.table({"doc_id": [1, 2], "text": [" ".join(f"w{i}" for i in range(20))] * 2, "shard": [0, 0]})
+    shard = phrases._Shard(table, 40)
+    sent = pa.table({"holder": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+    assert phrases._removed(shard, sent).sum() == 20
+    other = phrases._Shard(table.slice(1), 40)
+    assert phrases._removed(other, sent).sum() == 0  # nothing recurs inside, and nothing was sent
+    sent = pa.table({"holder": pa.array([1], pa.int64()), "text": [" ".join(f"w{i}" for i in range(3, 17))]})
+    assert phrases._removed(other, sent).sum() == 14
 
 
 def test_licence_places(spark, sf_dir, texts):
