@@ -5,15 +5,15 @@ no sequence.  Only lines that occur more than once take part: a repeated run of
 lines holds no other, so a document falls into stretches of such lines and a
 suffix ends where its stretch ends.
 
-Array.  Round k names each suffix by the order of its first 2**k lines, from the
-pair (name of its first half, name of its second half); names are handed out over
-the globally sorted distinct pairs, so they order the suffixes.  The rounds end
-when no class splits any more: the names are then the suffix array, equal
-suffixes sharing one.
+Array.  A round doubles the named prefix twice: it names each suffix by the order
+of its first 4**k lines, from the names of the four quarters; names are handed out
+over the globally sorted distinct quadruples, so they order the suffixes.  The
+rounds end when no class splits any more: the names are then the suffix array,
+equal suffixes sharing one.
 
 Longest common prefixes.  Two neighbours of the array are followed back through
-the rounds: if their first halves are the same class, that half is common and the
-second halves are compared next, else the first halves.
+the rounds: quarters of the same class are common, and the first ones that differ
+are compared next, a round earlier.
 
 Intervals.  Between places where the common prefix is shorter than m lines lie
 the intervals of the array whose suffixes share m lines.  Every member but the
@@ -42,6 +42,7 @@ MIN_WORDS = 20
 BLOCK = 1 << 20
 
 _PLACE = ["doc", "text_hash", "pos"]
+_QUARTERS = ["name", "second", "third", "fourth"]
 _BLANKS = " \t\n\v\f\r"
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -98,24 +99,25 @@ def suffix_array(base: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]
 
     base: as from _repeated().  The array is (doc, text_hash, pos, name), ordered
     by name.  Its classes are (name, rank), ranks from 0 without gaps.  A round's
-    classes are (name, second, new): the halves of each new class.
+    classes are (name, second, third, fourth, new): the quarters of each new
+    class, -1 beyond the end.
     """
     n_rows = base.count()
     key = [*_PLACE, "stretch"]
-    second = lambda steps: F.coalesce(_ahead("name", steps), F.lit(-1)).alias("second")
-    halves = written(base.select(*key, "name", second(1)), "halves")
-    known, rounds = halves.select("name").distinct().count(), []
+    ahead = lambda width: [F.coalesce(_ahead("name", i * width), F.lit(-1)).alias(c) for i, c in enumerate(_QUARTERS) if i]
+    parted = written(base.select(*key, "name", *ahead(1)), "parted")
+    known, rounds = parted.select("name").distinct().count(), []
     while True:
-        pairs = halves.groupBy("name", "second").agg(F.count("*").alias("members")).orderBy("name", "second")
-        classes = written(pairs.withColumn("new", F.monotonically_increasing_id()), "classes")
+        whole = parted.groupBy(*_QUARTERS).agg(F.count("*").alias("members")).orderBy(*_QUARTERS)
+        classes = written(whole.withColumn("new", F.monotonically_increasing_id()), "classes")
         count = classes.count()
         if count == known:
-            return halves.select(*_PLACE, "name"), _ranked(classes), rounds
+            return parted.select(*_PLACE, "name"), _ranked(classes), rounds
         rounds.append(classes)
-        longer = attached(halves, classes, ["name", "second"], _PLACE, n_rows).select(*key, F.col("new").alias("name"))
-        following = written(longer.select(*key, "name", second(2 ** len(rounds))), "halves")
-        dropped(halves)
-        halves, known = following, count
+        longer = attached(parted, classes, _QUARTERS, _PLACE, n_rows).select(*key, F.col("new").alias("name"))
+        following = written(longer.select(*key, "name", *ahead(4 ** len(rounds))), "parted")
+        dropped(parted)
+        parted, known = following, count
 
 
 def _ranked(classes: DataFrame) -> DataFrame:
@@ -133,11 +135,12 @@ def common_prefixes(ranks: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     pairs = ranks.withColumnRenamed("name", "t").join(before, "rank").withColumn("lcp", F.lit(0))
     for k in reversed(range(len(rounds))):
         for side in ("s", "t"):
-            halves = rounds[k].select(F.col("new").alias(side), F.col("name").alias(f"{side}1"), F.col("second").alias(f"{side}2"))
-            pairs = pairs.join(halves, side, "left")
-        common = F.coalesce(F.col("s1") == F.col("t1"), F.lit(False))
-        s, t = (F.when(common, F.col(f"{x}2")).otherwise(F.col(f"{x}1")).alias(x) for x in "st")
-        pairs = pairs.select("rank", s, t, (F.col("lcp") + F.when(common, 2**k).otherwise(0)).alias("lcp"))
+            quarters = [F.col(c).alias(f"{side}{i}") for i, c in enumerate(_QUARTERS)]
+            pairs = pairs.join(rounds[k].select(F.col("new").alias(side), *quarters), side, "left")
+        differ = [F.coalesce(F.col(f"s{i}") != F.col(f"t{i}"), F.lit(True)) for i in range(3)]
+        first = lambda values: F.when(differ[0], values[0]).when(differ[1], values[1]).when(differ[2], values[2]).otherwise(values[3])
+        s, t = (first([F.col(f"{x}{i}") for i in range(4)]).alias(x) for x in "st")
+        pairs = pairs.select("rank", s, t, (F.col("lcp") + first([F.lit(i * 4**k) for i in range(4)])).alias("lcp"))
     return pairs.select("rank", "lcp")
 
 
@@ -164,22 +167,20 @@ def repeats(documents: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
     base = _repeated(lines(documents, min_words), min_lines)
     array, ranks, rounds = suffix_array(base)
     lcp = common_prefixes(ranks, rounds)
-    place = F.struct(*_PLACE)
-    own = _met(array, base.select(*_PLACE, "left"))
-    sizes = own.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("members"), F.max("left").alias("length"))
+    sizes = array.groupBy("name").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("members"))
     # A class shares its prefix with both neighbours.
     near = lcp.select(F.explode(F.array("rank", F.col("rank") - 1)).alias("rank"), "lcp").groupBy("rank").agg(F.max("lcp").alias("near"))
     classes = ranks.join(sizes, "name").join(lcp, "rank", "left").join(near, "rank", "left").na.fill(0, ["lcp", "near"])
-    longest = F.when(F.col("members") > 1, F.col("length")).otherwise(F.col("near")).alias("longest")
-    classes = written(classes.select("rank", "name", "first", "members", "lcp", longest), "array")
+    classes = written(classes.select("rank", "name", "first", "members", "lcp", F.when(F.col("members") == 1, F.col("near")).alias("near")), "array")
     for depth in sorted({1, min_lines}):
         firsts = _intervals(classes.select("rank", "lcp", "first"), depth).select("rank", f"first_{depth}")
         classes = classes.join(firsts, "rank")
-    classes = written(classes.select("name", "members", "longest", "first_1", F.col(f"first_{min_lines}").alias("first_m")), "intervals")
+    classes = written(classes.select("name", "members", "near", "first_1", F.col(f"first_{min_lines}").alias("first_m")), "intervals")
     for table in rounds:
         dropped(table)
     met = attached(array, classes, ["name"], _PLACE, base.count()).drop("name")
-    return _met(base.drop("name", "stretch"), met)
+    # Equal suffixes share all of themselves.
+    return _met(base.drop("name", "stretch"), met).withColumn("longest", F.coalesce("near", "left")).drop("near")
 
 
 def removals(documents: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
