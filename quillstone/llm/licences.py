@@ -52,8 +52,15 @@ FREEDOM = {
 }
 UNKNOWN = 0.25
 
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+\-]+")
-_POWER = {"or": 1, "and": 2, "with": 3}
+_TOKEN = re.compile(r"[()/]|[A-Za-z0-9.+\-]+")
+_POWER = {"or": 1, "/": 1, "and": 2, "with": 3}
+
+#: Identifiers of the public list of licence names without a version that FREEDOM doesn't hold.
+UNVERSIONED = frozenset("beerware curl ftl hpnd icu ijg intel libpng libtiff naist-2003 ncsa openssl postgresql ruby sleepycat vim wtfpl x11".split())
+
+#: Other identifiers have a version; names of exceptions have two parts.
+_VERSIONED = re.compile(r"[a-z][a-z0-9]*(?:-[a-z]+)*-\d+(?:\.\d+)*(?:-[a-z0-9]+)*\+?|licenseref-[a-z0-9.\-]+")
+_EXCEPTION = re.compile(r"[a-z0-9]+(?:-[a-z0-9.]+)+")
 
 
 def freedom(name: str) -> float:
@@ -61,12 +68,18 @@ def freedom(name: str) -> float:
     return FREEDOM[max(fits, key=len)] if fits else UNKNOWN
 
 
+def is_name(word: str) -> bool:
+    """Whether a lower-case word is the identifier of a licence and not a word of prose."""
+    return word in UNVERSIONED or bool(_VERSIONED.fullmatch(word)) or any(word == k or word.startswith((k + "-", k + "+")) for k in FREEDOM)
+
+
 def evaluated(expression: str) -> tuple[float, list[str]] | None:
     """Freedom and names of a licence expression; None if it isn't one.
 
-    ``or`` offers a choice (the larger), ``and`` demands both (the smaller),
-    ``with`` grants an exception (a tenth of what is missing).  Names and
-    operators are read in lower case, the longest valid beginning counts.
+    ``or`` and a slash offer a choice (the larger), ``and`` demands both (the
+    smaller), ``with`` grants an exception (a tenth of what is missing).  Names and
+    operators are read in lower case, the longest valid beginning counts; a word
+    that is no identifier ends it, so prose after a tag names no licence.
     """
     values: list[float] = []
     marks: list[str] = []
@@ -76,7 +89,7 @@ def evaluated(expression: str) -> tuple[float, list[str]] | None:
     def apply() -> None:
         mark, b = marks.pop(), values.pop()
         a = values.pop()
-        values.append(max(a, b) if mark == "or" else min(a, b) if mark == "and" else a + (1 - a) * 0.1)
+        values.append(max(a, b) if mark in ("or", "/") else min(a, b) if mark == "and" else a + (1 - a) * 0.1)
 
     for token in _TOKEN.findall(expression):
         word = token.lower()
@@ -98,9 +111,9 @@ def evaluated(expression: str) -> tuple[float, list[str]] | None:
             marks.append(word)
             wants = True
         else:
-            if not wants:
-                break
             exception = bool(marks) and marks[-1] == "with"
+            if not wants or not (_EXCEPTION.fullmatch(word) if exception else is_name(word)):
+                break
             values.append(0.0 if exception else freedom(word))
             if not exception:
                 names.append(word)
@@ -179,8 +192,10 @@ def scanned(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     score is the freedom of the licences found (0 if there is none): that of
     the stated expressions, or else of the notices, the least free if several.
-    Null and empty texts have no words and no labels.  Repeated rows stay, a
-    null doc_id passes through, other columns are ignored.
+    Null and empty texts have no words and no labels; a very long text is
+    scanned whole, as a slice of its own.  Repeated rows stay, a null doc_id
+    passes through, other columns are ignored, an empty table gives an empty
+    result.
     """
     narrow = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     return narrow.mapInArrow(_scanned, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
