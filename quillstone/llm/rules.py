@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
 Every rule is a whole-number predicate over one text.  The cost and the
-rejection rate of each are measured on a sample of at most ``SAMPLE`` documents
-in one Spark task; rules then run by rejections per second, and a text that
-rules reject is not shown to later ones (see SPARSE).  A text is kept if no rule rejects it, so
+rejection rate of each are measured on a sample of about ``SAMPLE`` documents,
+taken by a hash, among those that pass the base rule and without what the base
+rule has computed already; rules then run by rejections per second, and a text
+that rules reject is not shown to later ones (see SPARSE).  A text is kept if no rule rejects it, so
 the order changes the time and never the verdict.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.arrowtext import Powers, slices, span_hashes, windows, word_spans
 
-#: Rows that the cost and selectivity estimate reads.
+#: Rows that the cost and selectivity estimate measures, about.
 SAMPLE = 2000
 
 WINDOW = 5
@@ -171,22 +172,25 @@ def _narrow(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def measured(documents: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, float, float]]:
-    """(rule, seconds, share rejected) on at most ``sample`` rows; read in one task."""
+    """(rule, seconds, share rejected) over about ``sample`` rows, those that the base rule passes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         spent, rejected, seen = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0), 0
         for batch, buf, off in slices(batches):
-            seen += batch.num_rows
-            for name, rule in RULES.items():
-                rows = Texts(buf, off, powers)
+            failed = base_failed(Texts(buf, off, powers))
+            for i, (name, rule) in enumerate(RULES.items()):
+                rows = Texts(buf, off, powers).only(~failed)
+                base_failed(rows)  # what it computes is there already when rules run
+                seen += len(rows.n_words) if i == 0 else 0
                 began = time.perf_counter()
                 rejected[name] += int(rule(rows).sum())
                 spent[name] += time.perf_counter() - began
-        yield pa.RecordBatch.from_arrays([pa.array(list(RULES)), pa.array([spent[k] for k in RULES], pa.float64()), pa.array([rejected[k] / max(1, seen) for k in RULES], pa.float64())], names=["rule", "seconds", "rejected"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(RULES)), pa.array([spent[k] for k in RULES], pa.float64()), pa.array([rejected[k] for k in RULES], pa.int64()), pa.array([seen] * len(RULES), pa.int64())], names=["rule", "seconds", "rejected", "seen"])
 
-    taken = _narrow(documents, doc_id, text).limit(sample).coalesce(1)
-    rows = taken.mapInArrow(run, "rule string, seconds double, rejected double").groupBy("rule").agg(F.sum("seconds"), F.avg("rejected")).collect()
-    return [tuple(r) for r in rows]
+    share = min(1.0, sample / max(1, documents.count()))
+    taken = _narrow(documents, doc_id, text).where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sums = taken.mapInArrow(run, "rule string, seconds double, rejected long, seen long").groupBy("rule").agg(F.sum("seconds"), F.sum("rejected") / F.greatest(F.sum("seen"), F.lit(1)))
+    return [tuple(r) for r in sums.collect()]  # a row for each rule
 
 
 def ordered(figures: list[tuple[str, float, float]]) -> list[str]:
@@ -198,8 +202,8 @@ def ordered(figures: list[tuple[str, float, float]]) -> list[str]:
 def filtered(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Counts and verdict of every document.
 
-    Null and empty texts have no words and fail.  Repeated rows stay, a null
-    doc_id passes through, other columns are ignored, an empty table gives an
+    Null and empty texts have no words and fail; a very long text is judged
+    whole.  Repeated rows stay, a null doc_id passes through, other columns are ignored, an empty table gives an
     empty result.
     """
     order = ordered(measured(documents, sample, doc_id, text))

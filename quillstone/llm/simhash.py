@@ -11,7 +11,10 @@ half has an even bit count also visits the cells at distance one, whose counts
 are odd, so each pair at distance one meets in exactly one of the two cells.
 What meets is verified by the Hamming distance inside the join.
 
-Only distinct fingerprints are joined; copies are attached afterwards.
+Only distinct fingerprints are joined; copies are attached afterwards, a very
+common fingerprint in parts.  Pairs that meet in a cell grow with the square of the
+distinct fingerprints in it (a half's cell holds about (3/8)**16 of random ones):
+few up to some 10**8 of them, and more than the links beyond.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.arrowtext import LOWER, joined, slices, word_spans
 from quillstone.llm.graph import components
 from quillstone.llm.lineage import written
+from quillstone.llm.skew import attached
 
 LIMIT = 3
 SHINGLE = 3
@@ -91,20 +95,20 @@ def links(prints: DataFrame) -> DataFrame:
 def _members(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, print, root, component_id): root is the smallest fingerprint that a row's reaches."""
     prints = written(fingerprints(documents, doc_id, text), "prints")
-    classes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
+    classes = prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"))
     roots = written(components(links(classes.select("print"))), "roots")
     # Only linked fingerprints have a root; the least id of each root's members names it.
     linked = roots.join(classes, roots["node"] == classes["print"]).select("print", "root", "least")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "root", "component_id")
-    ids = classes.join(named, "print", "left").select("print", F.coalesce("root", "print").alias("root"), F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    return prints.join(ids, "print")
+    ids = classes.join(named, "print", "left").select("print", "members", F.coalesce("root", "print").alias("root"), F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return attached(prints, ids, ["print"], ["doc_id", "text_hash"], prints.count())
 
 
 def clustered(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document.
 
     Null texts count as empty; documents without words share the fingerprint
-    zero.  Repeated rows stay, one result each.  A null doc_id gets a
+    zero; a very long text is fingerprinted whole.  Repeated rows stay, one result each.  A null doc_id gets a
     fingerprint and links others, but is never the smallest id; a component of
     such rows alone has a null id.  Other columns are ignored.
     """
