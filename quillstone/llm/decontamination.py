@@ -27,15 +27,15 @@ WINDOW = 8
 #: Different words that a window must have besides placeholders to match as a template; others match exactly.
 LITERALS = 4
 
-#: An item is in a document if this many of its windows in a row of places match (13 tokens), or this share of them.
+#: An item is in a document if this many of its windows match at one offset (13 tokens if they follow each other), or this share of them.
 RUN = 6
 SHARE = 0.5
 
 #: Window hashes (8 bytes each) up to which the benchmark side is broadcast.
 BROADCAST_HASHES = 2_000_000
 
-#: The same for the windows with their words, about 250 bytes each.
-BROADCAST_WINDOWS = 100_000
+#: Bytes of the windows of all items with their words up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 #: A unit is one of these after a number.
 UNITS = (
@@ -113,9 +113,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = items.select("window").distinct()
     n_known = known.count()
     small = n_known <= BROADCAST_HASHES
+    item_bytes = items.agg(F.coalesce(F.sum(64 + F.octet_length(F.array_join("item_words", "  ")) + F.octet_length(F.array_join("template", "  "))), F.lit(0))).first()[0]
     # Only row keys, places and hashes go through the joins; texts follow for the rows whose matches have slots.
     found = _windows(_templates(documents, "doc_id", "doc_id"), lengths, "doc_id", "text_key").join(F.broadcast(known) if small else known, "window", "left_semi")
-    met = written(found.join(F.broadcast(items) if n_known <= BROADCAST_WINDOWS else items, "window").withColumn("shift", F.col("at") - F.col("item_at")), "matches")
+    met = written(found.join(F.broadcast(items) if item_bytes <= BROADCAST_BYTES else items, "window").withColumn("shift", F.col("at") - F.col("item_at")), "matches")
     empty = F.array().cast("array<struct<item:string,doc:string>>")
     plain = met.where("not has_slots").select("doc_id", "text_key", "item_id", "shift", "item_at", "exact", empty.alias("slots"))
     slotted = met.where("has_slots").distinct()

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontamination, licences, linededup, phrases, pieces, quality, queries, rules, sharding, simhash, toxicity
+from quillstone.llm import decontamination, licences, lineage, linededup, phrases, pieces, quality, queries, rules, sharding, simhash, toxicity
 from quillstone.llm.graph import components
 from tests.compare import same
 
@@ -120,15 +120,14 @@ def test_empty_tables(spark, odd, labels):
     assert {k: v.count() for k, v in _apply(odd.limit(0), labels.limit(0), benchmark).items()} == dict.fromkeys(_apply(odd.limit(0), labels.limit(0), benchmark), 0)
 
 
-def test_simhash_components(spark, sf_dir, texts):
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def _fingerprint(text):
+    w = WORD.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), seed=42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
-    def fingerprint(text):
-        w = WORD.findall((text or "").translate(lower))
-        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), seed=42) for i in range(max(1, len(w) - 2))] if w else []
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
-    prints = {d: fingerprint(t) for d, t in texts}
+def _roots(prints):
+    """The smallest id that each reaches, by relaxation over all pairs."""
     root = {d: d for d in prints}
     changed = True
     while changed:
@@ -137,6 +136,12 @@ def test_simhash_components(spark, sf_dir, texts):
             for b in prints:
                 if (prints[a] ^ prints[b]).bit_count() <= 3 and root[b] < root[a]:
                     root[a], changed = root[b], True
+    return root
+
+
+def test_simhash_components(spark, sf_dir, texts):
+    prints = {d: _fingerprint(t) for d, t in texts}
+    root = _roots(prints)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.QUERIES["op10_simhash_near_dedup"](spark, sf_dir).collect()}
     assert got == {d: (format(prints[d], "016x"), root[d]) for d in prints}
 
@@ -236,6 +241,70 @@ def test_licence_expressions(spark):
     assert (got[2].n_base, got[2].first_word, got[2].last_word) == (2, 0, 2)
 
 
+def test_prose_after_a_tag_is_no_licence():
+    assert licences.evaluated("is used to choose a license.") is None and licences.evaluated("see LICENSE file") is None
+    assert licences.evaluated("MIT/Apache-2.0") == (0.95, ["mit", "apache-2.0"])
+    assert licences.evaluated("EPL-2.0 or later versions") == (licences.UNKNOWN, ["epl-2.0"])
+    assert licences.evaluated("GPL-2.0 WITH care") == (0.3, ["gpl-2.0"])
+
+
+def _value(tokens):
+    """Recursive descent over a well-formed expression."""
+    def parse(level):
+        if level == 3:
+            if tokens[0] == "(":
+                tokens.pop(0)
+                out = parse(0)
+                tokens.pop(0)
+                return out
+            return licences.freedom(tokens.pop(0).lower())
+        out = parse(level + 1)
+        while tokens and tokens[0].lower() in (("or", "/"), ("and",), ("with",))[level]:
+            tokens.pop(0)
+            if level == 2:
+                tokens.pop(0)
+                out = out + (1 - out) * 0.1
+            else:
+                out = (max, min)[level](out, parse(level + 1))
+        return out
+
+    return parse(0)
+
+
+def test_licence_expressions_by_recursive_descent():
+    import random
+
+    draw = random.Random(3)
+    names = ["MIT", "GPL-3.0-only", "Apache-2.0", "LGPL-2.1-or-later", "EPL-1.0", "0BSD", "CC-BY-SA-4.0"]
+
+    def made(depth):
+        kind = draw.randrange(6 if depth else 2)
+        if kind < 2:
+            return [draw.choice(names)] + (["WITH", "Classpath-exception-2.0"] if kind else [])
+        return ["(", *made(depth - 1), ")"] if kind == 2 else [*made(depth - 1), draw.choice(["or", "AND", "/", "Or", "and"]), *made(depth - 1)]
+
+    for _ in range(300):
+        tokens = made(4)
+        value, found = licences.evaluated(" ".join(tokens))
+        assert value == pytest.approx(_value(list(tokens))) and found == [x.lower() for x in tokens if x in names]
+
+
+def test_shards_follow_from_seed_and_data(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    one, other = (sharding.shuffled(d, F.col("doc_id"), bucket_rows=50).select("doc_id", "shard", "slot").collect() for d in (docs, docs.repartition(7)))
+    assert sorted(one) == sorted(other) != sorted(sharding.shuffled(docs, F.col("doc_id"), seed=1, bucket_rows=50).select("doc_id", "shard", "slot").collect())
+
+
+def test_copies_of_one_row_spread(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(sharding, "written", lambda df, name, own=sharding.written: kept.setdefault(name, own(df, name)))
+    rows = [(1, "same", None)] * 400 + [(None, None, "x")] * 300 + [(i, f"text {i}", "y") for i in range(2, 302)]
+    got = sharding.shuffled(spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").withColumnRenamed("a.b", "other"), F.col("doc_id"), bucket_rows=50, bucket_bytes=4000).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((d, t) for d, t, _ in rows)
+    assert sorted((r.shard, r.slot) for r in got) == sorted((i % 8, i // 8) for i in range(1000))
+    assert kept["hot-rows"].count() == 2 and max(r["size"] for r in kept["buckets"].collect()) < 200
+
+
 def test_shards(spark, sf_dir, texts):
     rows = queries.QUERIES["op6_external_shuffle"](spark, sf_dir).collect()
     by = {d: (t or "").encode() for d, t in texts}
@@ -293,6 +362,77 @@ def test_items_without_template_windows_are_found_exactly(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect() if r.doc_id in (6, 11)} == set()
 
 
+_UNITS = "|".join(decontamination.UNITS)
+
+
+def _tokens(text):
+    """(template, word) of every token: names, numbers and units are placeholders."""
+    clean = re.sub(r"[^\w \x01]+|_", "", re.sub(r"[\t\r\f\v]", " ", re.sub(r"(?<=[.!?:]) |\n", " \x01", "\x01" + (text or ""))))
+    out = []
+    for raw in clean.split(" "):
+        word, head = raw.replace("\x01", ""), raw.startswith("\x01")
+        if not word:
+            continue
+        if word[0].isupper() and not head:
+            kind = "<p>"
+        elif word[0].isdigit():
+            kind = "<n>"
+        else:
+            kind = "<u>" if out and out[-1][0] == "<n>" and re.fullmatch(_UNITS, word, re.I) else word.lower()
+        out.append((kind, word))
+    return out
+
+
+def _runs(tokens, size, column):
+    """Where each run of so many tokens stands; words in lower case, or templates."""
+    said = [x[column].lower() if column else x[0] for x in tokens]
+    out = {}
+    for i in range(len(said) - size + 1):
+        out.setdefault(tuple(said[i : i + size]), []).append(i)
+    return out
+
+
+def _leaked(text, items, known={}):  # noqa: B006
+    """The items that a text holds: all places of all of an item's windows, by offset."""
+    doc, found = _tokens(text), set()
+    words = {n: _runs(doc, n, 1) for n in range(1, 9)}
+    templates = _runs(doc, 8, 0)
+    for item_id, item in items:
+        if item not in known:
+            own = _tokens(item)
+            size = min(8, len(own))
+            able = {k: v for k, v in _runs(own, 8, 0).items() if len({x for x in k if not x.startswith("<")}) >= 4}
+            known[item] = own, size, _runs(own, size, 1) if size else {}, able
+        own, size, exact, able = known[item]
+        groups = {}
+        for kind, windows, places, n in ((0, exact, words.get(size, {}), size), (1, able, templates, 8)):
+            for window, own_places in windows.items():
+                for i in own_places:
+                    for j in places.get(window, []):
+                        group = groups.setdefault(j - i, (set(), set(), set()))
+                        group[kind].add(i)
+                        group[2].update((own[i + k][1], doc[j + k][1]) for k in range(n) if own[i + k][0].startswith("<"))
+        n_exact, n_able = sum(map(len, exact.values())), sum(map(len, able.values()))
+        for in_exact, in_able, slots in groups.values():
+            consistent = len(slots) == len({a for a, _ in slots}) or len(in_exact) == n_exact
+            n = len(in_exact | in_able)
+            if consistent and (n >= 6 or 2 * n >= n_exact or (n_able and 2 * len(in_able) >= n_able)):
+                found.add(item_id)
+    return found
+
+
+def test_templates_by_brute_force(spark, texts, sf_dir):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    changed = [(10_000 + i, f"Before it. {re.sub('[0-9]+', lambda m: str(int(m[0]) + 7), x)} After it.") for i, x in items]
+    mixed = [(20_000 + i, re.sub(r"(?<= )[A-Z][a-z]+", "Zora", x)) for i, x in items]
+    halves = [(30_000 + i, " ".join(x.split()[: len(x.split()) * 2 // 3]) + " and so on") for i, x in items]
+    short = [(900, "how tall is the tower"), (901, "Anna Bob Carl Dora Emil Fritz Gerd Hans Ida")]
+    docs = [*texts[:60], *changed, *mixed, *halves, (40_000, "So how tall is the Tower, Anna?"), (40_001, "anna bob Carl Dora Emil Fritz gerd hans ida")]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + short, "item_id long, text string"))
+    want = {(d, i) for d, t in docs for i in _leaked(t, items + short)}
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and {d // 10_000 for d, _ in want} >= {1, 4}
+
+
 def test_leaks_are_found(spark, sf_dir, texts):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op3_benchmark_decontamination"](spark, sf_dir).collect()}
@@ -354,18 +494,48 @@ def test_cascade_order_does_not_change_the_verdict(spark, sf_dir, monkeypatch):
 
 
 def test_pipeline(spark, sf_dir, texts):
+    """Every stage against brute force on its own input."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
-    assert set(rows) <= {d for d, _ in texts} and all(r.lossless for r in rows.values())
-    stage = docs
+    held = {"documents": {r.doc_id: r for r in docs.collect()}}
+    stage, before = docs, "documents"
     for name, function in corpus_pipeline.STAGES[:-1]:
-        stage = function(spark, stage, sf_dir)
+        stage = lineage.written(function(spark, stage, sf_dir), "stage")
         assert stage.columns == docs.columns, name
-    left = {r.doc_id: r.text for r in stage.collect()}
-    assert left.keys() == rows.keys()
+        held[name] = {r.doc_id: r for r in stage.collect()}
+        if name != "line dedup":
+            assert all(held[before][d] == r for d, r in held[name].items())
+        before = name
+    first, second, third, last = (name for name, _ in corpus_pipeline.STAGES[:-1])
     toxic = {r.doc_id for r in toxicity.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").collect()}
-    assert not toxic & set(rows)
-    hashes = Counter(hashlib.sha256(t.encode()).hexdigest() for t in left.values())
-    assert max(hashes.values()) == 1
+    assert held[first].keys() == held["documents"].keys() - toxic and toxic
+    lined = {d: t for (d, _), (t, _) in _lined([(d, r.text) for d, r in held[first].items()]).items()}
+    assert {d: r.text for d, r in held[second].items()} == lined and all(r.n_chars == len(r.text) for r in held[second].values())
+    prints = {d: _fingerprint(r.text) for d, r in held[second].items()}
+    roots = _roots(prints)
+    assert held[third].keys() == set(roots.values())
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    assert held[last].keys() == {d for d, r in held[third].items() if not _leaked(r.text, items)}
+    assert rows.keys() == held[last].keys() and all(r.lossless for r in rows.values())
+    decoded = {r.doc_id: r.text for r in pieces.decoded(corpus_pipeline.STAGES[-1][1](spark, stage, sf_dir)).collect()}
+    assert decoded == {d: r.text for d, r in held[last].items()}
+
+
+def test_pipeline_stages_keep_odd_rows_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["n_lines", "n_removed", "n_runs", "longest_run", "score", "predicted", "doc", "text_hash", "print", "root", "row", "hit", "gone"]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{n} string" for n in names)
+    odd = spark.createDataFrame([(d, t, None, None, len(t or ""), *[f"own {n}" for n in names]) for d, t, *_ in ODD], schema)
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, "what is the name of the tallest tower of all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs in (odd, odd.limit(0)):
+        for name, function in corpus_pipeline.STAGES[:-1]:
+            kept = function(spark, docs, str(tmp_path))
+            assert kept.columns == docs.columns, name
+            found = kept.collect()
+            assert all([r[n] for n in names] == [f"own {n}" for n in names] for r in found), name
+            assert name in ("SimHash near-dedup",) or len(found) == docs.count(), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
