@@ -1,9 +1,10 @@
 """Quality classifier: regularised quadratic discriminant over document statistics.
 
 Shares of a text are turned by arcsin of the square root and counts by the
-logarithm, which makes them closer to normal.  Each class gets a mean and a
-covariance shrunk towards the pooled one and towards a multiple of the identity;
-their Cholesky factors are computed once and sent to the tasks.  The score is the
+logarithm, which makes them closer to normal.  The sums and products of the
+statistics over all labelled rows are added up by Spark.  Each class gets a mean
+and a covariance shrunk towards the pooled one and towards its diagonal; their
+Cholesky factors are computed once and sent to the tasks.  The score is the
 logistic of the difference of the two log densities (Mahalanobis distance and
 log determinant) and the log odds of the classes.
 """
@@ -22,9 +23,6 @@ from quillstone.llm.arrowtext import Powers, slices
 from quillstone.llm.lineage import written
 from quillstone.llm.rules import Texts, most_frequent
 
-#: Labelled rows that the fit reads at most, about; taken by a hash of doc_id.
-TRAIN_ROWS = 200_000
-
 #: Shrinkage towards the pooled covariance, and towards its mean variance.
 TO_POOLED = 0.1
 TO_SPHERE = 0.02
@@ -98,21 +96,41 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip((log[1] - log[0] + self.offset) / TEMPERATURE, -500, 500)))
 
 
-def fitted(x: np.ndarray, y: np.ndarray) -> Discriminant | float:
-    """The discriminant of labelled rows; the share of label 1 if a class has fewer than two."""
-    rows = [x[y == k] for k in (0, 1)]
-    if min(map(len, rows)) < 2:
-        return float(y.mean()) if len(y) else 0.5
-    scatter = [np.cov(r, rowvar=False, bias=True) for r in rows]
-    pooled = sum(len(r) * s for r, s in zip(rows, scatter, strict=True)) / len(x)
+def moments(labelled: DataFrame) -> dict[int, np.ndarray]:
+    """For labels 0 and 1 the sums of (1, x) (1, x)' over the rows (features, y)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, len(NAMES) + 1, len(NAMES) + 1))
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten()).reshape(-1, len(NAMES))
+            x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+            y = np.asarray(batch.column(1))
+            for k in (0, 1):
+                sums[k] += x[y == k].T @ x[y == k]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size), pa.int32()), pa.array(sums.ravel())], names=["at", "value"])
+
+    added = labelled.select("features", "y").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
+    out = np.zeros((2, len(NAMES) + 1, len(NAMES) + 1))
+    for r in added.collect():  # a row for each entry of two small matrices
+        out.ravel()[r["at"]] = r["value"]
+    return {0: out[0], 1: out[1]}
+
+
+def fitted(sums: dict[int, np.ndarray]) -> Discriminant | float:
+    """The discriminant of the moments of labelled rows; the share of label 1 if a class has fewer than two."""
+    n = [sums[k][0, 0] for k in (0, 1)]
+    if min(n) < 2:
+        return n[1] / sum(n) if sum(n) else 0.5
+    means = [sums[k][0, 1:] / n[k] for k in (0, 1)]
+    scatter = [sums[k][1:, 1:] / n[k] - np.outer(means[k], means[k]) for k in (0, 1)]
+    pooled = (n[0] * scatter[0] + n[1] * scatter[1]) / sum(n)
     scale = np.diag(np.maximum(np.diag(pooled), 1e-4))
     factors = []
-    for r, s in zip(rows, scatter, strict=True):
-        own = len(r) / (len(r) + 2 * x.shape[1])  # few rows lean on the pooled covariance
-        shrunk = (1 - TO_POOLED) * own * s + (1 - (1 - TO_POOLED) * own) * pooled
+    for k in (0, 1):
+        own = n[k] / (n[k] + 2 * len(NAMES))  # few rows lean on the pooled covariance
+        shrunk = (1 - TO_POOLED) * own * scatter[k] + (1 - (1 - TO_POOLED) * own) * pooled
         shrunk = (1 - TO_SPHERE) * shrunk + TO_SPHERE * scale
         factors.append(np.linalg.inv(np.linalg.cholesky(shrunk)))
-    return Discriminant([r.mean(axis=0) for r in rows], factors, float(np.log(len(rows[1]) / len(rows[0]))))
+    return Discriminant(means, factors, float(np.log(n[1] / n[0])))
 
 
 def held_out(doc_id) -> F.col:
@@ -124,17 +142,15 @@ def scored(documents: DataFrame, labels: DataFrame, label: str = "quality", thre
     """(doc_id, held_out, score, predicted) of every document.
 
     labels: doc_id and the label, 0 or 1; null labels and ids and held-out rows
-    are not read.  Repeated rows stay; a null doc_id is scored and not held out.
-    Without labels of both classes every score is the share of label 1 (0.5 if
+    are not read.  Null and empty texts are scored as texts without words, a very
+    long text whole.  Repeated rows stay; a null doc_id is scored and not held out.
+    An empty table gives an empty result.  Without labels of both classes every score is the share of label 1 (0.5 if
     there is none).  Other columns are ignored.
     """
     found = written(features(documents), "features")
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(f"doc_id is not null and y in (0, 1)")
     usable = usable.where(~held_out(F.col("doc_id")))
-    share = min(1.0, TRAIN_ROWS / max(1, usable.count()))
-    chosen = usable.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    train = found.join(chosen, "doc_id").select("features", "y").toPandas()
-    model = fitted(np.array(train["features"].tolist(), dtype=np.float64).reshape(-1, len(NAMES)), train["y"].to_numpy())
+    model = fitted(moments(found.join(usable, "doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
