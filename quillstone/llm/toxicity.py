@@ -1,37 +1,46 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: seed lexicons, lexicons induced from training rows
-(whole words, five-letter beginnings, and beginnings of three to six letters that
-are dense in a text, dealt into several voters), counts of hits, and patterns
-such as shouting.  A generative label model estimates from
-the votes alone, by expectation-maximisation, how often each voter fires in
-either class and how the voters' errors correlate; correlated voters share their
-weight through the inverse of the error covariance.  Its posteriors are the soft
-labels of a linear classifier over words and word beginnings, which scores every
-text.
+Many voters look at a text and vote toxic or abstain: lexicons of known insults by
+language, patterns such as shouting, and lexicons induced from labelled rows.
+The labelled rows are dealt into folds, and each fold builds its own lexicons of
+three kinds: whole words, five-letter beginnings, and beginnings of three to six
+letters that are dense in a text.  The voters look at a bounded sample of labelled
+and unlabelled rows; a lexicon abstains on the rows that built it.
+
+A generative label model estimates from the votes alone, by
+expectation-maximisation, how often each voter fires in either class and how the
+voters' errors correlate; correlated voters share their weight through the inverse
+of the error covariance.  Its posteriors are the soft labels of a linear
+classifier over all words, beginnings and dense beginnings of the sample, which
+scores every text.  Labels are read only to induce lexicons.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.arrowtext import LOWER, Powers, mixed, slices, span_hashes, word_spans
 from quillstone.llm.quality import held_out
 
-#: Labelled rows that the fit reads at most, about; taken by a hash of doc_id.
+#: Rows that the fit reads at most, about, taken by a hash of doc_id, and the bytes of their texts.
 TRAIN_ROWS = 10_000
-
-#: Insults that the seed voters know.
-SEEDS = (
-    "idiot idiots moron morons stupid scum trash loser losers pathetic disgusting worthless clown clowns imbecile filth vermin bastard bitch "
-    "idiotisch dumm abschaum trottel versager connard imbécile ordure minable idiota estúpido imbécil escoria basura"
-).split()
+UNLABELLED_ROWS = 5_000
+TRAIN_BYTES = 24 << 20
+
+#: Insults that are known beforehand, a voter for each language.
+SEEDS = {
+    "english": "idiot idiots moron morons stupid scum trash loser losers pathetic disgusting worthless clown clowns imbecile filth vermin bastard bitch",
+    "german": "idiotisch dumm abschaum trottel versager",
+    "french": "connard imbécile ordure minable",
+    "spanish": "idiota estúpido imbécil escoria basura",
+}
+PATTERNS = ("shouting", "masked words", "repeated exclamation marks")
 
 #: Words are split as letters: digits, a-z and every character from U+0080.
 _GAP = np.ones(256, bool)
@@ -43,55 +52,68 @@ STEMS = (3, 4, 5, 6)
 
 #: Dense: twice at least, and one word of so many.
 DENSE = 125
-_DENSE_MARK = np.uint64(0xA5A5A5A5A5A5A5A5)
 
-#: An induced entry stands out of the non-toxic training rows by this many standard errors of its log odds.
-SIGNIFICANT = 4.0
+#: Kinds of features, in the two lowest bits of their 32-bit hashes.
+WORD, BEGINNING, DENSE_BEGINNING = KINDS = (0, 1, 2)
+
+#: Labelled rows are dealt into so many folds.
+FOLDS = 3
+
+#: An induced entry stands out of the non-toxic rows of its fold by this many standard errors of its log odds.
+SIGNIFICANT = 3.0
 
-#: At least this share of the training rows that have an entry is toxic.
+#: At least this share of the fold's rows that have an entry is toxic, and so many of them.
 PURE = 0.8
-VOTERS = 4
+LEAST = 3
+
+#: The vote of so many entries of all lexicons together.
+MANY = 3
+
+#: Features of fewer sample rows have no weight; a feature's residuals must add up to PENALTY.
+RARE = 3
+PENALTY = 1.0
 
 #: Features of more than this share of the training rows don't tell copies apart.
 COMMON = 0.004
 ROUNDS = 40
 
 
-def _seed_hashes() -> np.ndarray:
-    words = [w.encode() for w in SEEDS]
+def _named(hashes: np.ndarray, kind: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFC)) | np.uint32(kind)
+
+
+def _seed_hashes(words: str) -> np.ndarray:
+    words = [w.encode() for w in words.split()]
     ends = np.cumsum([len(w) for w in words])
-    return np.sort(span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends, Powers()))
+    return np.sort(_named(span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends, Powers()), WORD))
 
 
 def _found(raw: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and rows of words and STEM beginnings; hashes and rows of all beginnings; words of each row."""
+    """Features and rows of words and STEM beginnings; features and rows of all beginnings; words of each row."""
     low = LOWER[raw]
     starts, ends, first = word_spans(low, off, _GAP)
     row = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    words = span_hashes(low, starts, ends, powers)
+    words = _named(span_hashes(low, starts, ends, powers), WORD)
     lead = np.append(np.flatnonzero((low & 0xC0) != 0x80), len(low))  # where characters begin
     index = np.searchsorted(lead, starts)
     names, rows, at_stem = [], [], None
     for letters in STEMS:
         stop = lead[np.minimum(index + letters, len(lead) - 1)]
         longer = np.flatnonzero(stop < ends)
-        names.append(mixed(span_hashes(low, starts[longer], stop[longer], powers) ^ np.uint64(letters)))
+        hashes = mixed(span_hashes(low, starts[longer], stop[longer], powers) ^ np.uint64(letters))
+        names.append(_named(hashes, DENSE_BEGINNING))
         rows.append(row[longer])
         if letters == STEM:
-            at_stem = len(names) - 1
-    return np.concatenate([words, names[at_stem]]), np.concatenate([row, rows[at_stem]]), np.concatenate(names), np.concatenate(rows), np.diff(first)
+            at_stem = _named(hashes, BEGINNING), row[longer]
+    return np.concatenate([words, at_stem[0]]), np.concatenate([row, at_stem[1]]), np.concatenate(names), np.concatenate(rows), np.diff(first)
 
 
 def _dense(names: np.ndarray, rows: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and rows of the beginnings that are dense in a row."""
-    order = np.lexsort((names, rows))
-    names, rows = names[order], rows[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (names[1:] != names[:-1]) | (rows[1:] != rows[:-1])
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(rows)))
-    held = (count >= 2) & (DENSE * count >= words[rows[at]])
-    return names[at][held] ^ _DENSE_MARK, rows[at][held]
+    """Features and rows of the beginnings that are dense in a row."""
+    pairs, count = np.unique(rows.astype(np.uint64) << np.uint64(32) | names, return_counts=True)
+    row = (pairs >> np.uint64(32)).astype(np.int64)
+    held = (count >= 2) & (DENSE * count >= words[row])
+    return (pairs[held] & np.uint64(0xFFFFFFFF)).astype(np.uint32), row[held]
 
 
 def _patterns(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -109,21 +131,20 @@ def _patterns(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Classifier:
-    """Weights of sorted feature hashes; a feature counts once for each text."""
+    """Weights of sorted features, each counting once for a text; what the label model found out about every voter."""
 
     features: np.ndarray
     weights: np.ndarray
     bias: float
-
-    def __post_init__(self) -> None:
-        self.stems = np.sort(self.features ^ _DENSE_MARK)
+    voters: dict[str, float] = field(default_factory=dict)  # accuracies
+    correlation: np.ndarray | None = None
 
     def score(self, raw: np.ndarray, off: np.ndarray, powers: Powers) -> np.ndarray:
         total = np.zeros(len(off) - 1)
         if len(self.features):
-            known = lambda x, of: of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
+            known = lambda x: self.features[np.minimum(np.searchsorted(self.features, x), len(self.features) - 1)] == x
             found, row, stems, stem_row, words = _found(raw, off, powers)
-            hit, dense = known(found, self.features), known(stems, self.stems)
+            hit, dense = known(found), known(stems)
             more, more_row = _dense(stems[dense], stem_row[dense], words)
             found, row = np.concatenate([found[hit], more]), np.concatenate([row[hit], more_row])
             at = np.searchsorted(self.features, found)
@@ -132,11 +153,15 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -500, 500)))
 
 
-def label_model(votes: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Posteriors of rows x voters (0 or 1), and accuracies and error correlations of the voters."""
+def label_model(votes: np.ndarray, trusted: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
+    """Posteriors of rows x voters (1: toxic, 0: abstains), and accuracies and error correlations of the voters.
+
+    The first guess counts the votes of trusted voters (all, if not given).
+    """
     v = votes.astype(float)
     n, m = v.shape
-    q = np.where(v[:, :-3].sum(1) >= 2, 0.9, np.where(v[:, :-3].any(1), 0.4, 0.02))
+    near = v if trusted is None else v[:, trusted]
+    q = np.where(near.sum(1) >= 2, 0.9, np.where(near.any(1), 0.4, 0.02))
     w = np.zeros(m)
     for _ in range(ROUNDS):
         share = float(np.clip(q.mean(), 1e-3, 0.5))
@@ -151,13 +176,14 @@ def label_model(votes: np.ndarray) -> tuple[np.ndarray, dict]:
 
 
 def _logistic(at: np.ndarray, row: np.ndarray, q: np.ndarray, size: int) -> tuple[np.ndarray, float]:
-    """Weights and bias for soft labels, by gradient steps with per-weight rates."""
+    """Weights and bias for soft labels, by gradient steps with per-weight rates; weights that residuals don't carry are zero."""
     w, b, n = np.zeros(size), float(np.log((q.mean() + 1e-3) / (1 - q.mean() + 1e-3))), len(q)
     seen = np.bincount(at, minlength=size) + 5.0
-    for _ in range(300):
-        p = 1 / (1 + np.exp(-(np.bincount(row, weights=w[at], minlength=n) + b)))
+    for _ in range(150):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=w[at], minlength=n) + b, -30, 30)))
         error = q - p
         w += 2.0 * (np.bincount(at, weights=error[row], minlength=size) - 0.02 * w) / seen
+        w = np.sign(w) * np.maximum(np.abs(w) - 2.0 * PENALTY / seen, 0)
         b += error.mean()
     return w, b
 
@@ -169,7 +195,7 @@ def _once(lists: list[np.ndarray]) -> np.ndarray:
     common = (times > max(5, COMMON * len(lists))) | (times < 2)
     signs = []
     for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        drawn = mixed(names ^ np.uint64(salt))
+        drawn = mixed(names.astype(np.uint64) ^ np.uint64(salt))
         drawn[common] = np.uint64(2**64 - 1)
         least = np.full(len(lists), np.uint64(2**64 - 1))
         np.minimum.at(least, np.repeat(np.arange(len(lists)), size), drawn[which])
@@ -179,77 +205,121 @@ def _once(lists: list[np.ndarray]) -> np.ndarray:
     return np.sort(np.unique(np.stack(signs, axis=1), axis=0, return_index=True)[1])
 
 
-def fitted(lists: list[np.ndarray], patterns: np.ndarray, y: np.ndarray) -> Classifier:
-    """The classifier of training rows: distinct feature hashes, patterns, labels.
+def _lexicon(which: np.ndarray, row: np.ndarray, y: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+    """The features that tell toxic from other rows among the labelled rows ``of``."""
+    chosen, label = of[row], np.where(of, y, 0)
+    n, n_toxic = of.sum(), label.sum()
+    toxic = np.bincount(which[chosen], weights=label[row[chosen]], minlength=size)
+    clean = np.bincount(which[chosen], minlength=size) - toxic
+    odds = np.log((toxic + 0.5) / (n_toxic - toxic + 0.5)) - np.log((clean + 0.5) / (n - n_toxic - clean + 0.5))
+    error = np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    return (odds > SIGNIFICANT * error) & (toxic >= PURE * (toxic + clean)) & (toxic >= LEAST)
+
+
+def voted(names: np.ndarray, which: np.ndarray, row: np.ndarray, patterns: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Voters, their votes (rows x voters), and which voters a first guess trusts.
+
+    names: all features; which and row: the feature and the row of every
+    occurrence; y: 0, 1 or -1 (no label).
+    """
+    n = len(y)
+    fires = lambda entries: np.bincount(row[entries[which]], minlength=n)
+    voters, votes, every = [], [], np.zeros(n)
+    for language, words in SEEDS.items():
+        hits = fires(np.isin(names, _seed_hashes(words)))
+        voters.append(f"lexicon {language}")
+        votes.append(hits > 0)
+        every += hits
+    for k in range(FOLDS):
+        own = (y >= 0) & (fold == k)
+        if not own.any():
+            continue
+        entries = _lexicon(which, row, y, own, len(names))
+        for kind, title in zip(KINDS, ("words", "beginnings", "dense beginnings"), strict=True):
+            hits = np.where(own, 0, fires(entries & ((names & np.uint32(3)) == kind)))
+            voters.append(f"{title} of fold {k}")
+            votes.append(hits > 0)
+            every += hits
+    trusted = np.arange(len(voters))
+    return [*voters, "many entries", *PATTERNS], np.column_stack([*votes, every >= MANY, patterns]), trusted
+
+
+def fitted(lists: list[np.ndarray], patterns: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Classifier:
+    """The classifier of sample rows: distinct features, patterns, labels (-1: none) and folds.
 
     Of copies one row is used, as their shared words would all look telling.
     """
     if lists:
         kept = _once(lists)
-        lists, patterns, y = [lists[i] for i in kept], patterns[kept], y[kept]
-    n = len(lists)
-    seeds = _seed_hashes()
-    if not n:
+        lists, patterns, y, fold = [lists[i] for i in kept], patterns[kept], y[kept], fold[kept]
+    seeds = np.unique(np.concatenate([_seed_hashes(x) for x in SEEDS.values()]))
+    if not lists:
         return Classifier(seeds, np.full(len(seeds), 2.0), -2.0)
-    every, row = np.concatenate(lists), np.repeat(np.arange(n), [len(x) for x in lists])
-    names, which = np.unique(every, return_inverse=True)
-    toxic = np.bincount(which, weights=y[row], minlength=len(names))
-    clean = np.bincount(which, minlength=len(names)) - toxic
-    odds = np.log((toxic + 0.5) / (y.sum() - toxic + 0.5)) - np.log((clean + 0.5) / (n - y.sum() - clean + 0.5))
-    error = np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    names, which, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    del lists
+    used = (times >= RARE) | np.isin(names, seeds)
+    held = used[which]
+    names, which, row = names[used], (np.cumsum(used) - 1)[which[held]], row[held]
+    voters, votes, trusted = voted(names, which, row, patterns, y, fold)
+    q, found = label_model(votes, trusted)
+    weights, bias = _logistic(which, row, q, len(names))
+    # Seeds that the sample doesn't show count as the others do.
     seeded = np.isin(names, seeds)
-    induced = (odds > SIGNIFICANT * error) & (toxic >= PURE * (toxic + clean)) & (toxic >= 3)
-    entry = seeded | induced
-    held = entry[which]
-    deal = np.where(seeded, 0, 1 + (names % np.uint64(2 * VOTERS)).astype(np.int64))[which]
-    hits = np.zeros((n, 1 + 2 * VOTERS))
-    np.add.at(hits, (row[held], deal[held]), 1)
-    total = hits.sum(1)
-    votes = np.concatenate([hits > 0, (hits[:, :1] > 1), (total > 1)[:, None], (total > 3)[:, None], patterns], axis=1)
-    q, _ = label_model(votes)
-    used = np.flatnonzero(entry)
-    number = np.full(len(names), -1)
-    number[used] = np.arange(len(used))
-    pairs = np.unique(row[held] * max(1, len(used)) + number[which[held]])
-    weights, bias = _logistic(pairs % max(1, len(used)), pairs // max(1, len(used)), q, len(used))
-    # Seeds that training rows don't show count as the others do.
-    unseen = np.setdiff1d(seeds, names[used])
-    typical = float(np.median(weights[seeded[used]])) if seeded[used].any() else 2.0
-    features = np.concatenate([names[used], unseen])
+    unseen = np.setdiff1d(seeds, names)
+    typical = float(np.median(weights[seeded])) if seeded.any() else 2.0
+    features = np.concatenate([names[weights != 0], unseen])
     order = np.argsort(features)
-    return Classifier(features[order], np.concatenate([weights, np.full(len(unseen), max(0.0, typical))])[order], bias)
+    weights = np.concatenate([weights[weights != 0], np.full(len(unseen), max(0.0, typical))])
+    return Classifier(features[order], weights[order], bias, dict(zip(voters, found["accuracy"].tolist(), strict=True)), found["correlation"])
 
 
 def _narrow(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def trained(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Classifier:
-    """The classifier from labelled rows that are not held out, TRAIN_ROWS of them at most, about."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id")))
+def _drawn(doc_id: Column, share: float) -> Column:
+    return F.pmod(F.xxhash64(F.lit("train"), doc_id), F.lit(1_000_000)) < int(share * 1_000_000)
+
+
+def _sample(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, text, y, fold) of labelled (y 0 or 1) and unlabelled (-1) rows that are not held out, within the bounds."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    usable = known.where(~held_out(F.col("doc_id")))
+    rows = _narrow(documents).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = min(1.0, TRAIN_ROWS / max(1, usable.count()))
-    # The bound is TRAIN_ROWS, so the chosen labels are a small table.
-    chosen = F.broadcast(usable.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    other = min(1.0, UNLABELLED_ROWS / max(1, rows.select("doc_id").count()))
+
+    def taken(share: float, other: float) -> DataFrame:
+        # Both sides that are broadcast are as bounded as the sample.
+        labelled = rows.join(F.broadcast(usable.where(_drawn(F.col("doc_id"), share))), "doc_id")
+        unlabelled = rows.where(_drawn(F.col("doc_id"), other)).join(F.broadcast(known.where(_drawn(F.col("doc_id"), other)).select("doc_id").distinct()), "doc_id", "left_anti")
+        both = labelled.unionByName(unlabelled.withColumn("y", F.lit(-1)))
+        return both.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
 
+    size = taken(share, other).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    fits = min(1.0, TRAIN_BYTES / max(1, size))
+    return taken(share * fits, other * fits)
+
+
+def trained(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Classifier:
+    """The classifier from rows that are not held out: TRAIN_ROWS labelled and UNLABELLED_ROWS others at most, about, and TRAIN_BYTES."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch, raw, off in slices(batches):
             found, row, stems, stem_row, words = _found(raw, off, powers)
             dense, dense_row = _dense(stems, stem_row, words)
-            found, row = np.concatenate([found, dense]), np.concatenate([row, dense_row])
-            order = np.lexsort((found, row))
-            found, row = found[order], row[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
-            edge = np.searchsorted(row[new], np.arange(len(off)))
-            lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(found[new].view(np.int64)))
+            pairs = np.unique(np.concatenate([row, dense_row]).astype(np.uint64) << np.uint64(32) | np.concatenate([found, dense]))
+            edge = np.searchsorted(pairs >> np.uint64(32), np.arange(len(off), dtype=np.uint64))
+            lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
             marks = _patterns(raw, off) @ np.array([1, 2, 4])
-            yield pa.RecordBatch.from_arrays([batch.column(1), lists, pa.array(marks, pa.int32())], names=["y", "found", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), lists, pa.array(marks, pa.int32())], names=["y", "fold", "found", "marks"])
 
-    rows = _narrow(documents).join(chosen, "doc_id").select("text", "y").mapInArrow(run, "y int, found array<long>, marks int").toArrow()
-    lists = [np.asarray(x.values).view(np.uint64) for x in rows["found"]]
-    marks = np.asarray(rows["marks"])
-    return fitted(lists, (marks[:, None] >> np.arange(3)) & 1 > 0, np.asarray(rows["y"]).astype(float))
+    rows = _sample(documents, labels, label).select("text", "y", "fold").mapInArrow(run, "y int, fold int, found array<int>, marks int").toArrow()
+    lists = [np.asarray(x.values).view(np.uint32) for x in rows["found"]]
+    marks, y, fold = (np.asarray(rows[c]) for c in ("marks", "y", "fold"))
+    order = np.lexsort((marks, [len(x) for x in lists], fold, y)) if lists else []  # not the order of tasks
+    return fitted([lists[i] for i in order], ((marks[:, None] >> np.arange(3)) & 1 > 0)[order] if lists else marks, y[order] if lists else y, fold[order] if lists else fold)
 
 
 def scores(documents: DataFrame, model: Classifier) -> DataFrame:
@@ -265,7 +335,8 @@ def scored(documents: DataFrame, labels: DataFrame, label: str = "toxic", thresh
     """(doc_id, held_out, score, predicted) of every document.
 
     labels: doc_id and the label, 0 or 1; null labels and ids and held-out rows
-    are not read.  Null and empty texts have no features and get the base score.
+    are not read.  Null and empty texts have no features and get the base score;
+    a very long text is scored whole.
     Repeated rows stay; a null doc_id is scored and not held out.  Without
     labelled rows the seed lexicon alone decides.  Other columns are ignored.
     """

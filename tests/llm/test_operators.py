@@ -484,6 +484,98 @@ def test_classifiers_on_held_out_rows(spark):
         assert row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 4 == 2)
 
 
+def _statistics(text):
+    w, raw = WORD.findall(text), text.encode()
+    n, chars = max(1, len(w)), sum(map(len, w))
+    share = lambda x, of: np.arcsin(np.sqrt(min(1, x / of)))
+    upper, lower = len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text))
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    runs = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    again = {i + k for i in range(len(w) - 4) if runs[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    size = [len(x.encode()) for x in w]
+    return [
+        np.log1p(len(w)), np.log1p(chars / n), share(len(re.findall(r"[#*$%&|<>]", text)), max(1, chars)), share(upper, max(1, upper + lower)),
+        share(sum(x[-1] == "!" for x in w), n), share(sum(x[0] == "|" for x in w), n), share(len(lines) - len(set(lines)), max(1, len(lines))), share(len(again), n),
+        share(max(Counter(w).values(), default=0), n), np.log1p(len(set(w))) - np.log1p(len(w)), share(sum(b >= 128 or chr(b).isalpha() for b in raw), max(1, len(raw))),
+        share(sum(x[-1] in ".," for x in w), n), np.log1p(len(w) / max(1, len(lines))), share(sum(a == b for a, b in zip(w, w[1:])), n), share(sum(x <= 3 for x in size), n), share(sum("A" <= x[0] <= "Z" for x in w), n),
+    ]
+
+
+def test_quality_by_brute_force(spark, sf_dir, texts):
+    """All statistics in plain Python, densities by inverse and determinant."""
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    x = {d: np.array(_statistics(t)) for d, t in texts}
+    rows = {k: np.array([x[d] for d in x if labels.get(d) == k and zlib.crc32(str(d).encode()) % 4 != 2]) for k in (0, 1)}
+    covariance = {k: np.cov(r, rowvar=False, bias=True) for k, r in rows.items()}
+    pooled = sum(len(rows[k]) * covariance[k] for k in rows) / sum(map(len, rows.values()))
+    log = {}
+    for k, r in rows.items():
+        own = (1 - quality.TO_POOLED) * len(r) / (len(r) + 32)
+        c = (1 - quality.TO_SPHERE) * (own * covariance[k] + (1 - own) * pooled) + quality.TO_SPHERE * np.diag(np.maximum(np.diag(pooled), 1e-4))
+        log[k] = {d: np.log(len(r)) - 0.5 * ((v - r.mean(0)) @ np.linalg.inv(c) @ (v - r.mean(0)) + np.linalg.slogdet(c)[1]) for d, v in x.items()}
+    want = {d: 1 / (1 + np.exp(-np.clip((log[1][d] - log[0][d]) / quality.TEMPERATURE, -500, 500))) for d in x}
+    got = {r.doc_id: r.score for r in queries.QUERIES["op1_quality_discriminant"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], abs=1e-6) for d in want)
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    draw = np.random.default_rng(1)
+    n = 20_000
+    y = draw.random(n) < 0.15
+    hit, slip = np.array([0.9, 0.7, 0.5, 0.3, 0.05]), np.array([0.01, 0.02, 0.01, 0.05, 0.05])
+    votes = draw.random((n, 5)) < np.where(y[:, None], hit, slip)
+    votes = np.column_stack([votes, votes[:, 2] ^ (draw.random(n) < 0.02)])  # the last repeats the third
+    q, found = toxicity.label_model(votes, np.arange(4))
+    want = (votes == y[:, None]).mean(0)
+    assert np.abs(found["accuracy"] - want).max() < 0.04
+    assert found["correlation"][2, 5] > 0.5 > np.abs(found["correlation"][0, 1:5]).max()
+    assert ((q > 0.5) == y).mean() > 0.97
+
+
+def _features(text):
+    """Features of a text: words, five-letter beginnings, dense beginnings of three to six letters."""
+    def named(letters, size=None, kind=0):
+        b = np.frombuffer(letters.encode(), np.uint8)
+        h = toxicity.span_hashes(b, np.array([0]), np.array([len(b)]), toxicity.Powers())
+        return int(toxicity._named(h if size is None else toxicity.mixed(h ^ np.uint64(size)), kind)[0])
+
+    words = re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    out = {named(x) for x in words} | {named(x[:5], 5, 1) for x in words if len(x) > 5}
+    for size in toxicity.STEMS:
+        heads = Counter(x[:size] for x in words if len(x) > size)
+        out |= {named(h, size, 2) for h, n in heads.items() if n >= 2 and toxicity.DENSE * n >= len(words)}
+    return out
+
+
+def test_toxicity_by_brute_force(spark, sf_dir, texts):
+    """Scores from features that plain Python finds; voters, weights and folds are those of the model."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.trained(docs, labels)
+    again = toxicity.trained(docs.repartition(5), labels.repartition(3))
+    assert np.array_equal(model.features, again.features) and np.allclose(model.weights, again.weights)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    want = {d: 1 / (1 + np.exp(-model.bias - sum(weight.get(f, 0) for f in _features(t)))) for d, t in texts}
+    got = {r.doc_id: r.score for r in queries.QUERIES["op2_weak_toxicity"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], abs=1e-6) for d in want)
+    assert {"lexicon english", "words of fold 0", "shouting"} <= model.voters.keys() and model.correlation.shape == (len(model.voters),) * 2
+
+
+def test_toxicity_learns_from_unlabelled_rows(spark):
+    """A word that stands only in unlabelled texts beside known insults gets a weight; held-out rows teach nothing."""
+    def held(i):
+        return zlib.crc32(str(i).encode()) % 4 == 2
+
+    free, taken = [i for i in range(4000) if not held(i)], [i for i in range(4000) if held(i)]
+    toxic = "you idiot and moron, zarkon"
+    rows = [(i, f"{toxic} w{i}x q{i}y" if n % 5 == 0 else f"a plain text of the day w{i}x q{i}y") for n, i in enumerate(free[:600])]
+    rows += [(i, f"you idiot and moron, veltruk w{i}x") for i in taken[:300]]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.trained(docs, labels)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    assert weight[next(iter(_features("zarkon") - _features("zarkox")))] > 0.1
+    assert not any(f in weight for f in _features("veltruk"))
+
+
 def test_cascade_order_does_not_change_the_verdict(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     one = {r.doc_id: r.kept for r in rules.filtered(docs).collect()}
