@@ -7,8 +7,8 @@ document and the word's place in it, the place in the word and the merged piece,
 so every occurrence of a word is drawn for itself while a retried task repeats
 itself.
 
-No piece joins letters to a following space or crosses a line end, so the agenda
-runs word by word.  A slice of texts is encoded at once: all candidates that a
+No piece may join letters to a following space or cross a line end (the vocabulary
+is checked for it), so the agenda runs word by word.  A slice of texts is encoded at once: all candidates that a
 word can ever have are drawn for each occurrence, occurrences with equal words
 and equal sets of skipped candidates are one row of a matrix, and all rows take
 their next merge together.  Very long words take a heap instead, one by one.
@@ -57,6 +57,11 @@ class Vocabulary:
         names = [own.id_to_piece(i) for i in range(self.size)]
         usable = [not (own.is_byte(i) or own.is_control(i) or own.is_unknown(i) or own.is_unused(i)) for i in range(self.size)]
         ids = {name: i for i, name in enumerate(names) if usable[i]}
+        mark = chr(_SPACE)
+        if joins := [name for name in ids if mark in name.lstrip(mark) or "\n" in name.rstrip("\n")]:
+            raise ValueError(f"pieces that join words can't be encoded word by word: {joins[:5]}")
+        if mark not in ids or min(own.piece_to_id(f"<0x{b:02X}>") for b in range(256)) == own.unk_id():
+            raise ValueError("the model needs a space piece and byte pieces")
         self.byte_ids = np.array([own.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         #: The smaller, the earlier a piece is merged; equal scores share one.
         self.order = np.unique([-own.get_score(i) for i in range(self.size)], return_inverse=True)[1].astype(np.int32)
@@ -342,7 +347,8 @@ def encoded(documents: DataFrame, model: str = MODEL, dropout: float = DROPOUT,
     """(doc_id, ids, n_pieces, lossless) of every whole text.
 
     lossless: decoding ids gave back the text's bytes.  Null and empty texts
-    have no ids.  The draw depends on doc_id and place, so repeated rows are
+    have no ids; a very long text is encoded whole, an empty table gives an empty
+    result.  The draw depends on doc_id and place, so repeated rows are
     equal; a null doc_id draws as 0.  Other columns are ignored.  The model file
     is read by the driver only.
     """
