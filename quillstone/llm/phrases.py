@@ -10,11 +10,13 @@ by doc_id into ranges, and each range is cut into shards of about
    too many windows, never too few.
 2. Compile.  The first holder cuts the confirmed windows of each later shard into
    passages (runs of windows, as words, with the smallest doc_id that holds them)
-   and sends them there.  A shard's Aho-Corasick automaton is made of the phrases,
-   ``WINDOW`` words each, of the passages that it was sent and of those that recur
-   inside it; a passage is sent only where it can occur.
-3. Stream.  Every document passes through its shard's automaton.  Each occurrence
-   of a phrase whose holder has a smaller doc_id marks its words, which are
+   and sends them there.  A shard's Aho-Corasick automaton is made of the phrases
+   of the passages that it was sent and of those that recur inside it; a passage is
+   sent only where it can occur.  Its phrases are the consecutive blocks of
+   ``BLOCK`` words: ``WINDOW`` words of it hold a whole block wherever they begin.
+3. Stream.  Every document passes through its shard's automaton.  At each
+   occurrence of a phrase whose holder has a smaller doc_id, the words before and
+   after it are compared with the passage; ``WINDOW`` equal words or more are
    removed.  What is removed follows from these matches alone.
 
 An automaton is bounded by its shard.  No task sees more than one shard's texts,
@@ -38,6 +40,9 @@ from pyspark.sql import functions as F
 from quillstone.llm.arrowtext import Powers, flat, joined, span_hashes, windows, word_spans
 
 WINDOW = 13
+
+#: Words of a phrase; two blocks less a word are no longer than a window.
+BLOCK = 7
 SHARD_BYTES = 2 << 20
 RANGE_BYTES = 16 << 20
 
@@ -51,10 +56,17 @@ SPARE_BITS = 10
 #: Shards that one row with a passage names at most; longer lists take several rows, so that they spread.
 TAKERS = 256
 
+#: Occurrences that are compared with their passages at once.
+COMPARED = 1 << 20
+
 #: Characters that stand for words; surrogates are no characters.
 LETTERS = 0x110000 - 0x800 - 1
 
 
+#: Grown once in every task.
+_POWERS = Powers()
+
+
 def _words(column: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     buf, off = flat(column)
     starts, ends, first = word_spans(buf, off)
@@ -67,7 +79,7 @@ class _Shard:
     def __init__(self, table: pa.Table, bits: int) -> None:
         self.table = table.combine_chunks().sort_by("doc_id")
         column = self.table["text"].combine_chunks() if self.table.num_rows else pa.array([], pa.string())
-        self.powers = Powers()
+        self.powers = _POWERS
         self.buf, self.starts, self.ends, self.first, self.words = _words(column, self.powers)
         self.begin, self.row = windows(self.first, WINDOW)
         self.ids = self.table["doc_id"].to_numpy()
@@ -193,44 +205,77 @@ class _Letters:
         """First words and values of the phrases that stand in the first ``end`` words."""
         found = np.array([x for pair in automaton.iter(self.of(0, end)) for x in pair], np.int64).reshape(-1, 2)
         found = found[(found[:, 0] + 1) % self.wide == 0]
-        return (found[:, 0] + 1) // self.wide - WINDOW, found[:, 1]
+        return (found[:, 0] + 1) // self.wide - BLOCK, found[:, 1]
 
 
 def _automaton(letters: _Letters, begins: np.ndarray) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for i, begin in enumerate(begins.tolist()):
-        automaton.add_word(letters.of(begin, begin + WINDOW), i)
+        automaton.add_word(letters.of(begin, begin + BLOCK), i)
     automaton.make_automaton()
     return automaton
 
 
+def _runs(place: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of every run of sorted windows that follow each other in one row."""
+    head = np.ones(len(place), bool)
+    head[1:] = (place[1:] != place[:-1] + 1) | (row[place[1:]] != row[place[:-1]])
+    at = np.flatnonzero(head)
+    return place[at], np.diff(np.append(at, len(place)))
+
+
+def _extent(words: np.ndarray, x: np.ndarray, y: np.ndarray, room: np.ndarray, step: int) -> np.ndarray:
+    """How many words from x and y on are equal, in one direction and at most room."""
+    out, going = np.zeros(len(x), np.int64), np.ones(len(x), bool)
+    for k in range(WINDOW - BLOCK):
+        going &= room > k
+        going[going] = words[x[going] + step * k] == words[y[going] + step * k]
+        out += going
+    return out
+
+
 def _removed(shard: _Shard, passages: pa.Table) -> np.ndarray:
-    """For each word of the shard, whether an occurrence of a phrase of a smaller doc_id covers it."""
-    gone = np.zeros(len(shard.words), bool)
-    _, _, _, first, words = _words(passages["text"].combine_chunks() if passages.num_rows else pa.array([], pa.string()), shard.powers)
-    begin, row = windows(first, WINDOW)
-    sent = span_hashes(words, begin, begin + WINDOW, shard.powers)
-    # Phrases that recur inside the shard: some place of theirs has a larger doc_id than the first.
+    """For each word of the shard, whether an occurrence of a passage of a smaller doc_id covers it."""
+    edge = np.zeros(len(shard.words) + 1, np.int64)
+    _, _, _, first, sent = _words(passages["text"].combine_chunks() if passages.num_rows else pa.array([], pa.string()), shard.powers)
+    # Passages that recur inside the shard: some place of their windows has a larger doc_id than the first.
     least = shard.ids[shard.row[shard.sample]]
     again = np.zeros(len(shard.hashes), bool)
     again[shard.which[shard.ids[shard.row] > least[shard.which]]] = True
-    own = np.flatnonzero(again)
-    names = np.concatenate([sent, shard.hashes[own]])
-    holders = np.concatenate([passages["holder"].to_numpy()[row] if len(row) else np.zeros(0, np.int64), least[own]])
-    begins = np.concatenate([begin + len(shard.words), shard.begin[shard.sample[own]]])
-    if not len(names):
-        return gone
-    order = np.lexsort((holders, names))
-    new = np.ones(len(order), bool)
-    new[1:] = names[order[1:]] != names[order[:-1]]
-    holders, begins = holders[order][new], begins[order][new]
-    letters = _Letters(np.concatenate([shard.words, words]))
-    at, phrase = letters.met(_automaton(letters, begins), len(shard.words))
-    window = np.searchsorted(shard.begin, at)
-    window[window == len(shard.begin)] = 0
-    whole = shard.begin[window] == at  # phrases don't cross documents
-    at = at[whole & (holders[phrase] < shard.ids[shard.row[window]])]
-    edge = np.bincount(at, minlength=len(gone) + 1) - np.bincount(at + WINDOW, minlength=len(gone) + 1)
+    own, n_windows = _runs(np.sort(shard.sample[again]), shard.row)
+    words = np.concatenate([shard.words, sent])
+    begin = np.concatenate([shard.begin[own], first[:-1] + len(shard.words)])
+    size = np.concatenate([n_windows + WINDOW - 1, np.diff(first)])
+    holder = np.concatenate([shard.ids[shard.row[own]], passages["holder"].to_numpy()])
+    # The blocks of every passage; equal blocks are one phrase with several places.
+    n_blocks = size // BLOCK
+    passage = np.repeat(np.arange(len(size)), n_blocks)
+    place = begin[passage] + BLOCK * _spans(np.zeros(len(size), np.int64), n_blocks)
+    if not len(place):
+        return edge[:-1] > 0
+    _, phrase = np.unique(span_hashes(words, place, place + BLOCK, shard.powers), return_inverse=True)
+    order = np.argsort(phrase, kind="stable")
+    place, passage = place[order], passage[order]
+    lead = np.append(np.flatnonzero(np.diff(phrase[order], prepend=-1)), len(order))
+    letters = _Letters(words)
+    at, met = letters.met(_automaton(letters, place[lead[:-1]]), len(shard.words))
+    row = np.searchsorted(shard.first, at, "right") - 1
+    whole = at + BLOCK <= shard.first[row + 1]  # phrases don't cross documents
+    at, met, row = at[whole], met[whole], row[whole]
+    many = lead[met + 1] - lead[met]
+    done = np.concatenate([[0], np.cumsum(many)])
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(done, done[a] + COMPARED, "right")) - 1)
+        each = _spans(lead[met[a:b]], many[a:b])
+        x, r, y, p = np.repeat(at[a:b], many[a:b]), np.repeat(row[a:b], many[a:b]), place[each], passage[each]
+        late = holder[p] < shard.ids[r]
+        x, r, y, p = x[late], r[late], y[late], p[late]
+        before = _extent(words, x - 1, y - 1, np.minimum(x - shard.first[r], y - begin[p]), -1)
+        after = _extent(words, x + BLOCK, y + BLOCK, np.minimum(shard.first[r + 1] - x, begin[p] + size[p] - y) - BLOCK, 1)
+        long = before + BLOCK + after >= WINDOW
+        edge += np.bincount((x - before)[long], minlength=len(edge)) - np.bincount((x + BLOCK + after)[long], minlength=len(edge))
+        a = b
     return np.cumsum(edge)[:-1] > 0
 
 
