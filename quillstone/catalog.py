@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.plans import evidence, finance, layout, streams, text
+from quillstone.plans import evidence, finance, layout, search, streams, text
 
-QUERIES = {**finance.QUERIES, **text.QUERIES, **streams.QUERIES, **layout.QUERIES, **evidence.QUERIES}
-ORACLE_SQL = {**finance.ORACLE_SQL, **text.ORACLE_SQL, **streams.ORACLE_SQL, **layout.ORACLE_SQL, **evidence.ORACLE_SQL}
+QUERIES = {**finance.QUERIES, **text.QUERIES, **search.QUERIES, **streams.QUERIES, **layout.QUERIES, **evidence.QUERIES}
+ORACLE_SQL = {**finance.ORACLE_SQL, **text.ORACLE_SQL, **search.ORACLE_SQL, **streams.ORACLE_SQL, **layout.ORACLE_SQL, **evidence.ORACLE_SQL}

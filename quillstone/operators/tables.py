@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions import labels
+from quillstone.functions import labels, periods
 from quillstone.functions import text as t
 
 #: Rows from the top that may be the header.
@@ -26,7 +26,7 @@ def facts_of(grids: DataFrame) -> DataFrame:
     percentage among them is dropped.  Of several rows of one metric and period
     the surest counts, then the first.
     """
-    named = F.filter(F.transform("cells", lambda c: t.fiscal_label(c)), lambda p: p.isNotNull())
+    named = F.filter(F.transform("cells", lambda c: periods.fiscal_label(c)), lambda p: p.isNotNull())
     top = grids.where(F.col("row_idx") < HEADER_ROWS).select("grid_id", F.col("row_idx").alias("header"), named.alias("periods")).where(F.size("periods") > 0)
     first = Window.partitionBy("grid_id").orderBy(F.desc(F.size("periods")), "header")
     header = top.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")

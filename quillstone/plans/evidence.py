@@ -9,33 +9,12 @@ from quillstone.functions import text as t
 from quillstone.operators import financials as f
 from quillstone.operators.tables import facts_of
 from quillstone.plans.finance import SQL_WITH
-from quillstone.plans.text import _tokens_sql
+from quillstone.plans.search import tokens_sql
 from quillstone.sources.tables import facts, table
 
-DIMENSION = 384
 WANTED = ["revenue", "net_income", "eps", "inventory"]
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """(id, at, value): the unit vector of (id, terms) over terms and adjacent pairs, by the md5 of each."""
-    pairs = F.transform(t.bigrams(F.col("terms")), lambda b: F.replace(b, F.lit(" "), F.lit("_")))
-    term = rows.select("id", F.explode(F.concat("terms", pairs)).alias("term")).select("id", F.md5("term").alias("h"))
-    byte = lambda i: F.substr("h", F.lit(2 * i + 1), F.lit(2))
-    number = F.conv(F.concat(byte(3), byte(2), byte(1), byte(0)), 16, 10).cast("long")
-    odd = F.conv(byte(4), 16, 10).cast("int") % 2 == 1
-    sums = term.select("id", (number % DIMENSION).cast("int").alias("at"), F.when(odd, 1).otherwise(-1).alias("sign")).groupBy("id", "at").agg(F.sum("sign").alias("v")).where("v <> 0")
-    norm = sums.groupBy("id").agg(F.sqrt(F.sum(F.abs("v"))).alias("norm"))
-    return sums.join(norm, "id").select("id", "at", (F.signum("v") * F.sqrt(F.abs("v")) / F.col("norm")).alias("value"))
-
-
-def hash_embed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents nearest to a question by hash embeddings."""
-    docs = _hashed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), t.tokens(F.col("text")).alias("terms")))
-    question = _hashed(table(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("item_id").alias("id"), t.tokens(F.col("text")).alias("terms")))
-    near = docs.join(F.broadcast(question.select("at", F.col("value").alias("q"))), "at")  # DIMENSION rows at most
-    return near.groupBy(F.col("id").alias("doc_id")).agg(F.round(F.sum(F.col("value") * F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
-
-
 def statement_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six documents of each company: most wanted metrics first, the wanted year before others, then by id."""
     rows = facts(spark, sf_dir).where(F.col("metric").isin(WANTED))
@@ -113,18 +92,10 @@ def _public(name: str, value: object) -> bool:
 QUERIES = {name: value for name, value in list(globals().items()) if _public(name, value)}
 
 
-def _hashed_sql(source: str, name: str) -> str:
-    return f"""{name}_t AS (SELECT id, unnest(list_concat(x, list_transform(range(1, len(x)), lambda i: x[i] || '_' || x[i + 1]))) AS term FROM ({source})), {name}_s AS (
-      SELECT id, (('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::UBIGINT % {DIMENSION})::INT AS slot, sum(CASE WHEN ('0x' || h[9:10])::INT % 2 = 1 THEN 1 ELSE -1 END) AS v FROM (SELECT id, md5(term) AS h FROM {name}_t) GROUP BY ALL HAVING v <> 0),
-      {name} AS (SELECT id, slot, sign(v) * sqrt(abs(v)) / sqrt(sum(abs(v)) OVER (PARTITION BY id)) AS value FROM {name}_s)"""
-
-
 ORACLE_SQL = {
-    "hash_embed_topk": f"""WITH {_hashed_sql(f"SELECT doc_id AS id, {_tokens_sql('text')} AS x FROM documents", "d")}, {_hashed_sql(f"SELECT item_id AS id, {_tokens_sql('text')} AS x FROM benchmark WHERE item_id = 0", "q")}
-      SELECT d.id AS doc_id, round(sum(d.value * q.value), 6) AS score FROM d JOIN q ON d.slot = q.slot GROUP BY d.id ORDER BY score DESC, doc_id LIMIT 20""",
     "statement_lane": f"""{SQL_WITH}, e AS (SELECT company_id, document_id, count(DISTINCT metric) AS n_metrics, max((fiscal_year = 1998)::INT) AS in_year FROM facts WHERE metric IN {tuple(WANTED)} GROUP BY ALL)
       SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY n_metrics DESC, in_year DESC, document_id)::INT AS place FROM e QUALIFY place <= 6""",
-    "answer_support": f"""WITH r AS (SELECT conv_id, turn, role, list_distinct({_tokens_sql("text")}) AS x FROM conversations), b AS (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY turn) AS y FROM r)
+    "answer_support": f"""WITH r AS (SELECT conv_id, turn, role, list_distinct({tokens_sql("text")}) AS x FROM conversations), b AS (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY turn) AS y FROM r)
       SELECT conv_id, turn, round(len(list_intersect(x, y))::DOUBLE / len(x), 6) AS share, len(list_intersect(x, y))::DOUBLE / len(x) >= 0.6 AS supported FROM b WHERE role = 'assistant' AND y IS NOT NULL AND len(x) > 0""",
     "carried_question": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS question_turn FROM conversations",
     "event_runs": """WITH m AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

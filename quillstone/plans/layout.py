@@ -42,12 +42,13 @@ _N = len(labels.taxonomy())
 
 
 def _count(text: str, phrase: str) -> str:
-    return f"least(3, (length({text}) - length(replace({text}, '{phrase}', ''))) // {len(phrase)})"
+    return f"least(3, (length({text}) - length(replace({text}, '{phrase}', ''))) // length('{phrase}'))"
 
 
 def _types_sql() -> str:
     parts = []
     for i, (kind, strong, weak) in enumerate(labels.TYPES):
+        strong, weak = ([p.replace("'", "''") for p in x] for x in (strong, weak))
         points = [f"CASE WHEN contains(name, '{p}') THEN 10 ELSE 0 END + CASE WHEN contains(head, '{p}') THEN 6 ELSE 0 END + {_count('body', p)}" for p in strong] + [f"CASE WHEN contains(body, '{p}') THEN 1 ELSE 0 END" for p in weak]
         parts.append(f"SELECT doc_id, {i} AS o, '{kind}' AS kind, {' + '.join(points)} AS score FROM d")
     return f"""WITH t AS (SELECT doc_id, ['', 'Prepared remarks. Balance sheet, balance sheet. '][(doc_id % 2 + 1)::INT] || text AS text, regexp_replace(lower(['annual_report_2024.pdf', 'q3-earnings.call.txt', 'notes.txt', 'investor-day.pdf'][(doc_id % 4 + 1)::INT]), '[_\\-.]+', ' ', 'g') AS name FROM documents),
