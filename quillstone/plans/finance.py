@@ -98,10 +98,10 @@ def project_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statement_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics by year of one company."""
-    long = f.series(_panel(spark, sf_dir).where("company_id = 1"), f.METRICS)
+    """Metrics by year of every company."""
+    long = f.series(_panel(spark, sf_dir), f.METRICS)
     years = list(range(1995, 2002))
-    return long.groupBy("key").pivot("fiscal_year", years).agg(F.first("value")).select("key", *[F.col(str(y)).alias(f"fy{y}") for y in years])
+    return long.groupBy("company_id", "key").pivot("fiscal_year", years).agg(F.first("value")).select("company_id", "key", *[F.col(str(y)).alias(f"fy{y}") for y in years])
 
 
 def ratio_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,17 +186,17 @@ _RATIO_SQL = """
 _REPORTED = "revenue depreciation finance_costs tax_expense pbt net_income eps cash inventory receivables current_assets total_assets short_term_debt long_term_debt current_liabilities equity cfo capex cogs".split()
 _PREVIOUS = "revenue net_income eps total_debt equity ebit finance_costs cfo receivables inventory".split()
 
-SQL_WITH = f"""WITH {FACTS_SQL}, best AS (
+SQL_WITH = f"""WITH {FACTS_SQL}, best AS MATERIALIZED (
   SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY company_id, fiscal_year, metric
     ORDER BY (document_year = fiscal_year) DESC, confidence DESC, (document_type = 'annual_report') DESC, uploaded_at DESC, document_id) = 1
 ), wide AS (
   SELECT company_id, company, fiscal_year, {", ".join(f"max(value) FILTER (metric = '{m}') AS {m}" for m in _REPORTED)} FROM best GROUP BY ALL
-), panel AS (
+), panel AS MATERIALIZED (
   SELECT *, CASE WHEN short_term_debt IS NOT NULL OR long_term_debt IS NOT NULL THEN coalesce(short_term_debt, 0) + coalesce(long_term_debt, 0) END AS total_debt,
     revenue - cogs AS gross_profit, pbt + abs(finance_costs) AS ebit, pbt + abs(finance_costs) + abs(depreciation) AS ebitda, cfo - abs(capex) AS free_cash_flow, total_assets - equity AS total_liabilities FROM wide
 ), dated AS (
   SELECT c.*, p.fiscal_year AS p_fiscal_year, {", ".join(f"p.{m} AS p_{m}" for m in _PREVIOUS)} FROM panel c LEFT JOIN panel p ON c.company_id = p.company_id AND c.fiscal_year = p.fiscal_year + 1
-), rated AS (
+), rated AS MATERIALIZED (
   SELECT *, {_RATIO_SQL} FROM dated
 )"""
 
@@ -207,7 +207,7 @@ def _series_sql(name: str, keys: list[str], source: str, unit: str = "") -> str:
 
 
 _AMOUNTS_SQL = _series_sql("amounts", ["revenue", "ebitda", "net_income", "eps", "free_cash_flow"], "panel")
-_POINTS_SQL = f"""{_AMOUNTS_SQL}, {_series_sql("shares_of", ["operating_margin", "net_margin", "roe"], "rated", "%")}, points AS (FROM amounts UNION ALL FROM shares_of), moved AS (
+_POINTS_SQL = f"""{_AMOUNTS_SQL}, {_series_sql("shares_of", ["operating_margin", "net_margin", "roe"], "rated", "%")}, points AS MATERIALIZED (FROM amounts UNION ALL FROM shares_of), moved AS (
   SELECT a.*, CASE WHEN a.unit = '%' THEN a.value - b.value ELSE (a.value - b.value) / nullif(abs(b.value), 0) * 100 END AS change
   FROM points a LEFT JOIN points b ON a.company_id = b.company_id AND a.key = b.key AND a.fiscal_year = b.fiscal_year + 1
 )"""
@@ -301,8 +301,8 @@ ORACLE_SQL = {
     "project_linear": f"""{SQL_WITH}, {_series_sql("long2", ["revenue", "ebitda"], "panel")}
       SELECT company_id, key, (max(fiscal_year) + 1)::INT AS fiscal_year, round(regr_intercept(value, fiscal_year) + regr_slope(value, fiscal_year) * (max(fiscal_year) + 1), 4) AS value
       FROM long2 WHERE value IS NOT NULL GROUP BY company_id, key HAVING count(*) >= 3""",
-    "statement_pivot": f"""{SQL_WITH}, all_metrics AS (SELECT *, {", ".join(f"NULL::DOUBLE AS {m}" for m in f.METRICS if m not in [*_REPORTED, "total_debt", "gross_profit", "ebit", "ebitda", "free_cash_flow", "total_liabilities"])} FROM panel WHERE company_id = 1),
-      {_series_sql("long2", f.METRICS, "all_metrics")} {_pivot_sql(_FY)}""",
+    "statement_pivot": f"""{SQL_WITH}, all_metrics AS (SELECT *, {", ".join(f"NULL::DOUBLE AS {m}" for m in f.METRICS if m not in [*_REPORTED, "total_debt", "gross_profit", "ebit", "ebitda", "free_cash_flow", "total_liabilities"])} FROM panel),
+      {_series_sql("long2", f.METRICS, "all_metrics")} {_pivot_sql(_FY, "company_id, key")}""",
     "ratio_pivot": f"{SQL_WITH}, {_series_sql('long2', _RATIO_KEYS, 'rated')} {_pivot_sql(_FY, 'company_id, key')}",
     "majority_unit_currency": f"""{SQL_WITH}, r AS (FROM facts WHERE metric NOT IN ('eps', 'eps_diluted')), u AS (
       SELECT company_id, unit, count(*) AS unit_votes FROM r WHERE unit <> '' GROUP BY company_id, unit QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY unit_votes DESC, unit) = 1), c AS (

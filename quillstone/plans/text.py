@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import periods, questions
 from quillstone.functions import text as t
 from quillstone.operators import guards
+from quillstone.operators.companies import mentioned
 from quillstone.operators.ranks import numbered
 from quillstone.plans.search import SENTENCES_SQL, tokens_sql
 from quillstone.sources.tables import table
@@ -123,7 +124,7 @@ def detect_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def company_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spellings of supplier names that mean one company."""
-    ending = F.element_at(F.array(*[F.lit(x) for x in (" Ltd.", " Limited", ", Inc.", " Co", "")]), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    ending = F.element_at(F.array(*[F.lit(x) for x in (" Ltd.", " Limited", ", Inc.", " Co.", " (formerly Other) PLC")]), (F.col("s_suppkey") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", t.company_key(F.concat("s_name", ending)).alias("key"))
 
 
@@ -150,6 +151,9 @@ _QUESTIONS = (
     "What are management's expectations for next year?", "Summarize the latest earnings call.", "Compare it with its peers", "operating profit after tax of Q1 FY24",
 )
 
+#: Names in questions; a company is called Firm3 of NATION_3 Ltd., and its first word is its own.
+_NAMED = (" Compare Firm3 with firm11 of nation 11!", " Firm growth of nation 7", " FIRM2, Firm12 and firm4's sales against Firm25", "", " Firm1 of nation 1, firm 3 and firm0")
+
 #: Captions and the periods that they name.
 _PERIODS = (
     ("Year ended March 31, {y}", "FY{y}"), ("Q{q} FY{s} results", "Q{q} FY{y}"), ("FY{y}-{m} and FY{s}", "FY{n},FY{y}"), ("FY {s}", "FY{y}"), ("total of {y}.5", ""), ("in {y} it", "FY{y}"), ("FY{n} compared with Q{q} FY{s}", "FY{n},Q{q} FY{y}"),
@@ -183,6 +187,15 @@ def intent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.understood(rows, "question").select("conv_id", "turn", "u.intent", "u.score", "u.confidence", "u.plan", F.array_join("u.ratios", ",").alias("ratios"), F.array_join("u.metrics", ",").alias("metrics"), F.array_join(F.col("u.years").cast("array<string>"), ",").alias("years"))
 
 
+def company_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The companies, one of each nation, that turns name, in order."""
+    said = F.element_at(F.array(*[F.lit(x) for x in _NAMED]), (F.col("turn") % len(_NAMED) + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("query_id"), F.concat("text", said).alias("text"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("company_id"), F.concat(F.lit("Firm"), F.col("n_nationkey").cast("string"), F.lit(" of "), "n_name", F.lit(" Ltd.")).alias("name"))
+    found = mentioned(rows, nations).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "company_id"))).alias("found"))  # nations
+    return found.select("query_id.*", F.array_join(F.transform("found", lambda f: f["company_id"].cast("string")), ",").alias("companies"))
+
+
 def find_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All periods of captions in reading order; {y} is the order's year, {n} the next, {s} and {m} their last digits, {q} its quarter."""
     phrase = F.element_at(F.array(*[F.lit(x) for x, _ in _PERIODS]), (F.col("o_orderkey") % len(_PERIODS) + 1).cast("int"))
@@ -250,6 +263,8 @@ ORACLE_SQL = {
       (5, 'RISK_ANALYSIS', 3.0, 1.0, 'risk,research', '', '', ''), (6, 'MANAGEMENT_ANALYSIS', 3.5, 1.0, 'research', '', '', ''), (7, 'SUMMARY', 3.5, 1.0, 'financial,research', '', '', ''), (8, 'COMPANY_COMPARISON', 2.5, 1.2, 'comparison,research', '', '', ''),
       (9, 'DOCUMENT_QA', 1.0, 0.0, 'financial,research', '', 'net_income', '2024'))
       SELECT conv_id, turn, intent, score::DOUBLE AS score, round(score::DOUBLE / (score + second), 3) AS confidence, plan, ratios, metrics, years FROM conversations JOIN w ON k = turn % 10""",
+    "company_mentions": """WITH w(k, companies) AS (VALUES (0, '3,11'), (2, '2,12,4'), (4, '1,0'))
+      SELECT conv_id, turn, companies FROM conversations JOIN w ON k = turn % 5""",
     "find_periods": f"""WITH {_CAPTION_SQL}, w(k, said) AS (VALUES {", ".join(f"({i}, '{x}')" for i, (_, x) in enumerate(_PERIODS))}),
       p AS (SELECT o_orderkey, year, quarter, CASE WHEN year = 1999 AND k = 2 THEN 'FY1999,FY1999' ELSE said END AS said FROM captions JOIN w ON k = o_orderkey % {len(_PERIODS)})
       SELECT o_orderkey, replace(replace(replace(said, '{{y}}', year::VARCHAR), '{{n}}', (year + 1)::VARCHAR), '{{q}}', quarter::VARCHAR) AS periods FROM p""",

@@ -120,7 +120,7 @@ sums AS (
     receivables, inventory, cash, current_assets, current_liabilities, short_term_debt, long_term_debt, equity, total_assets, cfo, capex INTO NAME metric VALUE cents)
   UNION ALL BY NAME
   SELECT s_nationkey, fiscal_year, o_orderpriority, uploaded_at, 'eps' AS metric, net_income::DOUBLE / 100 / shares AS value, 1.0 AS scale FROM more WHERE fiscal_year <> 1997 AND shares > 0
-), facts AS (
+), facts AS MATERIALIZED (
   SELECT s_nationkey AS company_id, n_name AS company, concat_ws('/', s_nationkey, fiscal_year, o_orderpriority) AS document_id,
     CASE WHEN o_orderpriority[1] IN ('1', '3') THEN 'annual_report' ELSE 'quarterly_report' END AS document_type,
     CASE WHEN o_orderpriority = '5-LOW' THEN fiscal_year - 1 ELSE fiscal_year END AS document_year, uploaded_at, metric, fiscal_year, value, scale,

@@ -105,3 +105,8 @@ def test_types_and_blocked_labels(spark):
     assert [k["k"] for k in kinds] == ["earnings_call", "quarterly_report", "financial_statement", "company_filing", "other"]
     rows = given(spark, ["Total equity and liabilities", "Profit before exceptional items and tax", "Total revenue", "Revenue growth"], m=lambda x: labels.matched(labels.normalized(x)))
     assert [r["m"]["metric"] if r["m"] else None for r in rows] == [None, None, "revenue", None]
+
+
+def test_company_keys(spark):
+    names = ["Acme Ltd.", "ACME Limited", "Foo Holdings, Inc.", "Bar (formerly Baz) PLC", "Big Co", "Big Co. Ltd", "S.A. Corp. Company"]
+    assert [f["k"] for f in given(spark, names, k=t.company_key)] == ["acme", "acme", "foo holdings", "bar", "big co", "big", "s a"]
