@@ -113,7 +113,3 @@ def windows(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.maximum(np.diff(first) - size + 1, 0)
     row = np.repeat(np.arange(len(count)), count)
     return np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[:-1][row], row
-
-
-def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema], schema=schema)

@@ -7,9 +7,9 @@ names were changed still matches.  Matches of one document and item at one
 offset are gathered, and the replaced values must be consistent: one value of
 the item stands for one value of the document all along.
 
-Windows with few literal words would match anything as templates.  They, all
-other windows and whole items of fewer than eight words are also matched by
-their exact lower-case words, so a copy is found whatever it is made of.
+An item of fewer than eight words is one window.  Windows with few literal words
+would match anything as templates.  They and all other windows are also matched
+by their exact lower-case words, so a copy is found whatever it is made of.
 
 DataFrame functions only.  Document windows are filtered by the benchmark's
 window hashes before anything is shuffled.
@@ -76,13 +76,14 @@ def _templates(texts: DataFrame, id_column: str, name: str) -> DataFrame:
 
 
 def _windows(templates: DataFrame, lengths: list[int], *kept: str) -> DataFrame:
-    """(kept columns, at, length, window) for every window: of template tokens (length 0), and of so many exact words for each of the lengths."""
+    """(kept columns, at, length, window) for every window: of so many exact words for each of the lengths, and of so many template tokens (negative)."""
 
     def of(hashes: str, n: int, length: int) -> Column:
         starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.lit(length).alias("length"), F.xxhash64(F.slice(hashes, i, n), F.lit(length)).alias("window")))
 
-    parts = of("hashes", WINDOW, 0), *(of("exact", n, n) for n in lengths)
+    templates_of = sorted({WINDOW, *(n for n in lengths if n >= LITERALS)})
+    parts = *(of("hashes", n, -n) for n in templates_of), *(of("exact", n, n) for n in lengths)
     return templates.select(*kept, F.explode(F.concat(*parts)).alias("w")).select(*kept, "w.*")
 
 
@@ -98,15 +99,16 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     all it has, or of those that can match as templates if that is more; n_slots
     different values were replaced there.  A window matches as a template or by its
     exact lower-case words; inconsistent slots are overruled only if all windows
-    match exactly.  An item of one to seven words is one window, which must stand in
-    the document exactly, so an item of one common word is in many documents.  Null
+    match exactly.  An item of one to seven words is one window: with LITERALS
+    different words besides placeholders it matches as a template, else exactly, so an
+    item of one common word is in many documents.  Null
     and empty texts have no windows; rows with a null id take part under the null id.  Repeated rows count once, and
     different texts of one id are matched each by itself.
     Other columns are ignored; an empty table on either side gives no rows.
     """
     asked = _templates(benchmark, "item_id", "item_id").where(F.size("exact") > 0)
     lengths = sorted({r.n for r in asked.select(F.least(F.size("exact"), F.lit(WINDOW)).alias("n")).distinct().collect()})
-    asked = _windows(asked.withColumn("words", F.size("exact")), lengths, "item_id", "marked", "words").where((F.col("length") == 0) | (F.col("length") == F.least("words", F.lit(WINDOW))))
+    asked = _windows(asked.withColumn("words", F.size("exact")), lengths, "item_id", "marked", "words").where(F.abs("length") == F.least("words", F.lit(WINDOW)))
     items = asked.select("item_id", F.col("at").alias("item_at"), "window", (F.col("length") > 0).alias("exact"), _slice(_words(F.col("marked"))).alias("item_words"), _slice(_words(_template(F.col("marked")))).alias("template"))
     literals = F.size(F.array_distinct(F.filter("template", lambda t: ~t.startswith("<"))))
     items = items.where(F.col("exact") | (literals >= LITERALS)).distinct().withColumn("has_slots", F.exists("template", lambda t: t.startswith("<")))

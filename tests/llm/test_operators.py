@@ -117,7 +117,8 @@ def test_lines_are_kept_when_the_array_says_nothing(spark, monkeypatch):
 
 def test_empty_tables(spark, odd, labels):
     benchmark = spark.createDataFrame([], "item_id long, text string")
-    assert {k: v.count() for k, v in _apply(odd.limit(0), labels.limit(0), benchmark).items()} == dict.fromkeys(_apply(odd.limit(0), labels.limit(0), benchmark), 0)
+    counts = {k: v.count() for k, v in _apply(odd.limit(0), labels.limit(0), benchmark).items()}
+    assert counts == dict.fromkeys(counts, 0)
 
 
 def _fingerprint(text):
@@ -396,16 +397,16 @@ def _leaked(text, items, known={}):  # noqa: B006
     """The items that a text holds: all places of all of an item's windows, by offset."""
     doc, found = _tokens(text), set()
     words = {n: _runs(doc, n, 1) for n in range(1, 9)}
-    templates = _runs(doc, 8, 0)
+    templates = {n: _runs(doc, n, 0) for n in range(1, 9)}
     for item_id, item in items:
         if item not in known:
             own = _tokens(item)
             size = min(8, len(own))
-            able = {k: v for k, v in _runs(own, 8, 0).items() if len({x for x in k if not x.startswith("<")}) >= 4}
+            able = {k: v for k, v in _runs(own, size, 0).items() if size and len({x for x in k if not x.startswith("<")}) >= 4}
             known[item] = own, size, _runs(own, size, 1) if size else {}, able
         own, size, exact, able = known[item]
         groups = {}
-        for kind, windows, places, n in ((0, exact, words.get(size, {}), size), (1, able, templates, 8)):
+        for kind, windows, places, n in ((0, exact, words.get(size, {}), size), (1, able, templates.get(size, {}), size)):
             for window, own_places in windows.items():
                 for i in own_places:
                     for j in places.get(window, []):
@@ -426,11 +427,12 @@ def test_templates_by_brute_force(spark, texts, sf_dir):
     changed = [(10_000 + i, f"Before it. {re.sub('[0-9]+', lambda m: str(int(m[0]) + 7), x)} After it.") for i, x in items]
     mixed = [(20_000 + i, re.sub(r"(?<= )[A-Z][a-z]+", "Zora", x)) for i, x in items]
     halves = [(30_000 + i, " ".join(x.split()[: len(x.split()) * 2 // 3]) + " and so on") for i, x in items]
-    short = [(900, "how tall is the tower"), (901, "Anna Bob Carl Dora Emil Fritz Gerd Hans Ida")]
-    docs = [*texts[:60], *changed, *mixed, *halves, (40_000, "So how tall is the Tower, Anna?"), (40_001, "anna bob Carl Dora Emil Fritz gerd hans ida")]
+    short = [(900, "how tall is the tower"), (902, "What is the capital city of France?"), (901, "Anna Bob Carl Dora Emil Fritz Gerd Hans Ida")]
+    docs = [*texts[:60], *changed, *mixed, *halves, (40_000, "So how tall is the Tower, Anna?"), (40_002, "What is the capital city of Spain? Yes"), (40_003, "What is the main city of Spain?"), (40_001, "anna bob Carl Dora Emil Fritz gerd hans ida")]
     found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + short, "item_id long, text string"))
     want = {(d, i) for d, t in docs for i in _leaked(t, items + short)}
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want and {d // 10_000 for d, _ in want} >= {1, 4}
+    assert (40_002, 902) in want and not any(d == 40_003 for d, _ in want)
 
 
 def test_leaks_are_found(spark, sf_dir, texts):
