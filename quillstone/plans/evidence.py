@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as t
+from quillstone.operators import evaluation
 from quillstone.operators import financials as f
 from quillstone.operators.tables import facts_of
 from quillstone.plans.finance import SQL_WITH
@@ -32,6 +33,24 @@ def answer_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.round(share, 6).alias("share"), (share >= 0.6).alias("supported"))
 
 
+def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as an answer to the one before it, which is question and context: its second statement has a figure and markup of its own."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lag("text").over(order).alias("before")).where("before is not null and text is not null")
+    # Sentences would also end inside the texts; one statement is the whole of either.
+    plain = lambda c: F.regexp_replace(c, r"[^A-Za-z]+", " ")
+    own, before = plain("text"), plain("before")
+    answer = F.concat(F.lit("# Heading of four words\n| a | table row 99 |\n"), before, F.lit("\n**"), before, F.lit("** 1,250 [S1]\n"), own, F.lit(" figure 77"))
+    context = F.concat(before, F.lit(" Sales 1,250."))
+    cited = F.array(*[F.struct(F.lit(d).alias("document"), F.lit(p).alias("page"), F.lit(e).cast("int").alias("page_end")) for d, p, e in (("a", 3, 5), ("b", 4, None), ("a", 9, None), ("a", 1, None))])
+    page = (F.col("turn") % 10).cast("int")
+    scored = {
+        "faithfulness": evaluation.faithfulness(answer, context), "relevance": evaluation.relevance(before, answer), "key_facts": evaluation.key_fact_recall(answer, F.array(F.lit("Figure 77"), F.lit("not there"))),
+        "citation_precision": evaluation.citation_precision(cited, F.lit("a")), "page_hit": evaluation.page_hit(cited, F.lit("a"), page),
+    }
+    return rows.select("conv_id", "turn", *[F.round(c, 4).alias(k) for k, c in scored.items()])
+
+
 def carried_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last user turn up to each turn."""
     past = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
@@ -97,6 +116,13 @@ ORACLE_SQL = {
       SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY n_metrics DESC, in_year DESC, document_id)::INT AS place FROM e QUALIFY place <= 6""",
     "answer_support": f"""WITH r AS (SELECT conv_id, turn, role, list_distinct({tokens_sql("text")}) AS x FROM conversations), b AS (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY turn) AS y FROM r)
       SELECT conv_id, turn, round(len(list_intersect(x, y))::DOUBLE / len(x), 6) AS share, len(list_intersect(x, y))::DOUBLE / len(x) >= 0.6 AS supported FROM b WHERE role = 'assistant' AND y IS NOT NULL AND len(x) > 0""",
+    "answer_scores": f"""WITH b AS (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z]+', ' ', 'g') AS own, regexp_replace(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '[^A-Za-z]+', ' ', 'g') AS before FROM conversations),
+      t AS (SELECT conv_id, turn, {tokens_sql("before")} AS bt FROM b WHERE before IS NOT NULL AND own IS NOT NULL),
+      n AS (SELECT conv_id, turn, bt, len(bt) >= 3 AS counts, len(bt) >= 2 AS counts_with_figure FROM t),
+      o AS (SELECT b.conv_id, b.turn, len({tokens_sql("own || ' figure 77'")}) >= 3 AS own_counts FROM b)
+      SELECT n.conv_id, n.turn, round(CASE WHEN counts_with_figure::INT + counts::INT + own_counts::INT = 0 THEN 0 ELSE (counts::INT + counts_with_figure::INT)::DOUBLE / (counts::INT + counts_with_figure::INT + own_counts::INT) END, 4) AS faithfulness,
+        CASE WHEN len(bt) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS relevance, 0.5::DOUBLE AS key_facts, 0.75::DOUBLE AS citation_precision, CASE WHEN n.turn % 10 IN (1, 3, 4, 5, 9) THEN 1.0 ELSE 0.0 END::DOUBLE AS page_hit
+      FROM n JOIN o ON o.conv_id = n.conv_id AND o.turn = n.turn""",
     "carried_question": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS question_turn FROM conversations",
     "event_runs": """WITH m AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS run FROM m) SELECT user_id, run, event_type, count(*) AS n, min(event_id) AS least_event FROM r GROUP BY ALL HAVING n > 1""",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import labels, periods, questions
 from quillstone.functions import text as t
-from quillstone.operators import guards
+from quillstone.operators import evaluation, guards
 
 
 def given(spark, values, **columns):
@@ -110,3 +110,17 @@ def test_types_and_blocked_labels(spark):
 def test_company_keys(spark):
     names = ["Acme Ltd.", "ACME Limited", "Foo Holdings, Inc.", "Bar (formerly Baz) PLC", "Big Co", "Big Co. Ltd", "S.A. Corp. Company"]
     assert [f["k"] for f in given(spark, names, k=t.company_key)] == ["acme", "acme", "foo holdings", "bar", "big co", "big", "s a"]
+
+
+def test_answer_evaluation(spark):
+    answer = "## Heading\n- Revenue grew by **12.5%** in the year [S1]. Margins also improved strongly.\n| 1 | 2 |\nToo short."
+    context = "In the year the revenue of Acme grew by 12.5 percent."
+    df = spark.createDataFrame([(answer, context)], "a string, c string")
+    a, c = F.col("a"), F.col("c")
+    cited = F.array(F.struct(F.lit("x").alias("document"), F.lit(2).alias("page"), F.lit(4).alias("page_end")), F.struct(F.lit("y").alias("document"), F.lit(7).alias("page"), F.lit(None).cast("int").alias("page_end")))
+    got = df.select(
+        evaluation.statements(a).alias("s"), evaluation.faithfulness(a, c).alias("f"), evaluation.relevance(F.lit("How did revenue and debt change?"), a).alias("r"), evaluation.key_fact_recall(a, F.array(F.lit("REVENUE grew"), F.lit("debt"))).alias("k"),
+        evaluation.citation_precision(cited, F.lit("x")).alias("p"), evaluation.page_hit(cited, F.lit("x"), F.lit(3)).alias("h"), evaluation.page_hit(cited, F.lit("y"), F.lit(8)).alias("m"), evaluation.faithfulness(F.lit("Yes."), c).alias("none"),
+    ).first()
+    assert [x.split()[0] for x in got.s] == ["Revenue", "Margins"] and got.f == 0.5
+    assert (got.r, got.k, got.p, got.h, got.m, got.none) == (pytest.approx(1 / 3), 0.5, 0.5, 1.0, 0.0, 0.0)
