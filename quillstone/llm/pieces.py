@@ -39,10 +39,10 @@ SEED = 20240229
 #: Words up to this many characters are rows of the matrix.
 LONG = 64
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: Words whose candidates are drawn at once.
-DRAWN_WORDS = 100_000
+DRAWN_WORDS = 50_000
 
 _NONE = np.int32(2**31 - 1)
 _SPACE = 0x2581
