@@ -36,10 +36,13 @@ LIMIT = 3
 SHINGLE = 3
 SEED = 42
 
+#: Bytes of text that a task looks at at once.
+SLICE_BYTES = 1 << 19
+
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh64_intdigest
-    for batch, raw, off in slices(batches):
+    for batch, raw, off in slices(batches, limit=SLICE_BYTES):
         starts, ends, first = word_spans(raw, off)
         text, starts, ends = joined(LOWER[raw], starts, ends)
         data, n = text.tobytes(), np.diff(first)

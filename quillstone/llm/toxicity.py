@@ -42,6 +42,9 @@ SEEDS = {
 }
 PATTERNS = ("shouting", "masked words", "repeated exclamation marks")
 
+#: Bytes of text that a task looks at at once.
+SLICE_BYTES = 1 << 19
+
 #: Words are split as letters: digits, a-z and every character from U+0080.
 _GAP = np.ones(256, bool)
 _GAP[48:58] = _GAP[97:123] = _GAP[128:] = False
@@ -306,7 +309,7 @@ def trained(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Cl
     """The classifier from rows that are not held out: TRAIN_ROWS labelled and UNLABELLED_ROWS others at most, about, and TRAIN_BYTES."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch, raw, off in slices(batches):
+        for batch, raw, off in slices(batches, limit=SLICE_BYTES):
             found, row, stems, stem_row, words = _found(raw, off, powers)
             dense, dense_row = _dense(stems, stem_row, words)
             pairs = np.unique(np.concatenate([row, dense_row]).astype(np.uint64) << np.uint64(32) | np.concatenate([found, dense]))
@@ -325,7 +328,7 @@ def trained(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Cl
 def scores(documents: DataFrame, model: Classifier) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch, raw, off in slices(batches):
+        for batch, raw, off in slices(batches, limit=SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(raw, off, powers))], names=["doc_id", "score"])
 
     return _narrow(documents).mapInArrow(run, "doc_id long, score double")
@@ -354,7 +357,7 @@ def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.
         array = pa.array(texts, pa.string())
         batch = pa.RecordBatch.from_arrays([array], names=["text"])
         powers = Powers()
-        out = [model.score(raw, off, powers) for _, raw, off in slices(iter([batch]))]
+        out = [model.score(raw, off, powers) for _, raw, off in slices(iter([batch]), limit=SLICE_BYTES)]
         return type(texts)(np.concatenate(out) if out else np.zeros(0))
 
     return documents.where(score(text) < threshold)
