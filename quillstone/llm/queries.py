@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontamination, dialogues, licences, linededup, phrases, pieces, quality, rules, sharding, simhash, toxicity
+from quillstone.llm import decontamination, dialogues, licences, linededup, negatives, phrases, pieces, quality, rules, sharding, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues.repaired(dialogues.damaged(conversations), conversations)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    noisy = _table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mined(noisy, F.col("vec_id") % 50 == 0)
+
+
+def op13_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_discriminant": op1_quality_discriminant,
     "op2_weak_toxicity": op2_weak_toxicity,
@@ -73,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_warc_salvage": op13_warc_salvage,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -80,4 +92,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_repeated_phrases": phrases.SQL,
     "op9_line_dedup": linededup.SQL,
     "op11_conversation_repair": dialogues.SQL,
+    "op12_hard_negatives": negatives.SQL,
+    "op13_warc_salvage": warc.SQL,
 }
