@@ -32,8 +32,8 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -294,19 +294,57 @@ def _cut(bits: int):
     return cut
 
 
+def _edges(known: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges of (doc_id, hash of the text) of about equal numbers of rows begin: ranges - 1 pairs at most, sorted."""
+    if ranges == 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("place")
+    keys = known.select(place).repartitionByRange(ranges, "place")
+    first = keys.groupBy(F.spark_partition_id().alias("range")).agg(F.min("place").alias("place")).select("place.*").toArrow()
+    ids, hashes = (first[c].to_numpy() for c in ("doc_id", "hash"))
+    order = np.lexsort((hashes, ids))[1:]
+    return ids[order], hashes[order]
+
+
+def _found(ids: np.ndarray, hashes: np.ndarray, doc_id: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """The range of every (doc_id, digest), given where the ranges after the first begin."""
+    low, high = np.searchsorted(ids, doc_id, "left"), np.searchsorted(ids, doc_id, "right")
+    out = low.copy()
+    for at in np.unique(low[low < high]):  # a doc_id at which ranges begin
+        tied = np.flatnonzero((low == at) & (low < high))
+        out[tied] = at + np.searchsorted(hashes[at : high[tied[0]]], digest[tied], "right")
+    return out
+
+
 def _dealt(known: DataFrame, total: int, shard_bytes: int) -> DataFrame:
-    """(doc_id, text, shard): shards of about shard_bytes, numbered in the order of doc_id; one document is never cut."""
+    """(doc_id, text, shard): shards of about shard_bytes, numbered in the order of doc_id; one document is never cut.
+
+    The edges of the ranges are taken once, and a shard's rows follow from them and the
+    rows alone, so every evaluation of this frame deals the same shards.
+    """
+    ids, hashes = _edges(known, max(1, min(SORTS, -(-total // SORT_BYTES))))
+
+    @F.pandas_udf("int")
+    def part(doc_id: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series(_found(ids, hashes, doc_id.to_numpy(), digest.to_numpy()).astype(np.int32))
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, passed = TaskContext.get().partitionId() << 32, 0
+        now, passed = -1, 0
         for batch in batches:
-            _, off = flat(batch.column(1))
-            shard = name + (passed + off[:-1]) // shard_bytes
-            passed += int(off[-1])
+            parts, (_, off) = batch.column(2).to_numpy(), flat(batch.column(1))
+            before = off[:-1] + passed
+            heads = np.flatnonzero(np.diff(parts, prepend=now))  # bytes count anew in each range
+            base = np.zeros(len(parts), np.int64)
+            base[heads] = before[heads]
+            before -= np.maximum.accumulate(base) if len(base) else base
+            shard = (parts.astype(np.int64) << 32) + before // shard_bytes
+            if len(parts):
+                now, passed = parts[-1], int(before[-1] + off[-1] - off[-2])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard, pa.int64())], names=["doc_id", "text", "shard"])
 
-    ranges = max(1, min(SORTS, -(-total // SORT_BYTES)))
-    by = "doc_id", F.xxhash64("text")  # so that one doc_id with very many texts is split
-    return known.repartitionByRange(ranges, *by).sortWithinPartitions(*by).mapInArrow(deal, "doc_id long, text string, shard long")
+    digest = F.xxhash64("text")  # so that one doc_id with very many texts is split
+    dealt = known.withColumn("part", part("doc_id", digest) if len(ids) else F.lit(0))
+    return dealt.repartition("part").sortWithinPartitions("part", "doc_id", digest).mapInArrow(deal, "doc_id long, text string, shard long")
 
 
 def without_repeats(documents: DataFrame, shard_bytes: int = SHARD_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:

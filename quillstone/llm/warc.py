@@ -47,7 +47,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of a file that are inflated at once.
 FIRST_PIECE, PIECE = 1 << 12, 1 << 16
 
-#: A line's start of a plain record.
+#: The first line of a plain record; after damage it need not begin a line.
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 
 FOUND = pa.schema(
@@ -224,8 +224,7 @@ def _next(data: bytes, at: int) -> Iterator[int]:
     member_at, line_at = data.find(MAGIC, at), VERSION_LINE.search(data, at)
     while member_at >= 0 or line_at:
         if line_at and (member_at < 0 or line_at.start() < member_at):
-            if line_at.start() == 0 or data[line_at.start() - 1] == 0x0A:
-                yield line_at.start()
+            yield line_at.start()
             line_at = VERSION_LINE.search(data, line_at.end())
         else:
             yield member_at
