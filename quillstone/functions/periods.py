@@ -20,6 +20,7 @@ FORMS: tuple[tuple[str, int | None, int, int | None], ...] = (
     (r"(?<![\d,.\-/])((?:19|20)\d{2})(?![\d,%/\-]|\.\d)", None, 1, None),
 )
 _DATE = 5
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 FIRST_YEAR, LAST_YEAR = 1980, 2100
 
 _NONE = "array<struct<priority:int,start:int,end:int,year:int,quarter:int,dated:boolean>>"
@@ -76,15 +77,19 @@ def label(year: Column, quarter: Column) -> Column:
 
 
 def periods(text: Column) -> Column:
-    """Every period of a text in reading order: (start, label, fiscal_year, quarter, dated); null texts have none.
+    """Every period of a text in reading order: (start, label, fiscal_year, quarter, dated, month); null texts have none.
 
     Matches of a surer form win over those that they overlap.
     """
     text = F.coalesce(text, F.lit(""))
     # Nearly all texts without digits are done at once.
     every = F.when(text.rlike(r"\d\d"), F.concat(*[_candidates(text, i) for i in range(len(FORMS))])).otherwise(F.array().cast(_NONE))
-    shaped = F.transform(_accepted(every), lambda c: F.struct(c["start"].alias("start"), label(c["year"], c["quarter"]).alias("label"), c["year"].alias("fiscal_year"), c["quarter"].alias("quarter"), c["dated"].alias("dated")))
-    return F.array_sort(shaped)
+    def shaped(c: Column) -> Column:
+        said = F.substr(text, c["start"] + 1, c["end"] - c["start"])
+        month = F.when(c["dated"], F.initcap(F.regexp_extract(said, rf"(?i)\b({'|'.join(MONTHS)})", 1)))
+        return F.struct(c["start"].alias("start"), label(c["year"], c["quarter"]).alias("label"), c["year"].alias("fiscal_year"), c["quarter"].alias("quarter"), c["dated"].alias("dated"), month.alias("month"))
+
+    return F.array_sort(F.transform(_accepted(every), shaped))
 
 
 def labels(text: Column) -> Column:

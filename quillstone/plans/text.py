@@ -101,20 +101,21 @@ def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", found.alias("place", "heading"))
 
 
-_CAPTION = ("in crores", "(₹ million)", "Rs. lakhs", "USD thousands", "amounts", "€ billion")
+_CAPTION = ("in crores", "(₹ million)", "Rs. lakhs", "USD thousands", "amounts", "€ billion", "₹ mn", "Rs. cr", "(₹ in lacs)", "$ ''000", "a million customers", "(All amounts in H crores)", "(Crores)", "pounds sterling of £ bn")
 
 
 def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = table(spark, sf_dir, "orders")
-    caption = F.element_at(F.array(*[F.lit(c) for c in _CAPTION]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    caption = F.element_at(F.array(*[F.lit(c.replace("''", "'")) for c in _CAPTION]), (F.col("o_orderkey") % len(_CAPTION) + 1).cast("int"))
     return order.select("o_orderkey", caption.alias("caption"), F.floor("o_totalprice").cast("long").alias("whole"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"))
 
 
 def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures as filings print them."""
     n = F.format_number(F.col("whole"), 0)
-    kind = F.col("o_orderkey") % 7
-    raw = F.when(kind == 0, F.concat(F.lit("("), n, F.lit(")"))).when(kind == 1, F.concat(F.lit("₹ "), n)).when(kind == 2, F.concat(n, F.lit("%"))).when(kind == 3, F.lit("nil")).when(kind == 4, F.concat(F.lit("-"), n)).when(kind == 5, F.concat(n, F.lit(".50"))).otherwise(F.lit("12a"))
+    shapes = ("(%)", "₹ %", "%%", "nil", "-%", "%.50", "12a", "US$ %", "H %", "`%", "Rs. (%)", " − % ", ".5", "HDFC", "(H %)", "% EUR")
+    shape = F.element_at(F.array(*[F.lit(x) for x in shapes]), (F.col("o_orderkey") % len(shapes) + 1).cast("int"))
+    raw = F.regexp_replace(shape, F.lit("^([^%]*)%"), F.concat(F.lit("$1"), n))
     return _captions(spark, sf_dir).select("o_orderkey", t.parsed_number(raw).alias("value"))
 
 
@@ -132,7 +133,7 @@ def company_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TURNS_SQL = "turns AS (SELECT conv_id, turn, role, text || ' ' || [" + ", ".join("'" + s.replace("'", "''") + "'" for s in _SUFFIX) + "][(turn % 8 + 1)::INT] AS text FROM conversations)"
-_CAPTION_SQL = "captions AS (SELECT o_orderkey, [" + ", ".join(f"'{c}'" for c in _CAPTION) + "][(o_orderkey % 6 + 1)::INT] AS caption, floor(o_totalprice)::BIGINT AS whole, year(o_orderdate) AS year, quarter(o_orderdate) AS quarter FROM orders)"
+_CAPTION_SQL = "captions AS (SELECT o_orderkey, [" + ", ".join(f"'{c}'" for c in _CAPTION) + "][(o_orderkey % 14 + 1)::INT] AS caption, floor(o_totalprice)::BIGINT AS whole, year(o_orderdate) AS year, quarter(o_orderdate) AS quarter FROM orders)"
 
 
 
@@ -242,9 +243,9 @@ ORACLE_SQL = {
     "rate_limit_windows": "SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events GROUP BY 1, 2 HAVING n > 2",
     "running_lines": r"""SELECT md5(m) AS digest, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, regexp_replace(trim(line), '\d+', '#', 'g') AS m FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages)) WHERE m <> '' GROUP BY m HAVING n_pages >= 2""",
     "html_headings": r"SELECT page_id, (generate_subscripts(h, 1) - 1)::INT AS place, unnest(h) AS heading FROM (SELECT page_id, regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1) AS h FROM pages)",
-    "parse_numbers": f"""WITH {_CAPTION_SQL} SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN -whole WHEN 1 THEN whole WHEN 4 THEN -whole WHEN 5 THEN whole + 0.5 END::DOUBLE AS value FROM captions""",
-    "detect_units": f"""WITH {_CAPTION_SQL} SELECT caption, CASE o_orderkey % 6 WHEN 0 THEN 1e7 WHEN 1 THEN 1e6 WHEN 2 THEN 1e5 WHEN 3 THEN 1e3 WHEN 4 THEN 1 ELSE 1e9 END::DOUBLE AS scale,
-      CASE o_orderkey % 6 WHEN 1 THEN 'INR' WHEN 2 THEN 'INR' WHEN 3 THEN 'USD' WHEN 5 THEN 'EUR' ELSE '' END AS currency, count(*) AS n FROM captions GROUP BY ALL""",
+    "parse_numbers": f"""WITH {_CAPTION_SQL} SELECT o_orderkey, CASE WHEN o_orderkey % 16 IN (0, 4, 10, 11, 14) THEN -whole WHEN o_orderkey % 16 IN (1, 7, 8, 9, 15) THEN whole WHEN o_orderkey % 16 = 5 THEN whole + 0.5 WHEN o_orderkey % 16 = 12 THEN 0.5 END::DOUBLE AS value FROM captions""",
+    "detect_units": f"""WITH {_CAPTION_SQL} SELECT caption, [1e7, 1e6, 1e5, 1e3, 1, 1e9, 1e6, 1e7, 1e5, 1e3, 1, 1e7, 1e7, 1e9][(o_orderkey % 14 + 1)::INT]::DOUBLE AS scale,
+      ['', 'INR', 'INR', 'USD', '', 'EUR', 'INR', 'INR', 'INR', 'USD', '', 'INR', '', 'GBP'][(o_orderkey % 14 + 1)::INT] AS currency, count(*) AS n FROM captions GROUP BY ALL""",
     "company_keys": "SELECT s_suppkey, trim(regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM supplier",
     "guard_flags": f"""WITH {_TURNS_SQL}, f AS (SELECT *, turn % 8 AS k FROM turns)
       SELECT conv_id, turn, CASE WHEN length(trim(text)) > 2000 OR k IN (1, 7) THEN 'block' WHEN k = 3 THEN 'block' WHEN k IN (2, 4) THEN 'caution' ELSE 'allow' END AS action,
