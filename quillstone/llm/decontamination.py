@@ -5,14 +5,19 @@ the wording stays as lower-case words.  Windows of eight template tokens are
 hashed and joined with those of the benchmark, so a question whose numbers or
 names were changed still matches.  Matches of one document and item at one
 offset are gathered, and the replaced values must be consistent: one value of
-the item stands for one value of the document all along.
+the item stands for one value of the document all along, and two names or units
+never for the same one.  (Two numbers may: drawn again, they can be equal.)
+
+A window is looked for where its longest word stands: documents are exploded into
+tokens, those that lead no window are dropped at once by a hash join, and only
+around the others windows are hashed.
 
 An item of fewer than eight words is one window.  Windows with few literal words
-would match anything as templates.  They and all other windows are also matched
+say little as templates: below ``LITERALS`` they count only if every window of the
+item matches, below ``LEAST`` they match only exactly.  All windows are also matched
 by their exact lower-case words, so a copy is found whatever it is made of.
 
-DataFrame functions only.  Document windows are filtered by the benchmark's
-window hashes before anything is shuffled.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -20,75 +25,93 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.lineage import written
-
 WINDOW = 8
 
-#: Different words that a window must have besides placeholders to match as a template; others match exactly.
+#: Different words besides placeholders with which a window matches as a template by itself, and as a part of the whole item.
 LITERALS = 4
+LEAST = 2
 
 #: An item is in a document if this many of its windows match at one offset (13 tokens if they follow each other), or this share of them.
 RUN = 6
 SHARE = 0.5
 
-#: Window hashes (8 bytes each) up to which the benchmark side is broadcast.
-BROADCAST_HASHES = 2_000_000
+#: Leading words of windows (16 bytes each) up to which they are broadcast.
+BROADCAST_TOKENS = 1_000_000
 
 #: Bytes of the windows of all items with their words up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
 
-#: A unit is one of these after a number.
+#: A unit is one of these after a number, or at the end of one.
 UNITS = (
     "percent kg g mg km m cm mm mi ft feet inch inches miles meters metres kilometers litres liters l ml hours hour minutes minute seconds second s h min "
     "days day weeks week months month years year dollars dollar cents euros euro pounds usd eur gbp rupees yen degrees c f kmh mph w kw v"
 ).split()
 
+#: Numbers in words; tens may be followed by ones.
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+ONES = "one two three four five six seven eight nine".split()
+NUMBERS = rf"(?:{'|'.join(TENS)})(?:{'|'.join(ONES)})?|{'|'.join(ONES)}|zero|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|hundred|thousand|million|billion|dozen"
+
+#: Words that are no names at the start of a sentence.
+STARTERS = (
+    "a an the this that these those there here it its he she they we you i his her their our my your in on at of to for from with by as if when while after before during until since because although though "
+    "and or but so then what which who whom whose where why how is are was were be been do does did has have had can could will would should may might must not no each every all some any both one find "
+    "calculate compute determine given suppose let solve show prove write state explain choose select consider assume at once now also however"
+).split()
+
 _MARK = "\x01"
 
 
 def _marked(text: Column) -> Column:
-    """The text without punctuation; the first word of a sentence or line bears a mark."""
+    """The text without punctuation; the first word of a sentence or line bears a mark, and a unit stands apart from its number."""
     marked = F.concat(F.lit(_MARK), F.coalesce(text, F.lit("")))
     for end in (". ", "! ", "? ", ": ", "\n"):
         marked = F.replace(marked, F.lit(end), F.lit(f" {_MARK}"))
     for blank in "\t\r\f\v":
         marked = F.replace(marked, F.lit(blank), F.lit(" "))
-    return F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}} {_MARK}]+", "")
+    bare = F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}} {_MARK}]+", "")
+    return F.regexp_replace(bare, rf"(?i)(?<=\d)(?={'|'.join(f'{u}(?: |$)' for u in UNITS)})", " ")
 
 
 def _template(marked: Column) -> Column:
-    """Names, numbers and units after numbers become <p>, <n> and <u>, all else lower case; a placeholder stands for one word."""
-    named = F.regexp_replace(marked, r"(?<= )\p{Lu}\S*", "<p>")
-    counted = F.regexp_replace(named, rf"(?<=[ {_MARK}])\d\S*", "<n>")
-    measured = F.regexp_replace(counted, rf"(?i)(?<=<n> )(?:{'|'.join(UNITS)})(?= |$)", "<u>")
-    return F.lower(F.when(marked.rlike("[0-9]"), measured).otherwise(named))
+    """Numbers, names and units after numbers become <n>, <p> and <u>, all else lower case; a placeholder stands for one word."""
+    counted = F.regexp_replace(marked, rf"(?<=[ {_MARK}])(?:\d\S*|(?i:{NUMBERS})(?= |$))", "<n>")
+    named = F.regexp_replace(counted, rf"(?<= )\p{{Lu}}\S*|(?<={_MARK})(?!(?i:{'|'.join(STARTERS)})(?: |$))\p{{Lu}}\S*", "<p>")
+    return F.lower(F.regexp_replace(named, rf"(?i)(?<=<n> )(?:{'|'.join(UNITS)})(?= |$)", "<u>"))
 
 
 def _words(marked: Column) -> Column:
     return F.filter(F.split(F.replace(marked, F.lit(_MARK), F.lit("")), " "), lambda t: t != "")
 
 
-def _templates(texts: DataFrame, id_column: str, name: str) -> DataFrame:
-    """(name, text_key, marked, hashes, exact): the hash of each template token and of each lower-case word."""
+#: The two ways in which windows match; exact ones have positive lengths.
+_WAYS = {"exact": 1, "template": -1}
+
+
+def _tokens(texts: DataFrame, id_column: str, name: str) -> DataFrame:
+    """(name, text_key, words, template, exact): a text's words, template tokens and lower-case words, as many of each."""
     marked = texts.select(F.col(id_column).cast("long").alias(name), F.xxhash64("text").alias("text_key"), _marked(F.col("text")).alias("marked"))
-    exact = F.transform(_words(F.lower("marked")), lambda t: F.xxhash64(t))
-    return marked.select("*", F.transform(_words(_template(F.col("marked"))), lambda t: F.xxhash64(t)).alias("hashes"), exact.alias("exact"))
+    return marked.select(name, "text_key", _words(F.col("marked")).alias("words"), _words(_template(F.col("marked"))).alias("template"), _words(F.lower("marked")).alias("exact"))
 
 
-def _windows(templates: DataFrame, lengths: list[int], *kept: str) -> DataFrame:
-    """(kept columns, at, length, window) for every window: of so many exact words for each of the lengths, and of so many template tokens (negative)."""
+def _window(tokens: Column, way: str, length: Column) -> Column:
+    return F.xxhash64(tokens, length * _WAYS[way])
 
-    def of(hashes: str, n: int, length: int) -> Column:
-        starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.lit(length).alias("length"), F.xxhash64(F.slice(hashes, i, n), F.lit(length)).alias("window")))
 
-    templates_of = sorted({WINDOW, *(n for n in lengths if n >= LITERALS)})
-    parts = *(of("hashes", n, -n) for n in templates_of), *(of("exact", n, n) for n in lengths)
-    return templates.select(*kept, F.explode(F.concat(*parts)).alias("w")).select(*kept, "w.*")
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n_windows, way, item_at, size, window, words, template, literals, lead, offset) of every window of every item in both ways."""
+    asked = _tokens(benchmark, "item_id", "item_id").where(F.size("words") > 0).withColumn("size", F.least(F.size("words"), F.lit(WINDOW)))
+    cut = lambda c: F.slice(c, F.col("item_at") + 1, F.col("size")).alias(c)
+    each = asked.select("*", (F.size("words") - F.col("size") + 1).alias("n_windows"), F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("item_at"))
+    each = each.select("item_id", "n_windows", "item_at", "size", cut("words"), cut("template"), cut("exact"))
+    literals = F.size(F.array_distinct(F.filter("template", lambda t: ~t.startswith("<"))))
 
+    def of(way: str) -> DataFrame:
+        longest = F.array_max(F.transform(way, lambda t, i: F.struct(F.when(t.startswith("<"), 0).otherwise(F.length(t)).alias("n"), F.xxhash64(t, F.lit(_WAYS[way])).alias("lead"), (-i).alias("back"))))
+        rows = each.select("item_id", "n_windows", F.lit(way).alias("way"), "item_at", "size", _window(F.col(way), way, F.col("size")).alias("window"), "words", "template", literals.alias("literals"), longest.alias("longest"))
+        return rows.select("*", F.col("longest.lead").alias("lead"), (-F.col("longest.back")).alias("offset")).drop("longest")
 
-def _slice(words: Column) -> Column:
-    return F.slice(words, F.col("at") + 1, WINDOW)
+    return of("exact").unionByName(of("template").where(F.col("literals") >= LEAST)).distinct()
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -99,47 +122,48 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     all it has, or of those that can match as templates if that is more; n_slots
     different values were replaced there.  A window matches as a template or by its
     exact lower-case words; inconsistent slots are overruled only if all windows
-    match exactly.  An item of one to seven words is one window: with LITERALS
-    different words besides placeholders it matches as a template, else exactly, so an
-    item of one common word is in many documents.  Null
-    and empty texts have no windows; rows with a null id take part under the null id.  Repeated rows count once, and
-    different texts of one id are matched each by itself.
-    Other columns are ignored; an empty table on either side gives no rows.
+    match exactly.  An item of one to seven words is one window, so an item of one
+    common word is in many documents.  Null and empty texts have no windows; rows with a
+    null id take part under the null id.  Repeated rows count once, and different texts of
+    one id are matched each by itself.  Other columns are ignored; an empty table on
+    either side gives no rows.
     """
-    asked = _templates(benchmark, "item_id", "item_id").where(F.size("exact") > 0)
-    lengths = sorted({r.n for r in asked.select(F.least(F.size("exact"), F.lit(WINDOW)).alias("n")).distinct().collect()})
-    asked = _windows(asked.withColumn("words", F.size("exact")), lengths, "item_id", "marked", "words").where(F.abs("length") == F.least("words", F.lit(WINDOW)))
-    items = asked.select("item_id", F.col("at").alias("item_at"), "window", (F.col("length") > 0).alias("exact"), _slice(_words(F.col("marked"))).alias("item_words"), _slice(_words(_template(F.col("marked")))).alias("template"))
-    literals = F.size(F.array_distinct(F.filter("template", lambda t: ~t.startswith("<"))))
-    items = items.where(F.col("exact") | (literals >= LITERALS)).distinct().withColumn("has_slots", F.exists("template", lambda t: t.startswith("<")))
-    known = items.select("window").distinct()
-    n_known = known.count()
-    small = n_known <= BROADCAST_HASHES
-    item_bytes = items.agg(F.coalesce(F.sum(64 + F.octet_length(F.array_join("item_words", "  ")) + F.octet_length(F.array_join("template", "  "))), F.lit(0))).first()[0]
-    # Only row keys, places and hashes go through the joins; texts follow for the rows whose matches have slots.
-    found = _windows(_templates(documents, "doc_id", "doc_id"), lengths, "doc_id", "text_key").join(F.broadcast(known) if small else known, "window", "left_semi")
-    met = written(found.join(F.broadcast(items) if item_bytes <= BROADCAST_BYTES else items, "window").withColumn("shift", F.col("at") - F.col("item_at")), "matches")
-    empty = F.array().cast("array<struct<item:string,doc:string>>")
-    plain = met.where("not has_slots").select("doc_id", "text_key", "item_id", "shift", "item_at", "exact", empty.alias("slots"))
-    slotted = met.where("has_slots").distinct()
-    rows = slotted.select(F.col("doc_id").alias("row_id"), F.col("text_key").alias("row_key")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("hit"), F.xxhash64("text").alias("hit_key"), "text")
-    own = F.col("hit").eqNullSafe(F.col("row_id")) & (F.col("hit_key") == F.col("row_key"))
-    texts = texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_HASHES else rows, own, "left_semi").dropDuplicates(["hit", "hit_key"]).select("hit", "hit_key", _marked(F.col("text")).alias("marked"))
-    kinds = F.zip_with("template", "item_words", lambda t, i: F.when(t.startswith("<"), i))
-    slots = F.filter(F.zip_with(kinds, _slice(_words(F.col("marked"))), lambda i, d: F.when(i.isNotNull(), F.struct(i.alias("item"), d.alias("doc")))), lambda s: s.isNotNull())
-    met_by = slotted["doc_id"].eqNullSafe(texts["hit"]) & (slotted["text_key"] == texts["hit_key"])
-    aligned = plain.unionByName(slotted.join(texts, met_by).select("doc_id", "text_key", "item_id", "shift", "item_at", "exact", slots.alias("slots")))
-    def places(kind: Column) -> Column:
-        return F.size(F.collect_set(F.when(kind, F.col("item_at"))))
-
-    counts = places(F.lit(True)).alias("n_all"), places(F.col("exact")).alias("n_exact"), places(~F.col("exact")).alias("n_template")
-    gathered = aligned.groupBy("doc_id", "text_key", "item_id", "shift").agg(*counts, F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))
-    totals = items.groupBy("item_id").agg(places(F.col("exact")).alias("n_item"), places(~F.col("exact")).alias("n_item_template"))
-    share = F.greatest(F.col("n_all") / F.col("n_item"), F.try_divide("n_template", "n_item_template"))
-    whole = gathered.join(totals, gathered["item_id"].eqNullSafe(totals["item_id"])).where(consistent | (F.col("n_exact") == F.col("n_item")))
-    judged = whole.select("doc_id", gathered["item_id"], F.col("n_all").cast("long").alias("n_windows"), share.alias("share"), F.when(consistent, F.size("slots")).otherwise(0).cast("long").alias("n_slots"))
+    items = _items(benchmark)
+    sizes = items.agg(F.count("*"), F.coalesce(F.sum(96 + F.octet_length(F.array_join("words", "  ")) + F.octet_length(F.array_join("template", "  "))), F.lit(0))).first()
+    leads = items.select("lead", "offset", "size", "way").distinct()
+    few = sizes[0] <= BROADCAST_TOKENS
+    small = sizes[1] <= BROADCAST_BYTES
+
+    # Both ways in one explosion: the tokens of one way follow those of the other.
+    hashed = lambda way: F.transform(way, lambda t: F.xxhash64(t, F.lit(_WAYS[way])))
+    told = _tokens(documents, "doc_id", "doc_id").select("*", F.posexplode(F.concat(hashed("exact"), hashed("template"))).alias("place", "lead"))
+    met = told.join(F.broadcast(leads) if few else leads, "lead")
+    n = F.size("words")
+    met = met.withColumn("start", F.when(F.col("way") == "exact", F.col("place")).otherwise(F.col("place") - n) - F.col("offset")).where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= n))
+    cut = lambda c: F.slice(c, F.col("start") + 1, F.col("size"))
+    window = F.when(F.col("way") == "exact", _window(cut("exact"), "exact", F.col("size"))).otherwise(_window(cut("template"), "template", F.col("size")))
+    found = met.select("doc_id", "text_key", "start", window.alias("window"), cut("words").alias("own"))
+    named = items.drop("lead", "offset", "size")
+    found = found.join(F.broadcast(named) if small else named, "window")
+
+    exact = F.col("way") == "exact"
+    kinds = F.zip_with("template", "words", lambda t, w: F.when(t.startswith("<"), F.struct(t.alias("kind"), w.alias("item"))))
+    slots = F.filter(F.zip_with(kinds, "own", lambda k, d: F.when(k.isNotNull(), F.struct(k["kind"].alias("kind"), k["item"].alias("item"), d.alias("doc")))), lambda s: s.isNotNull())
+    # Where the only window of an item stands makes no difference if it is a copy.
+    shift = F.when(exact & (F.col("n_windows") == 1), 0).otherwise(F.col("start") - F.col("item_at"))
+    rows = found.select("doc_id", "text_key", "item_id", "n_windows", shift.alias("shift"), "item_at", exact.alias("exact"), (exact | (F.col("literals") >= LITERALS)).alias("strong"), F.when(~exact, slots).alias("slots"))
+
+    places = lambda when: F.size(F.collect_set(F.when(when, F.col("item_at"))))  # noqa: E731  # windows of one item at most
+    counts = places(F.lit(True)).alias("n_any"), places(F.col("strong")).alias("n_strong"), places(F.col("exact")).alias("n_exact"), places(~F.col("exact") & F.col("strong")).alias("n_template")
+    gathered = rows.groupBy("doc_id", "text_key", "item_id", "n_windows", "shift").agg(*counts, F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    distinct = lambda part, kept: F.size(F.array_distinct(F.transform(F.filter("slots", kept), lambda s: F.struct(s["kind"], s[part]))))
+    fixed = lambda s: s["kind"] != "<n>"
+    consistent = (F.size("slots") == distinct("item", lambda s: F.lit(True))) & (F.size(F.filter("slots", fixed)) == distinct("doc", fixed))
+    totals = items.where((F.col("way") == "template") & (F.col("literals") >= LITERALS)).groupBy("item_id").agg(F.count_distinct("item_at").alias("n_item_template")).withColumnRenamed("item_id", "of_item")
+    whole = gathered.join(totals, F.col("item_id").eqNullSafe(F.col("of_item")), "left").where(consistent | (F.col("n_exact") == F.col("n_windows")))
+    n_held = F.when(F.col("n_any") == F.col("n_windows"), F.col("n_any")).otherwise(F.col("n_strong"))
+    share = F.greatest(n_held / F.col("n_windows"), F.try_divide("n_template", "n_item_template"))
+    judged = whole.select("doc_id", "item_id", n_held.cast("long").alias("n_windows"), share.alias("share"), F.when(consistent, F.size("slots")).otherwise(0).cast("long").alias("n_slots"))
     held = judged.where((F.col("n_windows") >= RUN) | (F.col("share") >= SHARE))
     best = held.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "share", "n_slots")).alias("best"))
     return best.select("doc_id", "item_id", "best.n_windows", "best.share", "best.n_slots")

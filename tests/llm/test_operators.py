@@ -364,22 +364,24 @@ def test_items_without_template_windows_are_found_exactly(spark):
 
 
 _UNITS = "|".join(decontamination.UNITS)
+_NUMBERS = re.compile(decontamination.NUMBERS, re.I)
 
 
 def _tokens(text):
     """(template, word) of every token: names, numbers and units are placeholders."""
     clean = re.sub(r"[^\w \x01]+|_", "", re.sub(r"[\t\r\f\v]", " ", re.sub(r"(?<=[.!?:]) |\n", " \x01", "\x01" + (text or ""))))
+    clean = re.sub(rf"(?<=\d)(?=(?:{_UNITS})(?: |$))", " ", clean, flags=re.I)
     out = []
     for raw in clean.split(" "):
         word, head = raw.replace("\x01", ""), raw.startswith("\x01")
         if not word:
             continue
-        if word[0].isupper() and not head:
-            kind = "<p>"
-        elif word[0].isdigit():
+        if word[0].isdigit() or _NUMBERS.fullmatch(word):
             kind = "<n>"
+        elif word[0].isupper() and not (head and word.lower() in decontamination.STARTERS):
+            kind = "<p>"
         else:
-            kind = "<u>" if out and out[-1][0] == "<n>" and re.fullmatch(_UNITS, word, re.I) else word.lower()
+            kind = "<u>" if out and not head and out[-1][0] == "<n>" and re.fullmatch(_UNITS, word, re.I) else word.lower()
         out.append((kind, word))
     return out
 
@@ -402,26 +404,57 @@ def _leaked(text, items, known={}):  # noqa: B006
         if item not in known:
             own = _tokens(item)
             size = min(8, len(own))
-            able = {k: v for k, v in _runs(own, size, 0).items() if size and len({x for x in k if not x.startswith("<")}) >= 4}
+            able = {k: v for k, v in _runs(own, size, 0).items() if size and len({x for x in k if not x.startswith("<")}) >= 2}
             known[item] = own, size, _runs(own, size, 1) if size else {}, able
         own, size, exact, able = known[item]
         groups = {}
-        for kind, windows, places, n in ((0, exact, words.get(size, {}), size), (1, able, templates.get(size, {}), size)):
+        for kind, windows, places in ((0, exact, words.get(size, {})), (1, able, templates.get(size, {}))):
             for window, own_places in windows.items():
+                strong = kind == 0 or len({x for x in window if not x.startswith("<")}) >= 4
                 for i in own_places:
                     for j in places.get(window, []):
-                        group = groups.setdefault(j - i, (set(), set(), set()))
-                        group[kind].add(i)
-                        group[2].update((own[i + k][1], doc[j + k][1]) for k in range(n) if own[i + k][0].startswith("<"))
-        n_exact, n_able = sum(map(len, exact.values())), sum(map(len, able.values()))
-        for in_exact, in_able, slots in groups.values():
-            consistent = len(slots) == len({a for a, _ in slots}) or len(in_exact) == n_exact
-            n = len(in_exact | in_able)
-            if consistent and (n >= 6 or 2 * n >= n_exact or (n_able and 2 * len(in_able) >= n_able)):
+                        group = groups.setdefault(j - i, (set(), set(), set(), set()))
+                        group[kind if strong else 2].add(i)
+                        if kind:
+                            group[3].update((own[i + k][0], own[i + k][1], doc[j + k][1]) for k in range(size) if own[i + k][0].startswith("<"))
+        n = len(own) - size + 1
+        n_able = sum(len(v) for k, v in able.items() if len({x for x in k if not x.startswith("<")}) >= 4)
+        for in_exact, in_able, in_weak, slots in groups.values():
+            fixed = {x for x in slots if x[0] != "<n>"}
+            consistent = len(slots) == len({x[:2] for x in slots}) and len(fixed) == len({(k, d) for k, _, d in fixed}) or len(in_exact) == n
+            held = n if len(in_exact | in_able | in_weak) == n else len(in_exact | in_able)
+            if consistent and (held >= 6 or 2 * held >= n or (n_able and 2 * len(in_able) >= n_able)):
                 found.add(item_id)
     return found
 
 
+ASKED = [
+    (0, "Tom has 5 apples and gives 3 away."), (1, "A car drives 60 km in one hour and 90 km in the next."), (2, "If twelve men dig a hole in 5 days, how long do they need?"), (3, "Anna and Tom have 5 pears and Tom eats them."),
+    (4, "Tom ran 5 km in 30 minutes today"), (5, "the"), (6, "What is 12 + 7 * 3 - 44 / 5 + 9 * 8 - 6?"),
+]
+POSED = [
+    (10, "Anna has 7 apples and gives 2 away."), (11, "A car drives 70km in two hours and 80km in the next. A car drives 70km in one hour and 80km in the next."), (12, "So. If fifteen men dig a hole in 9 days, how long do they need?"), (13, "Carl and Carl have 7 pears and Carl eats them."),
+    (14, "Emil and Fritz have nine pears and Fritz eats them."), (15, "Emil and Fritz have 5 pears and Emil eats them."), (16, "Ida ran 9 miles in 40 minutes today"), (17, "Ida ran 9 miles in 40 minutes once"), (18, "The one and the other. " * 50), (19, "5 5 5 5 5 5 5 5 5 5 is 5"), (20, "Anna has 7 apples and gives 7 away."),
+]
+
+
+def test_changed_items(spark):
+    """Names at the start of a sentence, numbers in words, units at their number, slots from both sides."""
+    docs, items = spark.createDataFrame(POSED, "doc_id long, text string"), spark.createDataFrame(ASKED, "item_id long, text string")
+    found = decontamination.contaminated(docs, items).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert len(found) == len(got) == len({(d, i) for d, t in POSED for i in _leaked(t, ASKED)}) and got == {(d, i) for d, t in POSED for i in _leaked(t, ASKED)}
+    assert got == {(10, 0), (20, 0), (11, 1), (11, 5), (12, 2), (14, 3), (16, 4), (18, 5)}
+
+
+def test_the_benchmark_need_not_be_broadcast(spark, monkeypatch):
+    docs, items = spark.createDataFrame(POSED, "doc_id long, text string"), spark.createDataFrame(ASKED, "item_id long, text string")
+    want = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))
+    monkeypatch.setattr(decontamination, "BROADCAST_TOKENS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, decontamination.contaminated(docs, items).collect())) == want
+
+
 def test_templates_by_brute_force(spark, texts, sf_dir):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     changed = [(10_000 + i, f"Before it. {re.sub('[0-9]+', lambda m: str(int(m[0]) + 7), x)} After it.") for i, x in items]
