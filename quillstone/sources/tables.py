@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Partitions of a scan up to which it is dealt anew if there are more cores; so only some gigabytes ever are.
+FEW_PARTITIONS = 16
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores if the files give fewer tasks, as a file with a single row group does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.rdd.getNumPartitions()
+    return df.repartition(cores) if parts < cores and parts <= FEW_PARTITIONS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

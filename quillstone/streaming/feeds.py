@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the warehouse, which the driver and all executors share."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/streams/{name}-{uuid.uuid4().hex}"
+from quillstone.sources.shared import new_folder
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +17,7 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drained(result: DataFrame, mode: str, name: str) -> DataFrame:
     """Run a stream over what is there now and read back what it wrote; in complete mode each batch replaces the last."""
     spark = result.sparkSession
-    path = shared_path(spark, name)
+    path = new_folder(spark, f"stream-{name}")
 
     def put(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
