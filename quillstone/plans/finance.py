@@ -207,7 +207,7 @@ def _series_sql(name: str, keys: list[str], source: str, unit: str = "") -> str:
 
 
 _AMOUNTS_SQL = _series_sql("amounts", ["revenue", "ebitda", "net_income", "eps", "free_cash_flow"], "panel")
-_POINTS_SQL = f"""{_AMOUNTS_SQL}, {_series_sql("shares_of", ["operating_margin", "net_margin", "roe"], "rated", "%")}, points AS MATERIALIZED (FROM amounts UNION ALL FROM shares_of), moved AS (
+_POINTS_SQL = f"""{_AMOUNTS_SQL}, {_series_sql("shares_of", ["operating_margin", "net_margin", "roe"], "rated", "%")}, points AS MATERIALIZED (FROM amounts UNION ALL FROM shares_of), moved AS MATERIALIZED (
   SELECT a.*, CASE WHEN a.unit = '%' THEN a.value - b.value ELSE (a.value - b.value) / nullif(abs(b.value), 0) * 100 END AS change
   FROM points a LEFT JOIN points b ON a.company_id = b.company_id AND a.key = b.key AND a.fiscal_year = b.fiscal_year + 1
 )"""
