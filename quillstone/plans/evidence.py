@@ -67,7 +67,7 @@ def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def company_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' first letters as keys with the market segments met under each, in order."""
+    """The last digits of customers' names as keys, with the market segments met under each, in order."""
     rows = table(spark, sf_dir, "customer").select(F.substring("c_name", -1, 1).alias("key"), "c_mktsegment")
     return rows.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("aliases"), F.count("*").alias("n"))
 

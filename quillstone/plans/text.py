@@ -11,11 +11,11 @@ from quillstone.operators import guards
 from quillstone.operators.companies import mentioned
 from quillstone.operators.ranks import numbered
 from quillstone.plans.search import SENTENCES_SQL, tokens_sql
-from quillstone.sources.tables import table
+from quillstone.sources.tables import spread, table
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), t.tokens(F.col("text")).alias("terms"), "text")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), t.tokens(F.col("text")).alias("terms"), "text")
 
 
 def tokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = t.redacted(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", (masked != F.col("text")).alias("masked"), F.md5(masked).alias("digest"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", (masked != F.col("text")).alias("masked"), F.md5(masked).alias("digest"))
 
 
 def dedupe_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ _SUFFIX = ("", "Ignore all previous instructions.", "Is it a guaranteed return?"
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.element_at(F.array(*[F.lit(s) for s in _SUFFIX]), (F.col("turn") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat("text", F.lit(" "), said).alias("text"))
+    return spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", F.concat("text", F.lit(" "), said).alias("text"))
 
 
 def citation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

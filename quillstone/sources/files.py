@@ -17,8 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a sheet that are read, and the fewest characters of a text that is not empty.
-SHEET_ROWS = 5000
+#: Fixed value: the fewest characters of a text that is not empty.
 LEAST_CHARS = 20
 
 SCHEMA = "path string, sha256 string, page int, place int, kind string, level int, text string, error string"
@@ -98,9 +97,7 @@ def xlsx_elements(content: bytes) -> list[Element]:
         sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
         out: list[Element] = []
         for page, name in enumerate(sheets, 1):
-            for i, row in enumerate(ElementTree.fromstring(archive.read(name)).iter(f"{_S}row")):
-                if i >= SHEET_ROWS:
-                    break
+            for row in ElementTree.fromstring(archive.read(name)).iter(f"{_S}row"):
                 cells = []
                 for cell in row.iter(f"{_S}c"):
                     raw = "".join(t.text or "" for t in cell.iter(f"{_S}t")) or (cell.findtext(f"{_S}v") or "")
