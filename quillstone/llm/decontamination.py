@@ -9,8 +9,10 @@ the item stands for one value of the document all along, and two names or units
 never for the same one.  (Two numbers may: drawn again, they can be equal.)
 
 A window is looked for where its longest word stands: documents are exploded into
-tokens, those that lead no window are dropped at once by a hash join, and only
-around the others windows are hashed.
+words, those that lead no window are dropped at once by a hash join, and only where
+the window's second longest word is in its place too the window is cut, canonicalised
+and hashed.  A window's template
+follows from its words alone: a unit counts as one if its number is in the window.
 
 An item of fewer than eight words is one window.  Windows with few literal words
 say little as templates: below ``LITERALS`` they count only if every window of the
@@ -25,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions.text import let
+
 WINDOW = 8
 
 #: Different words besides placeholders with which a window matches as a template by itself, and as a part of the whole item.
@@ -35,6 +39,9 @@ LEAST = 2
 RUN = 6
 SHARE = 0.5
 
+#: Words of a block, besides those around it that its windows reach.
+BLOCK = 32
+
 #: Leading words of windows (16 bytes each) up to which they are broadcast.
 BROADCAST_TOKENS = 1_000_000
 
@@ -50,7 +57,7 @@ UNITS = (
 #: Numbers in words; tens may be followed by ones.
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 ONES = "one two three four five six seven eight nine".split()
-NUMBERS = rf"(?:{'|'.join(TENS)})(?:{'|'.join(ONES)})?|{'|'.join(ONES)}|zero|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|hundred|thousand|million|billion|dozen"
+NUMBERS = [*TENS, *ONES, *(t + o for t in TENS for o in ONES), *"zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion dozen".split()]
 
 #: Words that are no names at the start of a sentence.
 STARTERS = (
@@ -63,53 +70,72 @@ _MARK = "\x01"
 
 
 def _marked(text: Column) -> Column:
-    """The text without punctuation; the first word of a sentence or line bears a mark, and a unit stands apart from its number."""
+    """A text without punctuation; the first word of a sentence or line bears a mark, and a unit stands apart from its number."""
     marked = F.concat(F.lit(_MARK), F.coalesce(text, F.lit("")))
     for end in (". ", "! ", "? ", ": ", "\n"):
         marked = F.replace(marked, F.lit(end), F.lit(f" {_MARK}"))
     for blank in "\t\r\f\v":
         marked = F.replace(marked, F.lit(blank), F.lit(" "))
     bare = F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}} {_MARK}]+", "")
-    return F.regexp_replace(bare, rf"(?i)(?<=\d)(?={'|'.join(f'{u}(?: |$)' for u in UNITS)})", " ")
+    return F.regexp_replace(bare, rf"(?i)(\d)({'|'.join(UNITS)})(?= |$)", "$1 $2")
 
 
-def _template(marked: Column) -> Column:
-    """Numbers, names and units after numbers become <n>, <p> and <u>, all else lower case; a placeholder stands for one word."""
-    counted = F.regexp_replace(marked, rf"(?<=[ {_MARK}])(?:\d\S*|(?i:{NUMBERS})(?= |$))", "<n>")
-    named = F.regexp_replace(counted, rf"(?<= )\p{{Lu}}\S*|(?<={_MARK})(?!(?i:{'|'.join(STARTERS)})(?: |$))\p{{Lu}}\S*", "<p>")
-    return F.lower(F.regexp_replace(named, rf"(?i)(?<=<n> )(?:{'|'.join(UNITS)})(?= |$)", "<u>"))
+def _plain(word: Column) -> Column:
+    return F.replace(word, F.lit(_MARK), F.lit(""))
 
 
 def _words(marked: Column) -> Column:
-    return F.filter(F.split(F.replace(marked, F.lit(_MARK), F.lit("")), " "), lambda t: t != "")
+    return F.transform(marked, _plain)
 
 
-#: The two ways in which windows match; exact ones have positive lengths.
-_WAYS = {"exact": 1, "template": -1}
+def _exact(marked: Column) -> Column:
+    return F.transform(marked, lambda t: F.lower(_plain(t)))
+
+
+def _template(marked: Column) -> Column:
+    """Of a window's words numbers, names and units right after numbers as <n>, <p> and <u>, all else in lower case."""
+    def kind(word: Column) -> Column:
+        def of(plain: Column) -> Column:
+            first, low = F.substring(plain, 1, 1), F.lower(plain)
+            name = (F.lower(first) != first) & ~(word.startswith(_MARK) & low.isin(*STARTERS))
+            return F.when(first.between("0", "9") | low.isin(*NUMBERS), "<n>").when(name, "<p>").otherwise(F.lower(word))
+
+        return let(_plain(word), of)
+
+    # A word that still bears its mark begins a sentence, so it is no unit.
+    unit = lambda kinds: F.transform(kinds, lambda k, i: F.when((F.get(kinds, i - 1) == "<n>") & k.isin(*UNITS), "<u>").otherwise(_plain(k)))
+    return let(F.transform(marked, kind), unit)
 
 
-def _tokens(texts: DataFrame, id_column: str, name: str) -> DataFrame:
-    """(name, text_key, words, template, exact): a text's words, template tokens and lower-case words, as many of each."""
-    marked = texts.select(F.col(id_column).cast("long").alias(name), F.xxhash64("text").alias("text_key"), _marked(F.col("text")).alias("marked"))
-    return marked.select(name, "text_key", _words(F.col("marked")).alias("words"), _words(_template(F.col("marked"))).alias("template"), _words(F.lower("marked")).alias("exact"))
+#: The two ways in which windows match; a window's hash tells them apart.
+_WAYS = {"exact": 1, "template": -1}
 
 
 def _window(tokens: Column, way: str, length: Column) -> Column:
     return F.xxhash64(tokens, length * _WAYS[way])
 
 
+def _texts(texts: DataFrame, id_column: str, name: str) -> DataFrame:
+    """(name, text_key, marked, low): the words with their marks, and in lower case without, as many of each."""
+    rows = texts.select(F.col(id_column).cast("long").alias(name), F.xxhash64("text").alias("text_key"), _marked(F.col("text")).alias("bare"))
+    marked = F.filter(F.split("bare", " "), lambda t: (t != "") & (t != _MARK))
+    low = F.filter(F.split(_plain(F.lower("bare")), " "), lambda t: t != "")
+    return rows.select(name, "text_key", marked.alias("marked"), low.alias("low"))
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n_windows, way, item_at, size, window, words, template, literals, lead, offset) of every window of every item in both ways."""
-    asked = _tokens(benchmark, "item_id", "item_id").where(F.size("words") > 0).withColumn("size", F.least(F.size("words"), F.lit(WINDOW)))
-    cut = lambda c: F.slice(c, F.col("item_at") + 1, F.col("size")).alias(c)
-    each = asked.select("*", (F.size("words") - F.col("size") + 1).alias("n_windows"), F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("item_at"))
-    each = each.select("item_id", "n_windows", "item_at", "size", cut("words"), cut("template"), cut("exact"))
+    """(item_id, n_windows, way, item_at, size, window, words, template, literals, lead, offset, second, second_offset) of every window of every item in both ways."""
+    asked = _texts(benchmark, "item_id", "item_id").where(F.size("marked") > 0).withColumn("size", F.least(F.size("marked"), F.lit(WINDOW)))
+    each = asked.select("*", (F.size("marked") - F.col("size") + 1).alias("n_windows"), F.explode(F.sequence(F.lit(0), F.size("marked") - F.col("size"))).alias("item_at"))
+    each = each.select("item_id", "n_windows", "item_at", "size", F.slice("marked", F.col("item_at") + 1, F.col("size")).alias("marked"))
+    each = each.select("item_id", "n_windows", "item_at", "size", _words(F.col("marked")).alias("words"), _template(F.col("marked")).alias("template"), _exact(F.col("marked")).alias("exact"))
     literals = F.size(F.array_distinct(F.filter("template", lambda t: ~t.startswith("<"))))
 
     def of(way: str) -> DataFrame:
-        longest = F.array_max(F.transform(way, lambda t, i: F.struct(F.when(t.startswith("<"), 0).otherwise(F.length(t)).alias("n"), F.xxhash64(t, F.lit(_WAYS[way])).alias("lead"), (-i).alias("back"))))
+        longest = F.sort_array(F.transform(way, lambda t, i: F.struct(F.when(t.startswith("<"), 0).otherwise(F.length(t)).alias("n"), t.alias("word"), (-i).alias("back"))), False)
         rows = each.select("item_id", "n_windows", F.lit(way).alias("way"), "item_at", "size", _window(F.col(way), way, F.col("size")).alias("window"), "words", "template", literals.alias("literals"), longest.alias("longest"))
-        return rows.select("*", F.col("longest.lead").alias("lead"), (-F.col("longest.back")).alias("offset")).drop("longest")
+        first, second = F.get("longest", F.lit(0)), F.get("longest", F.lit(1))
+        return rows.select("*", first["word"].alias("lead"), (-first["back"]).alias("offset"), F.when(second["n"] > 0, second["word"]).alias("second"), (-second["back"]).alias("second_offset")).drop("longest")
 
     return of("exact").unionByName(of("template").where(F.col("literals") >= LEAST)).distinct()
 
@@ -130,20 +156,24 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = _items(benchmark)
     sizes = items.agg(F.count("*"), F.coalesce(F.sum(96 + F.octet_length(F.array_join("words", "  ")) + F.octet_length(F.array_join("template", "  "))), F.lit(0))).first()
-    leads = items.select("lead", "offset", "size", "way").distinct()
+    leads = items.select("lead", "offset", "second", "second_offset", "size", "way").distinct()
     few = sizes[0] <= BROADCAST_TOKENS
     small = sizes[1] <= BROADCAST_BYTES
 
-    # Both ways in one explosion: the tokens of one way follow those of the other.
-    hashed = lambda way: F.transform(way, lambda t: F.xxhash64(t, F.lit(_WAYS[way])))
-    told = _tokens(documents, "doc_id", "doc_id").select("*", F.posexplode(F.concat(hashed("exact"), hashed("template"))).alias("place", "lead"))
-    met = told.join(F.broadcast(leads) if few else leads, "lead")
-    n = F.size("words")
-    met = met.withColumn("start", F.when(F.col("way") == "exact", F.col("place")).otherwise(F.col("place") - n) - F.col("offset")).where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= n))
-    cut = lambda c: F.slice(c, F.col("start") + 1, F.col("size"))
-    window = F.when(F.col("way") == "exact", _window(cut("exact"), "exact", F.col("size"))).otherwise(_window(cut("template"), "template", F.col("size")))
-    found = met.select("doc_id", "text_key", "start", window.alias("window"), cut("words").alias("own"))
-    named = items.drop("lead", "offset", "size")
+    # A row of an explosion holds its whole source, so words come out of blocks, which reach as far as a window does.
+    begin = lambda i: F.greatest(i - (WINDOW - 1), F.lit(0))
+    cut = lambda c, i: F.slice(c, begin(i) + 1, i - begin(i) + BLOCK + WINDOW - 1).alias(c)
+    starts = F.when(F.size("low") > 0, F.sequence(F.lit(0), F.size("low") - 1, F.lit(BLOCK)))
+    blocks = F.transform(starts, lambda i: F.struct(begin(i).alias("begin"), (i - begin(i)).alias("own"), cut("low", i), cut("marked", i)))
+    told = _texts(documents, "doc_id", "doc_id").select("doc_id", "text_key", F.explode(blocks).alias("b")).select("doc_id", "text_key", "b.*")
+    told = told.select("*", F.posexplode("low").alias("place", "lead")).where(F.col("place").between(F.col("own"), F.col("own") + BLOCK - 1))
+    met = told.join(F.broadcast(leads) if few else leads, "lead").withColumn("start", F.col("place") - F.col("offset"))
+    met = met.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("low")))
+    met = met.where(F.col("second").isNull() | (F.get("low", F.col("start") + F.col("second_offset")) == F.col("second")))
+    met = met.select("doc_id", "text_key", (F.col("begin") + F.col("start")).alias("start"), "way", "size", F.slice("marked", F.col("start") + 1, F.col("size")).alias("own"))
+    window = F.when(F.col("way") == "exact", _window(_exact(F.col("own")), "exact", F.col("size"))).otherwise(_window(_template(F.col("own")), "template", F.col("size")))
+    found = met.select("doc_id", "text_key", "start", window.alias("window"), _words(F.col("own")).alias("own"))
+    named = items.drop("lead", "offset", "second", "second_offset", "size")
     found = found.join(F.broadcast(named) if small else named, "window")
 
     exact = F.col("way") == "exact"

@@ -364,7 +364,6 @@ def test_items_without_template_windows_are_found_exactly(spark):
 
 
 _UNITS = "|".join(decontamination.UNITS)
-_NUMBERS = re.compile(decontamination.NUMBERS, re.I)
 
 
 def _tokens(text):
@@ -376,7 +375,7 @@ def _tokens(text):
         word, head = raw.replace("\x01", ""), raw.startswith("\x01")
         if not word:
             continue
-        if word[0].isdigit() or _NUMBERS.fullmatch(word):
+        if word[0].isdigit() or word.lower() in decontamination.NUMBERS:
             kind = "<n>"
         elif word[0].isupper() and not (head and word.lower() in decontamination.STARTERS):
             kind = "<p>"
@@ -388,10 +387,12 @@ def _tokens(text):
 
 def _runs(tokens, size, column):
     """Where each run of so many tokens stands; words in lower case, or templates."""
-    said = [x[column].lower() if column else x[0] for x in tokens]
     out = {}
-    for i in range(len(said) - size + 1):
-        out.setdefault(tuple(said[i : i + size]), []).append(i)
+    for i in range(len(tokens) - size + 1):
+        said = [x[1].lower() if column else x[0] for x in tokens[i : i + size]]
+        if said and said[0] == "<u>":  # the number before it is not in the window
+            said[0] = tokens[i][1].lower()
+        out.setdefault(tuple(said), []).append(i)
     return out
 
 
@@ -416,7 +417,7 @@ def _leaked(text, items, known={}):  # noqa: B006
                         group = groups.setdefault(j - i, (set(), set(), set(), set()))
                         group[kind if strong else 2].add(i)
                         if kind:
-                            group[3].update((own[i + k][0], own[i + k][1], doc[j + k][1]) for k in range(size) if own[i + k][0].startswith("<"))
+                            group[3].update((own[i + k][0], own[i + k][1], doc[j + k][1]) for k in range(size) if window[k].startswith("<"))
         n = len(own) - size + 1
         n_able = sum(len(v) for k, v in able.items() if len({x for x in k if not x.startswith("<")}) >= 4)
         for in_exact, in_able, in_weak, slots in groups.values():
