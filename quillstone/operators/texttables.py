@@ -12,6 +12,54 @@ from quillstone.functions import lines as ln
 LABEL_RUN, LEAST_ROWS, LEAST_HEADED = 4, 3, 2
 
 
+class _Run:
+    """A run of lines that may become a table, as a state that takes one line after the other."""
+
+    def __init__(self) -> None:
+        self.headed = False
+        self.figures = 0  # rows with figures
+        self.waiting = 0  # labels since the last line of another class
+        self.rows: list[list[int]] = []  # lines of every row
+        self.dropped: list[int] = []
+
+    def _new_row(self, line: int, label: bool = False) -> bool:
+        self.rows.append([line])
+        self.waiting = self.waiting + 1 if label else 0
+        return True
+
+    def _below(self, line: int) -> bool:
+        """Figures alone go to the row above; right below the header they have no row."""
+        if self.headed and len(self.rows) == 1:
+            self.dropped.append(line)
+        else:
+            self.figures += self.waiting > 0  # the label has its figures now
+            self.rows[-1].append(line)
+        self.waiting = 0
+        return True
+
+    def take(self, line: int, code: str, wraps: bool) -> bool:
+        """Whether the line belongs to the run; wraps: the next line is of figures alone."""
+        match code:
+            case ln.HEADER if not self.figures:
+                self.headed = True
+                return self._new_row(line)
+            case ln.ROW:
+                self.figures += 1
+                return self._new_row(line)
+            case ln.VALUES:
+                return self._below(line)
+            case ln.SUBLABEL | ln.WRAPS if self.waiting < LABEL_RUN and (wraps or code == ln.SUBLABEL):
+                return self._new_row(line, label=True)
+        return False
+
+    def table(self) -> dict[int, int] | None:
+        """The row of each line, -1 if it is dropped, without the labels at the end; None if there are too few figures."""
+        if self.figures < (LEAST_HEADED if self.headed else LEAST_ROWS):
+            return None
+        kept = self.rows[: len(self.rows) - self.waiting]
+        return {line: k for k, lines in enumerate(kept) for line in lines} | dict.fromkeys(self.dropped, -1)
+
+
 def runs(codes: str, figures: list[bool]) -> list[tuple[int, int, list[int]]]:
     """(start, end, row of each line or -1) of every table among lines that follow each other.
 
@@ -20,51 +68,21 @@ def runs(codes: str, figures: list[bool]) -> list[tuple[int, int, list[int]]]:
     belong to the row above, or are dropped right below a header; labels at the end
     belong to what follows.
     """
-    out, i, n = [], 0, len(codes)
-    while i < n:
-        if codes[i] not in (ln.HEADER, ln.ROW):
-            i += 1
+    out, at = [], 0
+    begins = (ln.HEADER, ln.ROW)
+    while at < len(codes):
+        if codes[at] not in begins:
+            at += 1
             continue
-        bare: list[bool] = []  # of each row, whether it is a label alone
-        place: list[int] = []
-        numeric = labels = 0
-        headed = False
-        j = i
-        while j < n:
-            code = codes[j]
-            if code == ln.HEADER:
-                if numeric:
-                    break
-                headed, labels = True, 0
-                bare.append(False)
-            elif code == ln.ROW:
-                numeric, labels = numeric + 1, 0
-                bare.append(False)
-            elif code == ln.VALUES:
-                numeric += bare[-1]
-                labels = 0
-                if headed and len(bare) == 1:
-                    place.append(-1)
-                    j += 1
-                    continue
-                bare[-1] = False
-            elif labels < LABEL_RUN and (code == ln.SUBLABEL or code == ln.WRAPS and j + 1 < n and figures[j + 1]):
-                labels += 1
-                bare.append(True)
-            else:
-                break
-            place.append(len(bare) - 1)
-            j += 1
-        end = j
-        while bare and bare[-1]:
-            bare.pop()
-            place.pop()
-            end -= 1
-        if numeric >= (LEAST_HEADED if headed else LEAST_ROWS):
-            out.append((i, end, place))
-            i = max(end, i + 1)
+        run, line = _Run(), at
+        while line < len(codes) and run.take(line, codes[line], figures[line + 1] if line + 1 < len(codes) else False):
+            line += 1
+        rows = run.table()
+        if rows is None:
+            at = line  # no later line of this run begins a longer one
         else:
-            i = max(j, i + 1)  # no later line of this run begins a longer one
+            out.append((at, max(rows) + 1, [rows[k] for k in range(at, max(rows) + 1)]))
+            at = max(rows) + 1
     return out
 
 

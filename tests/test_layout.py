@@ -77,41 +77,29 @@ def test_headings(spark):
     assert [(r.text, r.level) for r in got] == [(r.text, r.want) for r in got]
 
 
+def _filled(taken):
+    """Rows with figures among the classes of a run's lines."""
+    return taken.count("R") + sum(b == "V" and a in "SW" for a, b in zip(taken, taken[1:], strict=False))
+
+
 def _naive(codes, figures):
-    """Starts again on the next line after every run that is too short, with cells counted one by one."""
-    out, i = [], 0
-    while i < len(codes):
-        widths, numeric, gap, headed, j = [], 0, 0, False, i
-        if codes[i] in "HR":
-            while j < len(codes):
-                c = codes[j]
-                if c == "H":
-                    if numeric:
-                        break
-                    widths.append(3)
-                    headed, gap = True, 0
-                elif c == "R":
-                    widths.append(3)
-                    numeric, gap = numeric + 1, 0
-                elif c == "V":
-                    numeric += widths[-1] == 1
-                    if not (headed and len(widths) == 1):
-                        widths[-1] += 2
-                    gap = 0
-                elif gap < 4 and (c == "S" or c == "W" and j + 1 < len(codes) and figures[j + 1]):
-                    widths.append(1)
-                    gap += 1
-                else:
-                    break
-                j += 1
-            while widths and widths[-1] == 1:
-                widths.pop()
-                j -= 1
-        if numeric >= 3 or headed and numeric >= 2:
-            out.append((i, j, len(widths)))
-            i = j
+    """(start, end, rows): from every line on, the longest run of which each line may follow those before it."""
+    out, start = [], 0
+    while start < len(codes):
+        end = start
+        while end < len(codes):
+            taken, c = codes[start:end], codes[end]
+            labels = len(taken) - len(taken.rstrip("SW"))
+            label = c == "S" or c == "W" and figures[end + 1 : end + 2] == [True]
+            if not (c == "R" or c == "H" and not _filled(taken) or taken and (c == "V" or label and labels < 4)):
+                break
+            end += 1
+        taken = codes[start:end].rstrip("SW")
+        if taken[:1] in ("H", "R") and _filled(taken) >= (2 if "H" in taken else 3):
+            out.append((start, start + len(taken), len(taken) - taken.count("V")))
+            start += len(taken)
         else:
-            i += 1
+            start += 1
     return out
 
 
