@@ -36,13 +36,15 @@ def outside(spans: DataFrame, boxes: DataFrame) -> DataFrame:
     """The spans of which the centre is in no box (document_id, page, x0, y0, x1, y1) of their page; edges belong to a box.
 
     Boxes are laid over the cells of a grid, so points and boxes meet by an equi-join.
+    Cells are far more than the rows that their size is estimated from, so neither side is
+    ever broadcast.
     """
     cell = lambda c: F.floor(c / CELL)
     cells = lambda low, high: F.explode(F.sequence(cell(F.col(low)), cell(F.col(high))))
     laid = boxes.where("x0 <= x1 and y0 <= y1").select(*[F.col(c).alias(f"box_{c}") for c in (*PAGE, "x0", "y0", "x1", "y1")]).select("*", cells("box_x0", "box_x1").alias("column")).select("*", cells("box_y0", "box_y1").alias("row"))
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     met = (F.col("document_id") == F.col("box_document_id")) & (F.col("page") == F.col("box_page")) & (cell(x) == F.col("column")) & (cell(y) == F.col("row"))
-    return spans.join(laid, met & x.between(F.col("box_x0"), F.col("box_x1")) & y.between(F.col("box_y0"), F.col("box_y1")), "left_anti")
+    return spans.join(laid.hint("merge"), met & x.between(F.col("box_x0"), F.col("box_x1")) & y.between(F.col("box_y0"), F.col("box_y1")), "left_anti")
 
 
 def _parted(spans: DataFrame, keys: list[str], fractions: tuple[float, ...], most_crossing: float, least_side: int, may: Column, name: str, most_figures: float | None = None) -> DataFrame:

@@ -286,3 +286,13 @@ def test_section_passages_by_brute_force(spark, sf_dir):
         close(True)
         assert sorted(found.get(doc, [])) == [(i, size(x), hashlib.md5(x.encode()).hexdigest()) for i, x in enumerate(want)], doc
     assert sum(len(v) for v in found.values()) > 100
+
+
+def test_boxes_are_never_broadcast(spark):
+    from quillstone.operators import geometry
+
+    spans = spark.createDataFrame([("d", 0, "in", 10.0, 10.0, 20.0, 20.0), ("d", 0, "out", 500.0, 10.0, 510.0, 20.0), ("e", 0, "none", 10.0, 10.0, 20.0, 20.0)], "document_id string, page int, text string, x0 double, y0 double, x1 double, y1 double")
+    boxes = spark.createDataFrame([("d", 0, 0.0, 0.0, 400.0, 400.0)], "document_id string, page int, x0 double, y0 double, x1 double, y1 double")
+    found = geometry.outside(spans, boxes)
+    assert sorted(r.text for r in found.collect()) == ["none", "out"]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
