@@ -118,7 +118,7 @@ ORACLE_SQL = {
       SELECT conv_id, turn, round(len(list_intersect(x, y))::DOUBLE / len(x), 6) AS share, len(list_intersect(x, y))::DOUBLE / len(x) >= 0.6 AS supported FROM b WHERE role = 'assistant' AND y IS NOT NULL AND len(x) > 0""",
     "answer_scores": f"""WITH b AS (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z]+', ' ', 'g') AS own, regexp_replace(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '[^A-Za-z]+', ' ', 'g') AS before FROM conversations),
       t AS (SELECT conv_id, turn, {tokens_sql("before")} AS bt FROM b WHERE before IS NOT NULL AND own IS NOT NULL),
-      n AS (SELECT conv_id, turn, bt, len(bt) >= 3 AS counts, len(bt) >= 2 AS counts_with_figure FROM t),
+      n AS (SELECT conv_id, turn, bt, len(bt) >= 3 AS counts, len(bt) + len({tokens_sql("'1,250'")}) >= 3 AS counts_with_figure FROM t),
       o AS (SELECT b.conv_id, b.turn, len({tokens_sql("own || ' figure 77'")}) >= 3 AS own_counts FROM b)
       SELECT n.conv_id, n.turn, round(CASE WHEN counts_with_figure::INT + counts::INT + own_counts::INT = 0 THEN 0 ELSE (counts::INT + counts_with_figure::INT)::DOUBLE / (counts::INT + counts_with_figure::INT + own_counts::INT) END, 4) AS faithfulness,
         CASE WHEN len(bt) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS relevance, 0.5::DOUBLE AS key_facts, 0.75::DOUBLE AS citation_precision, CASE WHEN n.turn % 10 IN (1, 3, 4, 5, 9) THEN 1.0 ELSE 0.0 END::DOUBLE AS page_hit

@@ -187,3 +187,18 @@ def test_margins_sizes_and_rules(spark):
     words = [("d", p, str(k)) for p in (1, 2, 3) for k in range(8)]
     found = geometry.ruled_pages(spark.createDataFrame(ruled, "document_id string, page int, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(words, "document_id string, page int, text string"))
     assert {r.page for r in found.collect()} == {1, 2}
+
+
+def test_answer_scores_of_short_turns(spark, tmp_path):
+    """A figure such as 1,250 is two terms, so a turn of one term makes a statement with it."""
+    import duckdb
+
+    from quillstone.plans import evidence
+
+    said = ["That the atorea on.", "Oneahe inshth thion.", "Of the.", "Bleha thonan.", "Ingeseu", "Ening eas bleand thor."]
+    spark.createDataFrame([(1, i, "user", x) for i, x in enumerate(said)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r.turn: r.faithfulness for r in evidence.answer_scores(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW conversations AS FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        want = {r[1]: r[2] for r in c.execute(evidence.ORACLE_SQL["answer_scores"]).fetchall()}
+    assert found == want and found[1] == 0.5 and found[3] == 0.0
