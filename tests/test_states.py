@@ -50,6 +50,21 @@ def test_counters_in_batches(spark, tmp_path):
         assert got[event] == (seen[window], seen[window] <= 3)
 
 
+def test_counters_of_many_keys(spark, tmp_path):
+    """A batch's keys are read and written by the group, not one by one; keys of a group don't meet, and ended counters go."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    rows = [(None if k == 7 else f"k{k}", 1000 * i + k, start + timedelta(seconds=i * 40)) for i in range(9) for k in range(200)]
+    stream = _in_batches(spark, tmp_path, rows, "key string, event_id long, ts timestamp", [0, 400, 1000, 1800])
+    query = limits.counted(stream, 90, "10 seconds", groups=4).writeStream.outputMode("append").format("memory").queryName("many_keys").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r.key, r.event_id): r.n for r in spark.table("many_keys").collect()}
+    assert got == {(key, event): event // 1000 % 3 + 1 for key, event, _ in rows}  # of events 40 s apart a counter of 90 s takes three
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert held and 0 < max(held) <= 4 * 7  # a group's state, and its timers
+
+
 def test_index_after_three_batches(spark, sf_dir, monkeypatch):
     """Equal to an index built at once; old texts are not read; a batch may run twice; searches agree."""
     parts = states._changes(spark, sf_dir)
