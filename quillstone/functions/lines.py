@@ -20,8 +20,8 @@ HEADER_WORDS = (
 )
 INTERIM = r"(?i)\b(quarter(s)? ended|quarterly|(three|six|nine) months|half[- ]year)\b"
 
-#: Longest label and most words of a row, of a label of its own, of a wrapped one; most figures of a line; longest part of a header.
-ROW_LABEL, ROW_WORDS, LABEL, LABEL_WORDS, WRAPPED, FIGURES, HEADER_PART = 90, 14, 70, 8, 160, 12, 80
+#: Longest label and most words of a row, of a label of its own, of a wrapped one; most figures of a line; longest part of a header; longest heading.
+ROW_LABEL, ROW_WORDS, LABEL, LABEL_WORDS, WRAPPED, FIGURES, HEADER_PART, HEADING = 90, 14, 70, 8, 160, 12, 80, 120
 
 #: Openings of list items, and titles of sections that filings share.
 BULLET = r"^\s*(?:[•▪■●◦‣·*]|[-–—]\s|\(?\d{1,2}[.)]\s|\(?[a-z][.)]\s)"
@@ -52,6 +52,16 @@ def words(line: Column) -> Column:
     return t.let(t.stripped(F.replace(line, F.lit("|"), F.lit(" "))), lambda bare: F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\s\p{Z}\x1c-\x1f\x85]+")))
 
 
+def is_short_or_row(line: Column) -> Column:
+    """Whether the words of a line without blanks at its ends matter: it may be a heading, a label or figures alone, or it ends like a row of figures.
+
+    Of nearly all lines of prose only the last word is looked at.
+    """
+    tail = words(F.substring_index(line, " ", -1))
+    ends = t.let(tail, lambda w: (F.size(w) == 0) | t.is_figure(F.get(w, F.size(w) - 1)))
+    return (F.length(line) <= HEADING) | ends
+
+
 def marks(parts: Column) -> Column:
     """Of every part of a line whether it is a figure."""
     return F.transform(parts, t.is_figure)
@@ -118,7 +128,7 @@ def is_label(bare: Column, n_words: Column) -> Column:
 def level_of(bare: Column, parts: Column, figures: Column, is_row: Column, header_part: Column, size: Column, bold: Column, body_size: Column, forced: Column) -> Column:
     """1 or 2 for a heading, 0 for other lines, of what is known of a line; ``forced`` is the level that the source gives, 0 if none."""
     known, styled = bare.rlike(KNOWN_SECTION), (size >= body_size * 1.15) | bold
-    out = (F.length(bare) < 3) | (F.length(bare) > 120) | (F.size(parts) > 14) | bare.rlike("[.;,:]$") | ~bare.rlike("[A-Za-z]{3}") | is_row | header_part
+    out = (F.length(bare) < 3) | (F.length(bare) > HEADING) | (F.size(parts) > 14) | bare.rlike("[.;,:]$") | ~bare.rlike("[A-Za-z]{3}") | is_row | header_part
     out = out | (F.size(F.filter(figures, lambda f: f)) > F.size(parts) / 2)
     capital = (F.upper(bare) == bare) & (F.lower(bare) != bare)
     plain = F.when((capital & (F.size(parts) <= 8)) | known, 2).otherwise(0)

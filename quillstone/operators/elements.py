@@ -42,7 +42,7 @@ def _expressions() -> dict[str, Column]:
     code = F.when(said == "", BLANK).when(header, ln.HEADER).when(F.col("row").isNotNull(), ln.ROW).when(F.col("values").isNotNull(), ln.VALUES).when(ln.is_label(said, F.size(parts)), ln.SUBLABEL).when(wraps, ln.WRAPS).otherwise(ln.OTHER)
     level = ln.level_of(said, parts, marks, F.col("row").isNotNull(), part, ten, F.lit(False), ten, F.col("forced"))
     return {
-        "parts": ln.words(said), "marks": ln.marks(parts), "found": F.when(said.rlike(r"\d\d"), periods.periods(said)), "residue": F.when((F.length(said) <= ln.HEADER_PART) | (F.size("found") > 0), ln.residue(said)),
+        "parts": F.when(ln.is_short_or_row(said), ln.words(said)), "marks": ln.marks(parts), "found": F.when(said.rlike(r"\d\d"), periods.periods(said)), "residue": F.when((F.length(said) <= ln.HEADER_PART) | (F.size("found") > 0), ln.residue(said)),
         "row": F.when(F.size(parts) > 1, ln.row_of(parts, marks)), "values": F.when(F.size(parts) > 0, ln.values_of(parts, marks)), "code": code, "level": F.when(said == "", 0).otherwise(level), "bullet": said.rlike(ln.BULLET),
         "cells": F.when(F.col("code") == ln.HEADER, F.concat(F.array(F.lit("Particulars")), ln.period_labels(said, F.col("found")))).when(F.col("code") == ln.ROW, F.concat(F.array("row.label"), F.col("row.figures"))).when(F.col("code") == ln.VALUES, F.col("values")).otherwise(F.array(said)),
     }
@@ -55,7 +55,8 @@ def classed(documents: DataFrame) -> DataFrame:
     underline below it, or with # before it, is a heading; bars are blanks between cells.
     """
     raw = F.split(F.regexp_replace("page_text", r"\r\n?", "\n"), "\n")
-    pairs = F.transform(raw, lambda x, i: F.struct(x.alias("own"), F.get(raw, i + 1).alias("below")))
+    # A page is split once, not again for each of its lines.
+    pairs = t.let(raw, lambda x: F.zip_with(x, F.slice(x, 2, F.size(x)), lambda own, below: F.struct(own.alias("own"), below.alias("below"))))
     pages = documents.select(F.col("document_id").cast("string").alias("document_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\f")).alias("page", "page_text"))
     rows = pages.select("document_id", (F.col("page") + 1).alias("page"), F.posexplode(pairs).alias("line", "pair")).select("document_id", "page", "line", t.stripped(F.col("pair.own")).alias("own"), t.stripped(F.coalesce("pair.below", F.lit(""))).alias("below"))
     own = F.col("own")

@@ -9,7 +9,7 @@ from quillstone.operators import financials as f
 from quillstone.operators import sections, statements
 from quillstone.operators.elements import elements
 from quillstone.plans.finance import SQL_WITH
-from quillstone.sources.tables import facts, table
+from quillstone.sources.tables import facts, spread, table
 
 #: Printed figures: metrics of each statement with their labels; a bar parts the printed lines of one row.
 _INCOME = (("revenue", "Revenue from operations   25", 1), ("cogs", "Changes in inventories of finished goods, work-in-progress and   29|", 0), ("finance_costs", "Finance costs   31", 0), ("net_income", "Profit for the year (C=A+B)", 1))
@@ -65,7 +65,7 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables found in the lines of reports and of all documents: where they stand, and their first and last rows."""
-    prose = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("document_id"), "text")
+    prose = spread(table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("document_id"), "text"))
     found = elements(filings(spark, sf_dir).unionByName(prose)).where("kind = 'table' and not startswith(document_id, 'd')")
     joined = lambda row: F.array_join(row, "|")
     return found.select("document_id", "page", "start", "end", F.size("grid").alias("n_rows"), joined(F.get("grid", F.lit(0))).alias("first"), joined(F.element_at("grid", -1)).alias("last"))
@@ -79,7 +79,7 @@ def statement_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def section_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of the reports and of all documents by section and type."""
-    prose = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("document_id"), "text")
+    prose = spread(table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("document_id"), "text"))
     found = sections.passages(elements(filings(spark, sf_dir).unionByName(prose)))
     return found.select("document_id", "chunk_index", "page_start", "page_end", "section", "chunk_type", "n_tokens", F.md5("text").alias("digest"))
 
