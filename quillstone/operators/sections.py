@@ -20,6 +20,7 @@ from quillstone.functions import labels
 from quillstone.functions import text as t
 from quillstone.operators import chunking
 from quillstone.operators.texttables import markdown
+from quillstone.sources.shared import written
 
 #: Tokens of a table, the least that a part may hold, and of the longest caption; characters of paths, titles and captions.
 TABLE, LEAST_PART, CAPTION, PATH, TITLE = 900, 60, 30, 250, 200
@@ -254,6 +255,7 @@ def passages(elements: DataFrame, document_type: Column | None = None, target: i
     head of its page.  Documents without elements have no passages.
     """
     folded = elements.select("document_id", "place", "page", "kind", "level", "text", "grid", "context").mapInArrow(_chunked(target, overlap, limit), SCHEMA)
+    folded = written(folded, "passages")  # read twice: for its tables' labels, and for its rows
     return _typed(folded, F.lit("other") if document_type is None else document_type).drop("kind")
 
 

@@ -10,7 +10,7 @@ from quillstone import catalog
 from quillstone.functions import labels, lines
 from quillstone.functions import text as t
 from quillstone.operators import sections, statements, texttables
-from quillstone.operators.elements import elements
+from quillstone.operators.elements import classed, elements
 from tests.test_reference_cases import given
 
 NUMBERS = [
@@ -296,3 +296,44 @@ def test_boxes_are_never_broadcast(spark):
     found = geometry.outside(spans, boxes)
     assert sorted(r.text for r in found.collect()) == ["none", "out"]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_one_long_page(spark):
+    """A page is split once, not again for each of its lines, which would take minutes here."""
+    import time
+
+    began = time.time()
+    df = spark.createDataFrame([("1", "\n".join(f"Line {i}" for i in range(60_000)))], "document_id string, text string")
+    assert classed(df).agg(F.count("*"), F.max("line")).first()[:] == (60_000, 59_999)
+    assert time.time() - began < 60
+
+
+def test_words_of_long_lines(spark):
+    """Of a long line that doesn't end like a row nothing but its own class depends on its words; rows of any length are still found."""
+    prose, row = "The group went on with its work in all of its parts. " * 4, "Revenue from operations" + " 1,234" * 30
+    texts = [prose, row, f"{row} |", prose + "12", "# " + prose, "x" * 200, "|" + row + "|"]
+    df = spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], "document_id string, text string")
+    assert [(r.code, r.level) for r in classed(df).orderBy("document_id").collect()] == [("O", 0), ("R", 0), ("R", 0), ("O", 0), ("O", 1), ("O", 0), ("R", 0)]
+    shorts = spark.createDataFrame([(x,) for x in (prose.strip(), row, f"{row} |", "Outlook")], "said string")
+    assert [r[0] for r in shorts.select(lines.is_short_or_row(F.col("said"))).collect()] == [False, True, True, True]
+
+
+def test_documents_are_folded_once(spark, monkeypatch):
+    folded = spark.sparkContext.accumulator(0)
+    made = sections._chunked
+
+    def counting(*limits):
+        fold = made(*limits)
+
+        def counted(batches):
+            for batch in fold(batches):
+                folded.add(batch.num_rows)
+                yield batch
+
+        return counted
+
+    monkeypatch.setattr(sections, "_chunked", counting)
+    text = "# Balance Sheet\n\nParticulars FY2023 FY2022\nRevenue 10 20\nTotal assets 30 40\nInventories 5 6\n"
+    df = spark.createDataFrame([("1", text), ("2", text)], "document_id string, text string")
+    found = sections.passages(elements(df)).collect()
+    assert {r.chunk_type for r in found} == {"financial_statement"} and folded.value == len(found) == 2
