@@ -74,15 +74,18 @@ def _parted(spans: DataFrame, keys: list[str], fractions: tuple[float, ...], mos
     return rows.withColumn(name, F.explode(sides)).drop("_low", "_wide", "_n", "_may", "_x", "_cut", "_figure")
 
 
-def in_columns(spans: DataFrame) -> DataFrame:
+def in_columns(spans: DataFrame, partitions: int | None = None) -> DataFrame:
     """The spans with the number of their column, from 0 in reading order of the page.
 
+    partitions is into how many tasks the pages are dealt; without it Spark merges small
+    ones by their compressed bytes, which are far fewer than what their sorts hold.
+
     spans also have width and height of their page.  A landscape page with a gutter in the
     middle holds two printed pages, whatever stands there; a part is two columns only if
     both sides are prose.
     """
     spread = (F.col("height") > 0) & (F.col("width") > F.col("height") * LANDSCAPE) & (F.col("_n") >= SPREAD_SPANS)
-    halves = _parted(spans, PAGE, SPREAD, SPREAD_CROSSING, SPREAD_SIDE, spread, "half")
+    halves = _parted(spans if partitions is None else spans.repartition(partitions, *PAGE), PAGE, SPREAD, SPREAD_CROSSING, SPREAD_SIDE, spread, "half")
     sides = _parted(halves, [*PAGE, "half"], COLUMNS, COLUMN_CROSSING, COLUMN_SIDE, F.col("_n") >= COLUMN_SPANS, "side", FIGURES)
     return sides.withColumn("column", (F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("half", "side")) - 1).cast("int")).drop("half", "side")
 
@@ -149,15 +152,15 @@ def _clustered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed(closed())
 
 
-def visual_rows(spans: DataFrame) -> DataFrame:
+def visual_rows(spans: DataFrame, partitions: int | None = None) -> DataFrame:
     """(document_id, page, column, place, text, y0, y1, size, bold): the lines of in_columns() spans.
 
     Spans come by the height of their middle; each joins the row before if it is near the
     mean of that row's middles, so the rows depend on the order.  place counts the lines of
-    a page over its columns.  Only the row at hand is held.
+    a page over its columns.  Only the row at hand is held; partitions as for in_columns().
     """
     rows = spans.select(F.col("document_id").cast("string").alias("document_id"), F.col("page").cast("int").alias("page"), "column", "text", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "size")], "bold")
-    rows = rows.repartition(*PAGE).sortWithinPartitions(*PAGE, "column", (F.col("y0") + F.col("y1")) / 2, "x0", "x1", "text")
+    rows = rows.repartition(*([] if partitions is None else [partitions]), *PAGE).sortWithinPartitions(*PAGE, "column", (F.col("y0") + F.col("y1")) / 2, "x0", "x1", "text")
     return rows.mapInArrow(_clustered, LINES)
 
 

@@ -7,11 +7,24 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import lines
 from quillstone.operators import geometry
+from quillstone.sources.shared import written
 from quillstone.sources.tables import table
 
 #: By page_id modulo four: columns and whether the page is landscape; landscape pages of two columns hold figures.
 _COLUMNS = (1, 2, 2, 4)
 
+#: Tasks that the spans of one partition of the scan are dealt into; they take far more memory than its compressed bytes.
+_PARTS = 16
+
+
+def _partitions(spark: SparkSession, sf_dir: str) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), _PARTS * table(spark, sf_dir, "pages").rdd.getNumPartitions())
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _partitions(spark, sf_dir)
+    return geometry.visual_rows(geometry.in_columns(page_spans(spark, sf_dir), n), n)
+
 
 def page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's words, four to a span, set in columns; five pages are a document."""
@@ -33,13 +46,13 @@ def page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many columns are found on every page, and the spans of the first."""
-    found = geometry.in_columns(page_spans(spark, sf_dir))
+    found = geometry.in_columns(page_spans(spark, sf_dir), _partitions(spark, sf_dir))
     return found.groupBy("document_id", "page").agg((F.max("column") + 1).alias("n_columns"), F.count("*").alias("n_spans"), F.sum((F.col("column") == 0).cast("int")).alias("n_first"))
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visual rows of every page in reading order."""
-    found = geometry.visual_rows(geometry.in_columns(page_spans(spark, sf_dir)))
+    found = _lines(spark, sf_dir)
     return found.select("document_id", "page", "column", "place", "y0", "y1", "size", "bold", F.md5("text").alias("digest"))
 
 
@@ -60,7 +73,7 @@ def body_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are headings, by the body size of their document."""
-    found = geometry.visual_rows(geometry.in_columns(page_spans(spark, sf_dir)))
+    found = written(_lines(spark, sf_dir), "lines")  # read twice: for the body sizes, and for the lines
     rows = lines.with_levels(found.join(geometry.body_sizes(found), "document_id"), F.col("body_size"), F.lit(0))
     return rows.where("level > 0").select("document_id", "page", "place", "level", F.md5("text").alias("digest"))
 

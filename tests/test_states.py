@@ -217,3 +217,22 @@ def test_answer_scores_of_short_turns(spark, tmp_path):
         c.execute(f"CREATE VIEW conversations AS FROM '{tmp_path}/conversations.parquet/*.parquet'")
         want = {r[1]: r[2] for r in c.execute(evidence.ORACLE_SQL["answer_scores"]).fetchall()}
     assert found == want and found[1] == 0.5 and found[3] == 0.0
+
+
+def test_pages_are_dealt_into_tasks_and_read_once(spark, sf_dir, monkeypatch):
+    """Sorts of a page's spans are cut by the given number of tasks, which Spark doesn't merge; headings make their lines once."""
+    spans = spark.createDataFrame([("d", p, f"w{i}", 50.0, 40.0 + 12 * i, 90.0, 49.0 + 12 * i, 9.0, False, 595.0, 842.0) for p in range(40) for i in range(3)], "document_id string, page int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, width double, height double")
+    found = geometry.visual_rows(geometry.in_columns(spans, 7), 7)
+    assert found.count() == 120 and found.rdd.getNumPartitions() == 7
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in geometry.visual_rows(geometry.in_columns(spans)).collect()}
+
+    made, fold = spark.sparkContext.accumulator(0), geometry._clustered
+
+    def counted(batches):
+        for batch in fold(batches):
+            made.add(batch.num_rows)
+            yield batch
+
+    lines = catalog.QUERIES["page_lines"](spark, sf_dir).count()
+    monkeypatch.setattr(geometry, "_clustered", counted)
+    assert catalog.QUERIES["page_headings"](spark, sf_dir).count() > 0 and made.value == lines
