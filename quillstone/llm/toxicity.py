@@ -59,6 +59,9 @@ DENSE = 125
 #: Kinds of features, in the two lowest bits of their 32-bit hashes.
 WORD, BEGINNING, DENSE_BEGINNING = KINDS = (0, 1, 2)
 
+#: Columns of a model on its way from the task that fits it.
+_MODEL = ["features", "weights", "bias", "voters", "accuracies", "correlation"]
+
 #: Labelled rows are dealt into so many folds.
 FOLDS = 3
 
@@ -318,11 +321,22 @@ def trained(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Cl
             marks = _patterns(raw, off) @ np.array([1, 2, 4])
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), lists, pa.array(marks, pa.int32())], names=["y", "fold", "found", "marks"])
 
-    rows = _sample(documents, labels, label).select("text", "y", "fold").mapInArrow(run, "y int, fold int, found array<int>, marks int").toArrow()
-    lists = [np.asarray(x.values).view(np.uint32) for x in rows["found"]]
-    marks, y, fold = (np.asarray(rows[c]) for c in ("marks", "y", "fold"))
-    order = np.lexsort((marks, [len(x) for x in lists], fold, y)) if lists else []  # not the order of tasks
-    return fitted([lists[i] for i in order], ((marks[:, None] >> np.arange(3)) & 1 > 0)[order] if lists else marks, y[order] if lists else y, fold[order] if lists else fold)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        lists = [np.asarray(x.values).view(np.uint32) for batch in held for x in batch.column(2)]
+        y, fold, marks = (np.concatenate([np.zeros(0, np.int32), *(np.asarray(batch.column(i)) for batch in held)]) for i in (0, 1, 3))
+        order = np.lexsort((marks, [len(x) for x in lists], fold, y)) if lists else []  # not the order of tasks
+        model = fitted([lists[i] for i in order], ((marks[:, None] >> np.arange(3)) & 1 > 0)[order] if lists else marks, y[order] if lists else y, fold[order] if lists else fold)
+        found = model.features.view(np.int32), model.weights, np.array([model.bias]), list(model.voters), list(model.voters.values()), [] if model.correlation is None else model.correlation.ravel()
+        kinds = pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.float64(), pa.float64()
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(kind)) for x, kind in zip(found, kinds, strict=True)], names=_MODEL)
+
+    sample = _sample(documents, labels, label).select("text", "y", "fold").mapInArrow(run, "y int, fold int, found array<int>, marks int")
+    # As bounded as the sample; the fit's arrays would stay in the driver for as long as it lives.
+    schema = "features array<int>, weights array<double>, bias array<double>, voters array<string>, accuracies array<double>, correlation array<double>"
+    made = sample.repartition(1).mapInArrow(fit, schema).toArrow().to_batches() or list(fit(iter([])))
+    features, weights, bias, voters, accuracies, correlation = (np.asarray(column[0].values) for column in made[0].columns)
+    return Classifier(features.view(np.uint32), weights, float(bias[0]), dict(zip(voters.tolist(), accuracies.tolist(), strict=True)), correlation.reshape(len(voters), -1) if len(voters) else None)
 
 
 def scores(documents: DataFrame, model: Classifier) -> DataFrame:

@@ -583,6 +583,16 @@ def _features(text):
     return out
 
 
+def test_toxicity_is_fitted_in_a_task(spark, sf_dir, monkeypatch):
+    """The driver gets the model alone, not the features of the sample; without rows too."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    sent, to_arrow = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: sent.append(to_arrow(self)) or sent[-1])
+    model = toxicity.trained(docs, labels)
+    assert [x.num_rows for x in sent] == [1] and len(sent[0]["features"][0]) == len(model.features) and model.correlation.shape == (len(model.voters),) * 2
+    assert len(toxicity.trained(docs.where("false"), labels).features) and not toxicity.trained(docs.where("false"), labels).voters
+
+
 def test_toxicity_by_brute_force(spark, sf_dir, texts):
     """Scores from features that plain Python finds; voters, weights and folds are those of the model."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
