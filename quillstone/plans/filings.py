@@ -9,6 +9,7 @@ from quillstone.operators import financials as f
 from quillstone.operators import sections, statements
 from quillstone.operators.elements import elements
 from quillstone.plans.finance import SQL_WITH
+from quillstone.sources.shared import written
 from quillstone.sources.tables import facts, spread, table
 
 #: Printed figures: metrics of each statement with their labels; a bar parts the printed lines of one row.
@@ -57,6 +58,7 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, text): a report of each company, a page for each year that has one before it."""
     best = f.best_facts(facts(spark, sf_dir)).where(F.col("metric").isin(_METRICS))
     wide = best.groupBy("company_id", "company", F.col("fiscal_year").alias("year")).agg(F.struct(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in _METRICS]).alias("now"))
+    wide = written(wide, "years")  # read twice; a row for each company and year
     past = wide.select("company_id", (F.col("year") + 1).alias("year"), F.col("now").alias("past"))
     pages = wide.join(past, ["company_id", "year"]).select("company_id", F.struct("year", _page().alias("text")).alias("page"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("page")), lambda p: p["text"]), "\f")  # a page for each fiscal year

@@ -168,6 +168,14 @@ def test_statement_facts(spark):
     assert {(r.unit, r.scale, r.currency) for r in unit[0].values()} == {("crore", 1e7, "INR")} and {(r.unit, r.scale) for r in unit[2].values()} == {("", 1.0)}
 
 
+def test_reports_read_the_tables_once(spark, sf_dir):
+    """A report's years and the years before them come from one pass over the line items."""
+    from quillstone.plans import filings
+
+    plan = filings.filings(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "relation" in plan.lower()
+
+
 def test_tables_without_a_header(spark):
     """Only the last table that was read, on the same page and in the same part, is continued."""
     bare = [["Total - Current liabilities (C)", "15,549", "16,537"], ["Total liabilities", "30,744", "30,271"]]
