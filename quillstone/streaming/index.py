@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import term_rows
+from quillstone.operators.retrieval import text_postings
 from quillstone.sources.shared import exists
 
 DOCUMENTS = "doc_id long, sha256 string, n_terms long, deleted boolean, batch long"
@@ -57,7 +57,7 @@ class Index:
         newest = changes.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("version", "text")).alias("c")).select("doc_id", F.col("c.text").alias("text"), F.sha2("c.text", 256).alias("sha256"))
         held = self.documents(batch).select("doc_id", F.col("sha256").alias("old"), F.col("batch").alias("old_batch"))
         moved = newest.join(held, "doc_id", "left").where(~F.col("sha256").eqNullSafe(F.col("old")))
-        new = term_rows(moved.where("text is not null"), "doc_id", "text").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+        new = text_postings(moved.where("text is not null").select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
         self._put(new, "postings", batch)
         new = self.spark.read.parquet(f"{self.path}/postings/batch={batch}")
         sizes = new.groupBy("doc_id").agg(F.sum("tf").alias("n_terms"))

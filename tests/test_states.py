@@ -88,6 +88,16 @@ def test_index_after_three_batches(spark, sf_dir, monkeypatch):
     assert {k: round(v, 4) for k, v in found.items() if v > 0} == {k: pytest.approx(round(v, 4), abs=2e-4) for k, v in want.items()}
 
 
+def test_postings_are_counted_in_place(spark, sf_dir):
+    """A text's terms are counted where it is, without a table of all pairs in a task's memory."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text").where("id is not null")
+    texts = texts.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "FY24 fy2024 the 3.5 sales sale")], "id long, text string"))
+    found = retrieval.text_postings(texts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in retrieval.postings(texts).collect()}
+
+
 def test_ingestion(spark, tmp_path):
     schema = "document_id string, name string, company string, place long, text string"
     table = "# Balance Sheet\n\nParticulars   FY2025   FY2024\nTotal assets   5   6\nTotal equity   3   4\n"
