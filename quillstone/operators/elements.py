@@ -42,9 +42,9 @@ def _expressions() -> dict[str, Column]:
     code = F.when(said == "", BLANK).when(header, ln.HEADER).when(F.col("row").isNotNull(), ln.ROW).when(F.col("values").isNotNull(), ln.VALUES).when(ln.is_label(said, F.size(parts)), ln.SUBLABEL).when(wraps, ln.WRAPS).otherwise(ln.OTHER)
     level = ln.level_of(said, parts, marks, F.col("row").isNotNull(), part, ten, F.lit(False), ten, F.col("forced"))
     return {
-        "parts": F.when(ln.is_short_or_row(said), ln.words(said)), "marks": ln.marks(parts), "found": F.when(said.rlike(r"\d\d"), periods.periods(said)), "residue": F.when((F.length(said) <= ln.HEADER_PART) | (F.size("found") > 0), ln.residue(said)),
+        "parts": F.when(ln.is_short_or_row(said), ln.words(said)), "marks": ln.marks(parts), "residue": F.when((F.length(said) <= ln.HEADER_PART) | said.rlike(r"\d\d"), ln.residue(said)), "found": F.when((F.col("residue") <= 3) & said.rlike(r"\d\d"), periods.periods(said)),
         "row": F.when(F.size(parts) > 1, ln.row_of(parts, marks)), "values": F.when(F.size(parts) > 0, ln.values_of(parts, marks)), "code": code, "level": F.when(said == "", 0).otherwise(level), "bullet": said.rlike(ln.BULLET),
-        "cells": F.when(F.col("code") == ln.HEADER, F.concat(F.array(F.lit("Particulars")), ln.period_labels(said, F.col("found")))).when(F.col("code") == ln.ROW, F.concat(F.array("row.label"), F.col("row.figures"))).when(F.col("code") == ln.VALUES, F.col("values")).otherwise(F.array(said)),
+        "cells": F.when(F.col("code") == ln.HEADER, F.concat(F.array(F.lit("Particulars")), ln.period_labels(said, F.col("found")))).when(F.col("code") == ln.ROW, F.concat(F.array("row.label"), F.col("row.figures"))).when(F.col("code") == ln.VALUES, F.col("values")),
     }
 
 
@@ -53,33 +53,36 @@ def classed(documents: DataFrame) -> DataFrame:
 
     Form feeds part pages.  Rules of tables and underlines are no lines; a line with an
     underline below it, or with # before it, is a heading; bars are blanks between cells.
+    cells is null where a line is one cell.
     """
-    raw = F.split(F.regexp_replace("page_text", r"\r\n?", "\n"), "\n")
+    said = F.col("page_text")
+    raw = F.split(F.when(said.contains("\r"), F.regexp_replace(said, r"\r\n?", "\n")).otherwise(said), "\n")
     # A page is split once, not again for each of its lines.
     pairs = t.let(raw, lambda x: F.zip_with(x, F.slice(x, 2, F.size(x)), lambda own, below: F.struct(own.alias("own"), below.alias("below"))))
     pages = documents.select(F.col("document_id").cast("string").alias("document_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\f")).alias("page", "page_text"))
-    rows = pages.select("document_id", (F.col("page") + 1).alias("page"), F.posexplode(pairs).alias("line", "pair")).select("document_id", "page", "line", t.stripped(F.col("pair.own")).alias("own"), t.stripped(F.coalesce("pair.below", F.lit(""))).alias("below"))
+    rows = pages.select("document_id", (F.col("page") + 1).alias("page"), F.posexplode(pairs).alias("line", "pair")).select("document_id", "page", "line", t.stripped_long(F.col("pair.own")).alias("own"), F.coalesce("pair.below", F.lit("")).alias("below"))
+    # Patterns run where the first character allows a match, as most lines are prose.
     own = F.col("own")
-    rows = rows.where(~own.rlike(r"^(?:[|:\- ]{3,}|[=\-]{3,})$"))
-    hashes = F.length(F.regexp_extract(own, r"^(#{1,6})\s", 1))
-    forced = F.when(hashes == 1, 1).when(hashes > 1, 2).when((own != "") & F.col("below").rlike(r"^[=\-]{3,}$"), 1).otherwise(0)
-    said = F.when(hashes > 0, F.regexp_replace(own, r"^#{1,6}\s+", "")).when(own.rlike(r"^\|.*\|$"), F.array_join(F.transform(F.split(F.regexp_replace(own, r"^\|+|\|+$", ""), r"\|"), t.stripped), "   ")).otherwise(own)
+    rows = rows.where(~(F.substring(own, 1, 1).isin(*"|:-=") & own.rlike(r"^(?:[|:\- ]{3,}|[=\-]{3,})$")))
+    hashes = F.when(own.startswith("#"), F.length(F.regexp_extract(own, r"^(#{1,6})\s", 1))).otherwise(0)
+    forced = F.when(hashes == 1, 1).when(hashes > 1, 2).when((own != "") & F.col("below").rlike(rf"^{t.BLANK}*[=\-]{{3,}}{t.BLANK}*$"), 1).otherwise(0)
+    said = F.when(hashes > 0, F.regexp_replace(own, r"^#{1,6}\s+", "")).when(own.startswith("|") & own.rlike(r"^\|.*\|$"), F.array_join(F.transform(F.split(F.regexp_replace(own, r"^\|+|\|+$", ""), r"\|"), t.stripped), "   ")).otherwise(own)
     read = rows.select("document_id", "page", "line", forced.alias("forced"), said.alias("said"))
     made = _expressions()
-    for stage in (("parts", "found"), ("marks", "residue"), ("row", "values"), ("code",)):
+    for stage in (("parts", "residue"), ("marks", "found"), ("row", "values"), ("code",)):
         read = read.withColumns({name: made[name] for name in stage})
     return read.select("document_id", "page", "line", "code", made["level"].alias("level"), made["bullet"].alias("bullet"), F.col("values").isNotNull().alias("figures"), "said", made["cells"].alias("cells"))
 
 
 def joined(said: list[str]) -> str:
     """Lines as one text; a word that a hyphen parts at a line's end is put together."""
-    out = ""
+    out: list[str] = []
     for part in (" ".join(s.split()) for s in said):
-        if out.endswith("-") and out[-2:-1].isalpha() and part[:1].islower():
-            out = out[:-1] + part
-        else:
-            out = f"{out} {part}" if out and part else out or part
-    return out
+        if out and out[-1].endswith("-") and out[-1][-2:-1].isalpha() and part[:1].islower():
+            out[-1] = out[-1][:-1] + part
+        elif part:
+            out.append(part)
+    return " ".join(out)
 
 
 def _page(lines: list[tuple]) -> Iterator[tuple]:
@@ -108,7 +111,7 @@ def _page(lines: list[tuple]) -> Iterator[tuple]:
             grid: dict[int, list[str]] = {}
             for k, row in enumerate(place, i):
                 if row >= 0:
-                    grid.setdefault(row, []).extend(inked[k][5])
+                    grid.setdefault(row, []).extend(inked[k][5] or [inked[k][4]])
             yield "table", 0, None, i, end, list(grid.values())
             i = end
             continue

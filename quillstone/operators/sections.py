@@ -11,7 +11,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,57 +69,86 @@ def _size(text: str) -> int:
     return len(chunking._TOKEN.findall(text))
 
 
+@cache
+def _classes() -> np.ndarray:
+    """Of every code point: 0 for blanks, 1 for what words are made of, 2 for marks, as the pattern of tokens parts them."""
+    return np.array([0 if c.isspace() else 1 if c.isalnum() or c == "_" else 2 for c in map(chr, range(0x110000))], np.uint8)
+
+
+def sizes(said: list[str]) -> list[int]:
+    """Tokens of each text, counted in one pass."""
+    if not said:
+        return []
+    kind = _classes()[np.frombuffer("".join(f"{s} " for s in said).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    begins = kind != 0
+    begins[1:] &= (kind[1:] == 2) | (kind[:-1] != 1)
+    ends = np.cumsum([len(s) + 1 for s in said])
+    return np.add.reduceat(begins, np.concatenate([[0], ends[:-1]]), dtype=np.int64).tolist()
+
+
 def _sentences(text: str) -> list[str]:
     return [s for s in chunking._SENTENCE.split(text.strip()) if s.strip()]
 
 
-def _within(text: str, target: int) -> list[str]:
+class _Piece(NamedTuple):
+    """Narrative of one page: a text, its sentences and their tokens; no token crosses the blanks between sentences."""
+
+    text: str
+    page: int
+    said: list[str]
+    sizes: list[int]
+
+
+def _within(text: str, page: int, target: int) -> list[_Piece]:
     """The text, or runs of its sentences that keep to the target if it doesn't."""
-    if _size(text) <= target:
-        return [text]
-    out: list[list[str]] = []
+    said = _sentences(text)
+    counts = sizes(said)
+    if sum(counts) <= target:
+        return [_Piece(text, page, said, counts)]
+    out: list[tuple[list[str], list[int]]] = []
     room = -1
-    for sentence in _sentences(text):
-        n = _size(sentence)
+    for sentence, n in zip(said, counts, strict=True):
         if n > room:
-            out.append([])
+            out.append(([], []))
             room = target
-        out[-1].append(sentence)
+        out[-1][0].append(sentence)
+        out[-1][1].append(n)
         room -= n
-    return [" ".join(x) for x in out]
+    return [_Piece(" ".join(x), page, x, n) for x, n in out]
 
 
-def _tail(text: str, overlap: int) -> str:
-    """The last whole sentences within the overlap."""
-    said, kept = _sentences(text), 0
-    at = len(said)
-    while at and kept + _size(said[at - 1]) <= overlap:
+def _tail(piece: _Piece, overlap: int) -> tuple[str, int]:
+    """The last whole sentences within the overlap, and their tokens."""
+    at, kept = len(piece.said), 0
+    while at and kept + piece.sizes[at - 1] <= overlap:
         at -= 1
-        kept += _size(said[at])
-    return " ".join(said[at:])
+        kept += piece.sizes[at]
+    return " ".join(piece.said[at:]), kept
 
 
 @dataclass
 class _Pack:
-    """Texts of one passage with their pages; fresh counts tokens that the passage before did not have."""
+    """Texts of one passage with their pages; size counts its tokens, fresh those that the passage before did not have."""
 
     parts: list[tuple[str, int]] = field(default_factory=list)
+    size: int = 0
     fresh: int = 0
     carried: bool = False
 
 
-def packs(pieces: list[tuple[str, int]], heading: str | None, target: int, overlap: int) -> list[_Pack]:
-    """Narrative pieces (text, page) of one section to passages; the heading leads the first."""
+def packs(pieces: list[_Piece], heading: str | None, target: int, overlap: int) -> list[_Pack]:
+    """Narrative pieces of one section to passages; the heading leads the first."""
     out: list[_Pack] = []
-    for text, page in pieces:
-        n = _size(text)
+    for k, (text, page, _, counts) in enumerate(pieces):
+        n = sum(counts)
         if not out or out[-1].fresh and out[-1].fresh + n > target:
-            tail = _tail(out[-1].parts[-1][0], overlap) if out else ""
-            lead = [(tail, out[-1].parts[-1][1])] if tail else []
+            tail, size = _tail(pieces[k - 1], overlap) if out else ("", 0)
+            lead = [(tail, pieces[k - 1].page)] if tail else []
             if not out and heading is not None:
-                lead = [(heading, page)]
-            out.append(_Pack(lead, carried=bool(tail)))
+                lead, size = [(heading, page)], _size(heading)
+            out.append(_Pack(lead, size, carried=bool(tail)))
         out[-1].parts.append((text, page))
+        out[-1].size += n
         out[-1].fresh += n
     return out
 
@@ -165,10 +197,10 @@ class _Document:
         self.count = 0
         self.section = self.parent = self.last = ""
         self.heading: str | None = None
-        self.pieces: list[tuple[str, int]] = []
+        self.pieces: list[_Piece] = []
 
-    def _put(self, pages: tuple[int, int], title: str, kind: str, table: int | None, text: str, grid: list | None, context: str | None) -> None:
-        self.out.append((self.key, self.count, *pages, self.section, title, kind, table, text, _size(text), grid, context))
+    def _put(self, pages: tuple[int, int], title: str, kind: str, table: int | None, text: str, size: int, grid: list | None, context: str | None) -> None:
+        self.out.append((self.key, self.count, *pages, self.section, title, kind, table, text, size, grid, context))
         self.count += 1
 
     def _packed(self) -> list[_Pack]:
@@ -181,11 +213,11 @@ class _Document:
     def _passages(self, found: list[_Pack]) -> None:
         for p in found:
             if p.fresh >= chunking.LEAST:
-                self._put((p.parts[0][1], p.parts[-1][1]), "", "narrative", None, "\n\n".join(x for x, _ in p.parts), None, None)
+                self._put((p.parts[0][1], p.parts[-1][1]), "", "narrative", None, "\n\n".join(x for x, _ in p.parts), p.size, None, None)
 
     def add(self, page: int, kind: str, level: int, text: str | None, grid: list | None, context: str | None) -> None:
         if kind == "text":
-            self.pieces += [(x, page) for x in _within(text, self.target)]
+            self.pieces += _within(text, page, self.target)
             return
         found = self._packed()
         if kind == "heading":
@@ -203,7 +235,7 @@ class _Document:
         title, caption = self.last[:TITLE], caption[:TITLE]
         first = self.count
         for text in table_parts(grid, title, caption, self.limit):
-            self._put((page, page), " ".join(x for x in (title, caption) if x), "table", first, text, grid if self.count == first else None, context if self.count == first else None)
+            self._put((page, page), " ".join(x for x in (title, caption) if x), "table", first, text, _size(text), grid if self.count == first else None, context if self.count == first else None)
         self.heading = None
 
     def done(self) -> list[tuple]:
@@ -236,14 +268,16 @@ def _typed(passages: DataFrame, document_type: Column) -> DataFrame:
     """Adds chunk_type."""
     section, text = F.col("section"), F.col("text")
     by_section = F.coalesce(*[F.when(section.rlike(pattern), name) for name, pattern in TYPES])
-    share = F.size(F.regexp_extract_all(text, F.lit(RISK_WORDS), F.lit(0))) / F.greatest(t.token_count(text), F.lit(1))
+    # Most texts have no such word, and need no count of their tokens.
+    share = t.let(F.regexp_count(text, F.lit(RISK_WORDS)), lambda n: F.when(n > 0, n / F.greatest(t.token_count(text), F.lit(1))).otherwise(0.0))
     narrative = F.coalesce(by_section, F.when(document_type == "earnings_call", "earnings_commentary").when(share > RISK_SHARE, "risk_factor").when(document_type == "mda", "management_commentary").otherwise("narrative"))
     label = F.transform("grid", lambda row: F.get(F.filter(row, lambda c: c.rlike("[A-Za-z]")), F.lit(0)))
     named = passages.where("grid is not null").select("document_id", "table_index", F.explode(F.filter(label, lambda x: x.isNotNull())).alias("label"))
     known = labels.with_metrics(named, "label").where("metric is not null").groupBy("document_id", "table_index").agg((F.count("*") >= 2).alias("reported"))
     statement = F.concat_ws(" ", "title", "section").rlike(STATEMENT) | F.coalesce("reported", F.lit(False))
-    kind = F.when(F.col("kind") == "narrative", narrative).otherwise(F.when(statement, "financial_statement").otherwise("table"))
-    return passages.join(known, ["document_id", "table_index"], "left").withColumn("chunk_type", kind).drop("reported")
+    tables = passages.where("kind = 'table'").join(known, ["document_id", "table_index"], "left").withColumn("chunk_type", F.when(statement, "financial_statement").otherwise("table"))
+    # Narrative stays where it is.
+    return passages.where("kind = 'narrative'").withColumn("chunk_type", narrative).unionByName(tables.drop("reported"))
 
 
 def passages(elements: DataFrame, document_type: Column | None = None, target: int = chunking.TARGET, overlap: int = chunking.OVERLAP, limit: int = TABLE) -> DataFrame:

@@ -13,11 +13,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillstone.functions import text as t
 from quillstone.operators import sections, statements
 from quillstone.operators.elements import elements
-from quillstone.sources.shared import exists
+from quillstone.sources.shared import deleted, exists
 
 #: Formats that are read, the fewest characters of a text that is not empty, and what failed documents are told.
 FORMATS, LEAST_CHARS = ("txt", "md"), 20
@@ -41,12 +42,13 @@ class Store:
 
     def _segments(self, name: str, schema: str) -> DataFrame:
         if not exists(self.spark, f"{self.path}/{name}"):
-            return self.spark.createDataFrame([], schema)
+            # No rows, and no Python worker for them.
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
 
     def _put(self, rows: DataFrame, name: str, batch: int, stage: int | None = None) -> None:
         part = "" if stage is None else f"/stage={stage}"
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}{part}")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}/batch={batch}{part}")
 
     def states(self) -> DataFrame:
         """(document_id, state, code, n_passages, n_facts, company_key, batch): the newest state of every document."""
@@ -83,15 +85,21 @@ class Store:
         self._put(keyed.join(held, ["key", "name"], "left_anti"), "companies", batch)
 
     def take(self, arrived: DataFrame, batch: int, facts: Callable[[DataFrame], DataFrame] | None = None) -> None:
-        """Take (document_id, name, company, place, text) in; of rows of one document the last place counts."""
+        """Take (document_id, name, company, place, text) in; of rows of one document the last place counts.
+
+        The batch's documents are judged and written once; what follows reads their texts
+        once, and else only their short columns.
+        """
         newest = F.max(F.struct("place", "name", "company", "text")).alias("d")
         rows = arrived.where("document_id is not null").groupBy(F.col("document_id").cast("string").alias("document_id")).agg(newest).select("document_id", "d.*")
-        key = company_key(F.col("company"))
-        begun = rows.select("document_id", F.lit("processing").alias("state"), F.lit(None).cast("string").alias("code"), F.lit(0).cast("long").alias("n_passages"), F.lit(0).cast("long").alias("n_facts"), key.alias("company_key"))
-        self._put(begun, "states", batch, 0)
         kind = F.lower(F.element_at(F.split(F.coalesce("name", F.lit("")), r"\."), -1))
-        early = F.when(~kind.isin(*FORMATS), "unsupported_format").when(F.length(t.stripped(F.coalesce("text", F.lit("")))) < LEAST_CHARS, "empty_document")
-        judged = rows.withColumn("code", early)
+        early = F.when(~kind.isin(*FORMATS), "unsupported_format").when(F.length(t.stripped_long(F.coalesce("text", F.lit("")))) < LEAST_CHARS, "empty_document")
+        judged = rows.select("document_id", "place", "company", company_key(F.col("company")).alias("company_key"), early.alias("code"), "text")
+        judged = judged.withColumn("text", F.when(F.col("code").isNull(), F.col("text")))
+        self._put(judged, "arrived", batch)
+        judged = self.spark.read.schema(judged.schema).parquet(f"{self.path}/arrived/batch={batch}")
+        begun = judged.select("document_id", F.lit("processing").alias("state"), F.lit(None).cast("string").alias("code"), F.lit(0).cast("long").alias("n_passages"), F.lit(0).cast("long").alias("n_facts"), "company_key")
+        self._put(begun, "states", batch, 0)
         read = sections.passages(elements(judged.where("code is null").select("document_id", "text")))
         self._put(read.select("document_id", "chunk_index", "page_start", "page_end", "section", "title", "chunk_type", "table_index", "text", "n_tokens", "grid", "context"), "passages", batch)
         read = self.spark.read.parquet(f"{self.path}/passages/batch={batch}")
@@ -102,7 +110,8 @@ class Store:
         ended = judged.join(sizes, "document_id", "left").withColumn("code", F.coalesce("code", F.when(F.col("n_passages").isNull(), "no_content")))
         number = lambda c: F.when(F.col("code").isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
         self.name_companies(ended.where("code is null and company is not null").select(F.col("company").alias("name"), "place"), batch)
-        self._put(ended.select("document_id", F.when(F.col("code").isNull(), "ready").otherwise("failed").alias("state"), "code", number("n_passages"), number("n_facts"), key.alias("company_key")), "states", batch, 1)
+        self._put(ended.select("document_id", F.when(F.col("code").isNull(), "ready").otherwise("failed").alias("state"), "code", number("n_passages"), number("n_facts"), "company_key"), "states", batch, 1)
+        deleted(self.spark, f"{self.path}/arrived/batch={batch}")
 
     def recover(self, batch: int) -> None:
         """Documents that a run left in processing fail, so that they can be sent again."""

@@ -345,3 +345,35 @@ def test_documents_are_folded_once(spark, monkeypatch):
     df = spark.createDataFrame([("1", text), ("2", text)], "document_id string, text string")
     found = sections.passages(elements(df)).collect()
     assert {r.chunk_type for r in found} == {"financial_statement"} and folded.value == len(found) == 2
+
+
+def test_tokens_are_counted_once(monkeypatch):
+    """A document's tokens are counted in one pass over its sentences, as the pattern counts them; only headings and tables are counted apart."""
+    odd = ["", " ", "a_b c-d", "naïve “quotes”…", "١٢ ½ Ⅷ", "e\u0301 \u00a0x\x1cy\u2028z", "日本語、です。", "🙂🙂 ok", "_", "x" * 500]
+    assert sections.sizes(odd) == [sections._size(x) for x in odd] and sections.sizes([]) == []
+    text = " ".join(f"Sentence {i} has a few words, and it ends here." for i in range(400))
+    counted = []
+    monkeypatch.setattr(sections, "_size", lambda s: counted.append(len(s)) or len(re.findall(r"\w+|[^\w\s]", s)))
+    document = sections._Document("d", 320, 48, 900)
+    document.add(1, "heading", 1, "Outlook", None, None)
+    document.add(1, "text", 0, text, None, None)
+    document.add(2, "text", 0, "A last paragraph of its own. " * 3, None, None)
+    found = document.done()
+    assert len(found) > 10 and sum(counted) <= len("Outlook")
+    assert [r[9] for r in found] == [len(re.findall(r"\w+|[^\w\s]", r[8])) for r in found]
+
+
+def test_stripped_at_the_ends(spark):
+    odd = ["", " ", "a b", " a b", "a b ", "\u3000a\u2028", "\x1ca", "a\x85", "a\u200b", "🙂 ", "a \n b\r\n", None]
+    rows = spark.createDataFrame([(x,) for x in odd], "said string").select(t.stripped(F.col("said")), t.stripped_long(F.col("said"))).collect()
+    assert [r[0] for r in rows] == [r[1] for r in rows]
+
+
+def test_rules_and_underlines(spark):
+    """Lines behind first characters that patterns allow, underlines between blanks of any kind, and joined words."""
+    from quillstone.operators.elements import joined
+
+    text = "Title one\n \u00a0=== \nplain\n-- -\n|:--|\n| a | b |\n|\n#\n# \u00a0Head\n####### no\nend\r---\r\nFY2024 2023 notes of the year"
+    found = classed(spark.createDataFrame([("1", text)], "document_id string, text string")).orderBy("line").collect()
+    assert [(r.said, r.level) for r in found] == [("Title one", 1), ("plain", 0), ("a   b", 0), ("|", 0), ("#", 0), ("\u00a0Head", 1), ("####### no", 0), ("end", 1), ("FY2024 2023 notes of the year", 0)]
+    assert joined(["pre-", "", "fix-", "es and -", "no", "A-", "B", "-"]) == "prefixes and - no A- B -"

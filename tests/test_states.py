@@ -134,6 +134,25 @@ def test_ingestion(spark, tmp_path):
     assert {r.document_id for r in store.passages().collect()} == {"a"} and store.facts().count() == 4
 
 
+def test_arrivals_are_read_once(spark, tmp_path):
+    """A batch's texts pass once, however many segments it writes; what it held of them is gone at its end."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    body = "This paragraph explains the accounting treatment in enough words to be kept as a passage for retrieval."
+    rows = [(str(k), f"{k}.{'pdf' if k % 3 == 0 else 'txt'}", "Acme", k, "\u2028 \x85" if k % 5 == 0 else body) for k in range(20)]
+    schema = "document_id string, name string, company string, place long, text string"
+    store = Store(spark, str(tmp_path / "store"))
+    store.take(spark.createDataFrame(rows, schema).mapInArrow(counted, schema), 0)
+    assert read.value == len(rows) and not list((tmp_path / "store").glob("arrived/*"))
+    want = {str(k): "unsupported_format" if k % 3 == 0 else "empty_document" if k % 5 == 0 else None for k in range(20)}
+    assert {r.document_id: r.code for r in store.states().collect()} == want and store.passages().count() == sum(c is None for c in want.values())
+
+
 SPAN = "document_id string, page int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, width double, height double"
 
 
