@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.arrowtext import LOWER, joined, slices, word_spans
 from quillstone.llm.graph import components
 from quillstone.llm.lineage import written
-from quillstone.llm.skew import attached
+from quillstone.llm.skew import attached, shuffled
 
 LIMIT = 3
 SHINGLE = 3
@@ -91,7 +91,7 @@ def links(prints: DataFrame) -> DataFrame:
     visits = F.when(even, F.concat(F.array("cell"), _around(F.col("cell")))).otherwise(F.array("cell"))
     visiting = halves.select(F.explode(visits).alias("cell"), "half", "print", F.col("cell").alias("home")).select((key + F.col("cell")).alias("key"), F.col("print").alias("b"), (F.col("cell") == F.col("home")).alias("home"))
     # In its own cell a pair is met from both sides, in a visited one from one side.
-    met = own.join(visiting, (own["key"] == visiting["key"]) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LIMIT) & ((F.col("a") < F.col("b")) | (~F.col("home") & (F.col("a") != F.col("b")))))
+    met = own.join(shuffled(visiting), (own["key"] == visiting["key"]) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LIMIT) & ((F.col("a") < F.col("b")) | (~F.col("home") & (F.col("a") != F.col("b")))))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -101,9 +101,9 @@ def _members(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     classes = prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"))
     roots = written(components(links(classes.select("print"))), "roots")
     # Only linked fingerprints have a root; the least id of each root's members names it.
-    linked = roots.join(classes, roots["node"] == classes["print"]).select("print", "root", "least")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "root", "component_id")
-    ids = classes.join(named, "print", "left").select("print", "members", F.coalesce("root", "print").alias("root"), F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    linked = roots.join(shuffled(classes), roots["node"] == classes["print"]).select("print", "root", "least")
+    named = linked.join(shuffled(linked.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("print", "root", "component_id")
+    ids = classes.join(shuffled(named), "print", "left").select("print", "members", F.coalesce("root", "print").alias("root"), F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
     return attached(prints, ids, ["print"], ["doc_id", "text_hash"], prints.count())
 
 

@@ -1,4 +1,4 @@
-"""Joins of rows with their classes that hold when one class has very many rows."""
+"""Joins that hold when one class has very many rows, and that broadcast no side whose size isn't known."""
 
 from __future__ import annotations
 
@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 HOT_CLASSES = 2000
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, which joins meet by shuffles whatever its estimate: that of a written table is its compressed size, and one of an explosion leaves out the rows that it adds."""
+    return df.hint("merge")
+
+
 def attached(rows: DataFrame, classes: DataFrame, keys: list[str], place: list[str], n_rows: int) -> DataFrame:
     """The inner join of rows with classes on keys; column members leaves.
 
@@ -22,4 +27,4 @@ def attached(rows: DataFrame, classes: DataFrame, keys: list[str], place: list[s
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*place), F.col("parts"))).cast("int")
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("part", part).drop("parts")
     every = F.explode(F.sequence(F.lit(0), F.when(F.col("members") > share, parts - 1).otherwise(0)))
-    return dealt.join(classes.withColumn("part", every).drop("members"), [*keys, "part"]).drop("part")
+    return dealt.join(shuffled(classes.withColumn("part", every).drop("members")), [*keys, "part"]).drop("part")

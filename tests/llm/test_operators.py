@@ -168,6 +168,18 @@ def test_simhash_links(spark):
     assert got == [(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3]
 
 
+def _broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_sides_that_may_be_large_are_not_broadcast(spark):
+    """All are tiny here, so Spark would broadcast them; only the hot classes are few whatever the input."""
+    prints = lineage.written(spark.range(50).select(F.col("id").alias("print")), "prints")
+    assert not _broadcasts(simhash.links(prints))
+    classes = prints.groupBy("print").agg(F.count("*").alias("members"))
+    assert _broadcasts(simhash.attached(prints, classes, ["print"], ["print"], 50)) == 1
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (5, 5), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
