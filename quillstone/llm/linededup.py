@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.lineage import dropped, written
-from quillstone.llm.skew import attached
+from quillstone.llm.skew import attached, shuffled
 
 #: A run needs this many lines with a word, or a line of this many words.
 MIN_LINES = 2
@@ -75,7 +75,7 @@ def _met(a: DataFrame, b: DataFrame) -> DataFrame:
     """The inner join on the place, null-safe for rows without doc_id."""
     named = b.select(*[F.col(c).alias(f"b_{c}") if c in _PLACE else F.col(c) for c in b.columns])
     same = [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in _PLACE]
-    return a.join(named, same).drop(*[f"b_{c}" for c in _PLACE])
+    return a.join(shuffled(named), same).drop(*[f"b_{c}" for c in _PLACE])
 
 
 def _repeated(found: DataFrame, min_lines: int) -> DataFrame:
@@ -112,7 +112,7 @@ def suffix_array(base: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]
         classes = written(whole.withColumn("new", F.monotonically_increasing_id()), "classes")
         count = classes.count()
         if count == known:
-            return parted.select(*_PLACE, "name"), _ranked(classes), rounds
+            return parted.select(*_PLACE, "name"), written(_ranked(classes), "ranks"), rounds
         rounds.append(classes)
         longer = attached(parted, classes, _QUARTERS, _PLACE, n_rows).select(*key, F.col("new").alias("name"))
         following = written(longer.select(*key, "name", *ahead(4 ** len(rounds))), "parted")
@@ -132,15 +132,19 @@ def _ranked(classes: DataFrame) -> DataFrame:
 def common_prefixes(ranks: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     """(rank, lcp): the lines that the suffixes of each class but the first share with those of the class before it."""
     before = ranks.select((F.col("rank") + 1).alias("rank"), F.col("name").alias("s"))
-    pairs = ranks.withColumnRenamed("name", "t").join(before, "rank").withColumn("lcp", F.lit(0))
+    pairs = written(ranks.withColumnRenamed("name", "t").join(shuffled(before), "rank").withColumn("lcp", F.lit(0)), "pairs")
     for k in reversed(range(len(rounds))):
+        met = pairs
         for side in ("s", "t"):
             quarters = [F.col(c).alias(f"{side}{i}") for i, c in enumerate(_QUARTERS)]
-            pairs = pairs.join(rounds[k].select(F.col("new").alias(side), *quarters), side, "left")
+            met = met.join(shuffled(rounds[k].select(F.col("new").alias(side), *quarters)), side, "left")
         differ = [F.coalesce(F.col(f"s{i}") != F.col(f"t{i}"), F.lit(True)) for i in range(3)]
         first = lambda values: F.when(differ[0], values[0]).when(differ[1], values[1]).when(differ[2], values[2]).otherwise(values[3])
         s, t = (first([F.col(f"{x}{i}") for i in range(4)]).alias(x) for x in "st")
-        pairs = pairs.select("rank", s, t, (F.col("lcp") + first([F.lit(i * 4**k) for i in range(4)])).alias("lcp"))
+        # Written, as the driver plans all that is left anew whenever a stage ends.
+        closer = written(met.select("rank", s, t, (F.col("lcp") + first([F.lit(i * 4**k) for i in range(4)])).alias("lcp")), "pairs")
+        dropped(pairs)
+        pairs = closer
     return pairs.select("rank", "lcp")
 
 
@@ -151,7 +155,7 @@ def _intervals(classes: DataFrame, depth: int) -> DataFrame:
     earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select("block", F.max("last").over(earlier).alias("carried"))  # a row for each BLOCK classes
     inside = F.max("head").over(Window.partitionBy("block").orderBy("rank"))
-    named = blocked.withColumn("inside", inside).join(carried, "block").withColumn("interval", F.coalesce("inside", "carried"))
+    named = blocked.withColumn("inside", inside).join(F.broadcast(carried), "block").withColumn("interval", F.coalesce("inside", "carried"))
     named = named.drop("block", "head", "inside", "carried")
     first = named.groupBy("interval").agg(F.min("first").alias(f"first_{depth}"), F.count("*").alias("members"))
     return attached(named, first, ["interval"], ["rank"], classes.count()).drop("interval")
@@ -170,11 +174,11 @@ def repeats(documents: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
     sizes = array.groupBy("name").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("members"))
     # A class shares its prefix with both neighbours.
     near = lcp.select(F.explode(F.array("rank", F.col("rank") - 1)).alias("rank"), "lcp").groupBy("rank").agg(F.max("lcp").alias("near"))
-    classes = ranks.join(sizes, "name").join(lcp, "rank", "left").join(near, "rank", "left").na.fill(0, ["lcp", "near"])
+    classes = ranks.join(shuffled(sizes), "name").join(shuffled(lcp), "rank", "left").join(shuffled(near), "rank", "left").na.fill(0, ["lcp", "near"])
     classes = written(classes.select("rank", "name", "first", "members", "lcp", F.when(F.col("members") == 1, F.col("near")).alias("near")), "array")
     for depth in sorted({1, min_lines}):
         firsts = _intervals(classes.select("rank", "lcp", "first"), depth).select("rank", f"first_{depth}")
-        classes = classes.join(firsts, "rank")
+        classes = classes.join(shuffled(firsts), "rank")
     classes = written(classes.select("name", "members", "near", "first_1", F.col(f"first_{min_lines}").alias("first_m")), "intervals")
     for table in rounds:
         dropped(table)
@@ -198,7 +202,7 @@ def _cut(documents: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     row = F.struct(*[documents[f"`{c}`"] for c in documents.columns])
     keyed = documents.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     own = F.col("k.doc").eqNullSafe(F.col("g.doc")) & (F.col("k.text_hash") == F.col("g.text_hash"))
-    met = keyed.alias("k").join(found.alias("g"), own, "left").select("k.row", "g.longest", F.when(F.size("g.gone") > 0, F.col("g.gone")).alias("gone"))
+    met = keyed.alias("k").join(shuffled(found).alias("g"), own, "left").select("k.row", "g.longest", F.when(F.size("g.gone") > 0, F.col("g.gone")).alias("gone"))
     met = met.withColumn("parts", F.split("row.text", "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
     text = F.array_join(F.transform(kept, lambda i: F.get(F.col("parts"), i)), "\n")

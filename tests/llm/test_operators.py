@@ -180,6 +180,15 @@ def test_sides_that_may_be_large_are_not_broadcast(spark):
     assert _broadcasts(simhash.attached(prints, classes, ["print"], ["print"], 50)) == 1
 
 
+def test_rounds_of_lines_are_not_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "\n".join(f"line {i * j % 7}" for j in range(9))) for i in range(6)], "doc_id long, text string")
+    _, ranks, rounds = linededup.suffix_array(linededup._repeated(linededup.lines(docs), 2))
+    prefixes = []
+    monkeypatch.setattr(linededup, "written", lambda df, name: prefixes.append(df) or lineage.written(df, name))
+    linededup.common_prefixes(ranks, rounds)
+    assert rounds and len(prefixes) == 1 + len(rounds) and not any(map(_broadcasts, prefixes))  # a plan for each round
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (5, 5), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
