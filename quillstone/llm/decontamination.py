@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import let
+from quillstone.llm.skew import shuffled
 
 WINDOW = 8
 
@@ -167,14 +168,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = F.transform(starts, lambda i: F.struct(begin(i).alias("begin"), (i - begin(i)).alias("own"), cut("low", i), cut("marked", i)))
     told = _texts(documents, "doc_id", "doc_id").select("doc_id", "text_key", F.explode(blocks).alias("b")).select("doc_id", "text_key", "b.*")
     told = told.select("*", F.posexplode("low").alias("place", "lead")).where(F.col("place").between(F.col("own"), F.col("own") + BLOCK - 1))
-    met = told.join(F.broadcast(leads) if few else leads, "lead").withColumn("start", F.col("place") - F.col("offset"))
+    met = told.join(F.broadcast(leads) if few else shuffled(leads), "lead").withColumn("start", F.col("place") - F.col("offset"))
     met = met.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("low")))
     met = met.where(F.col("second").isNull() | (F.get("low", F.col("start") + F.col("second_offset")) == F.col("second")))
     met = met.select("doc_id", "text_key", (F.col("begin") + F.col("start")).alias("start"), "way", "size", F.slice("marked", F.col("start") + 1, F.col("size")).alias("own"))
     window = F.when(F.col("way") == "exact", _window(_exact(F.col("own")), "exact", F.col("size"))).otherwise(_window(_template(F.col("own")), "template", F.col("size")))
     found = met.select("doc_id", "text_key", "start", window.alias("window"), _words(F.col("own")).alias("own"))
     named = items.drop("lead", "offset", "second", "second_offset", "size")
-    found = found.join(F.broadcast(named) if small else named, "window")
+    found = found.join(F.broadcast(named) if small else shuffled(named), "window")
 
     exact = F.col("way") == "exact"
     kinds = F.zip_with("template", "words", lambda t, w: F.when(t.startswith("<"), F.struct(t.alias("kind"), w.alias("item"))))
