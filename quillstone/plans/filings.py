@@ -68,7 +68,7 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables found in the lines of reports and of all documents: where they stand, and their first and last rows."""
     prose = spread(table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("document_id"), "text"))
-    found = elements(filings(spark, sf_dir).unionByName(prose)).where("kind = 'table' and not startswith(document_id, 'd')")
+    found = elements(filings(spark, sf_dir).unionByName(prose)).where("kind = 'table'")
     joined = lambda row: F.array_join(row, "|")
     return found.select("document_id", "page", "start", "end", F.size("grid").alias("n_rows"), joined(F.get("grid", F.lit(0))).alias("first"), joined(F.element_at("grid", -1)).alias("last"))
 

@@ -377,3 +377,13 @@ def test_rules_and_underlines(spark):
     found = classed(spark.createDataFrame([("1", text)], "document_id string, text string")).orderBy("line").collect()
     assert [(r.said, r.level) for r in found] == [("Title one", 1), ("plain", 0), ("a   b", 0), ("|", 0), ("#", 0), ("\u00a0Head", 1), ("####### no", 0), ("end", 1), ("FY2024 2023 notes of the year", 0)]
     assert joined(["pre-", "", "fix-", "es and -", "no", "A-", "B", "-"]) == "prefixes and - no A- B -"
+
+
+def test_tables_of_documents_are_given(spark, tmp_path, monkeypatch):
+    from quillstone.plans import filings
+
+    said = [(5, "Particulars   FY2021   FY2020\nRevenue   1,200   1,100\nProfit   300   200\n"), (6, "No table here."), (7, None)]
+    spark.createDataFrame(said, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(filings, "filings", lambda spark, sf_dir: spark.createDataFrame([("1", "A report.")], "document_id string, text string"))
+    found = filings.text_tables(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in found] == [("d5", 1, 0, 3, 3, "Particulars|FY2021|FY2020", "Profit|300|200")]
